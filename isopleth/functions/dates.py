@@ -105,6 +105,14 @@ def decimal_year(d: Column | str) -> Column:
     return F.year(d) + (F.dayofyear(d) - 1) / length
 
 
+def micros(ts: Column | str) -> Column:
+    """Microseconds since 1970 of a timestamp without zone, whatever the session zone."""
+    ts = col(ts)
+    day = F.unix_date(ts.cast("date")).cast("long") * 86_400
+    clock = F.hour(ts) * 3600 + F.minute(ts) * 60
+    return (day + clock) * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+
+
 def window_label(days: Column | str) -> Column:
     d = col(days)
     return F.when(d <= 1, F.lit("single day")).otherwise(

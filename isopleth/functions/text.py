@@ -20,8 +20,8 @@ def contains_ci(text: Column, needle: str) -> Column:
     return F.contains(text, F.lit(needle.lower()))
 
 
-def sparse(records: Column | str) -> Column:
-    return col(records) < SPARSE_RECORDS
+def sparse(records: Column | str, threshold: int = SPARSE_RECORDS) -> Column:
+    return col(records) < threshold
 
 
 def station_class(kind: Column | str) -> Column:

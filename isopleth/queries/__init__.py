@@ -7,7 +7,7 @@ from .base import QUERIES, SQL
 
 
 def load_all() -> None:
-    from . import ensembles, grids, rolling  # noqa: F401
+    from . import calendar, catalog, ensembles, grids, points, rolling, tiles  # noqa: F401
 
 
 __all__ = ["QUERIES", "SQL", "load_all"]
