@@ -29,12 +29,23 @@ def block_mean(
     return blocks.agg(label, *means, F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == step).drop("_n")
 
 
+def _order(t: str, tiebreak: str | None) -> Column:
+    """Sample order: time, and where times repeat the position in the source."""
+    return col(t) if tiebreak is None else F.struct(col(t), col(tiebreak))
+
+
 def _in_years(year: Column, span: tuple[int, int]) -> Column:
     return (year >= span[0]) & (year < span[1])
 
 
 def period_stats(
-    df: DataFrame, series: list[str], time: str, value: str, early: tuple[int, int], recent: tuple[int, int]
+    df: DataFrame,
+    series: list[str],
+    time: str,
+    value: str,
+    early: tuple[int, int],
+    recent: tuple[int, int],
+    tiebreak: str | None = None,
 ) -> DataFrame:
     """Means over two half-open year ranges, their difference, and the latest value with its date."""
     year, v = F.year(time), col(value)
@@ -44,7 +55,7 @@ def period_stats(
         F.avg(F.when(_in_years(year, recent), v)).alias("recent"),
         F.count_if(_in_years(year, early)).alias("n_early"),
         F.count_if(_in_years(year, recent)).alias("n_recent"),
-        F.max_by(v, col(time)).alias("latest"),
+        F.max_by(v, _order(time, tiebreak)).alias("latest"),
         F.max(time).alias("latest_at"),
         F.min(v).alias("vmin"),
         F.max(v).alias("vmax"),
@@ -59,12 +70,13 @@ def trend(df: DataFrame, series: list[str], t: str, value: str) -> DataFrame:
     return real.groupBy(*series).agg(F.regr_slope(col(value), col(t)).alias("slope"), F.count(F.lit(1)).alias("n"))
 
 
-def total_change(df: DataFrame, series: list[str], t: str, value: str) -> DataFrame:
-    """Last minus first non-missing value; times are unique within a series."""
+def total_change(df: DataFrame, series: list[str], t: str, value: str, tiebreak: str | None = None) -> DataFrame:
+    """Last minus first non-missing value. Give ``tiebreak`` where times may repeat."""
     real = df.filter(finite(value))
+    at = _order(t, tiebreak)
     out = real.groupBy(*series).agg(
-        F.min_by(value, t).alias("first"),
-        F.max_by(value, t).alias("last"),
+        F.min_by(col(value), at).alias("first"),
+        F.max_by(col(value), at).alias("last"),
         F.min(t).alias("first_t"),
         F.max(t).alias("last_t"),
     )
@@ -82,17 +94,25 @@ def align(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def rebase(
-    df: DataFrame, series: list[str], t: str, value: str, from_t: float, base: DataFrame, base_value: str
+    df: DataFrame,
+    series: list[str],
+    t: str,
+    value: str,
+    from_t: float,
+    base: DataFrame,
+    base_value: str,
+    tiebreak: str | None = None,
 ) -> DataFrame:
     """Shift each series so that its first sample at or after ``from_t`` meets ``base``.
 
     A series that ends earlier is shifted by its first sample; a series without a
-    base value is shifted to zero. ``base`` has one row per series.
+    base value is shifted to zero. ``base`` has one row per series. Give ``tiebreak``
+    where times may repeat.
     """
-    after = col(t) >= F.lit(from_t)
+    after, at = col(t) >= F.lit(from_t), _order(t, tiebreak)
     anchors = df.filter(finite(value)).groupBy(*series).agg(
-        F.min_by(col(value), F.when(after, col(t))).alias("_after"),
-        F.min_by(col(value), col(t)).alias("_first"),
+        F.min_by(col(value), F.when(after, at)).alias("_after"),
+        F.min_by(col(value), at).alias("_first"),
     )
     offsets = anchors.join(base.select(*series, col(base_value).alias("_base")), series, "left").select(
         *series, (F.coalesce("_base", F.lit(0.0)) - F.coalesce("_after", "_first")).alias("_shift")
@@ -160,11 +180,11 @@ def anomaly(df: DataFrame, cell: list[str], time: str, value: str, baseline: tup
 
 
 def budget_residual(df: DataFrame, t: list[str], component: str, value: str, observed: str, parts: list[str]) -> DataFrame:
-    """Observed minus the sum of its parts, where every one of them is present."""
+    """Observed minus the total of its parts, where every one of them is present."""
     columns = [F.max(F.when(col(component) == c, col(value))).alias(c) for c in (observed, *parts)]
     wide = df.filter(col(component).isin([observed, *parts])).groupBy(*t).agg(*columns)
     total = sum((F.col(p) for p in parts[1:]), F.col(parts[0]))
-    return wide.withColumn("sum", total).withColumn("residual", F.col(observed) - F.col("sum")).filter(
+    return wide.withColumn("residual", F.col(observed) - total).withColumn("total", total).filter(
         F.col("residual").isNotNull()
     )
 

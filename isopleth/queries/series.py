@@ -242,7 +242,7 @@ def budget(spark, sf_dir):
 
 @query(f'WITH {BUDGET_SQL} SELECT month, round(observed, 2) AS observed, round("sum", 2) AS "sum", round(residual, 2) AS residual FROM resid')
 def budget_residual(spark, sf_dir):
-    return budget(spark, sf_dir).select("month", *[rounded(c, 2).alias(c) for c in ("observed", "sum", "residual")])
+    return budget(spark, sf_dir).withColumnRenamed("total", "sum").select("month", *[rounded(c, 2).alias(c) for c in ("observed", "sum", "residual")])
 
 
 @query(f"""WITH {BUDGET_SQL} SELECT count(*) AS n, round(arg_max(abs(residual), month), 2) AS last_gap,

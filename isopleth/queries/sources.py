@@ -85,7 +85,7 @@ def source_parallel(spark, sf_dir):
     docs = paged(observations(spark, sf_dir), "event_id").agg(packed.alias("z"))
     docs.select(F.lit("Sv").alias("units"), *[F.col(f"z.{k}").alias(k) for k in columns]).write.json(path)
     arrays = {"i": "bigint", "t": "date", "v": "double"}
-    return documents.read_parallel(spark, path, arrays, scalars={"units": "string"}, lines=True)
+    return documents.read_parallel(spark, path, arrays, scalars={"units": "string"}, lines=True).drop("position")
 
 
 @query("""
@@ -199,7 +199,7 @@ def source_missions(spark, sf_dir):
     notes = table(spark, sf_dir, "region").select(F.explode(F.array(F.concat(F.lit("#"), "r_name"), F.lit("year,a,b,c"), F.lit(""))).alias("value"))
     path = scratch_path(spark, "missions")
     rows.unionByName(notes).write.text(path)
-    return tables.read_missions(spark, path)
+    return tables.read_missions(spark, path).drop("position")
 
 
 @query("SELECT CAST(o_orderkey AS INTEGER) AS year, round(o_totalprice, 2) AS value FROM orders WHERE o_orderkey % 6 NOT IN (1, 2, 3)")

@@ -74,10 +74,11 @@ def read_positional(spark: SparkSession, path, field: str, fields: dict[str, str
 
 
 def read_parallel(
-    spark: SparkSession, path, arrays: dict[str, str], inside: str | None = None, scalars: dict[str, str] | None = None, lines: bool = False
+    spark: SparkSession, path, arrays: dict[str, str], inside: str | None = None, scalars: dict[str, str] | None = None, lines: bool = False, position: str = "position"
 ) -> DataFrame:
     """Equally long arrays, one per column, to rows. ``inside`` names the object that
-    holds the arrays; ``scalars`` are copied to every row."""
+    holds the arrays; ``scalars`` are copied to every row. ``position`` is the place in
+    the arrays, which orders samples of equal time."""
     scalars = scalars or {}
     listed = ", ".join(f"`{n}` array<{t}>" for n, t in arrays.items())
     nested = ",".join(f"`{n}`:array<{t}>" for n, t in arrays.items())
@@ -86,10 +87,10 @@ def read_parallel(
     docs = read_documents(spark, path, ", ".join(schema), lines)
     prefix = f"{inside}." if inside else ""
     zipped = F.arrays_zip(*[F.col(f"{prefix}{n}").alias(n) for n in arrays])
-    rows = docs.select(*scalars, F.explode(zipped).alias("_z"))
+    rows = docs.select(*scalars, F.posexplode(zipped).alias(position, "_z"))
     doubles = {n for n, t in arrays.items() if t == "double"}
     return rows.select(
-        *scalars, *[(nan_to_null(F.col("_z")[n]) if n in doubles else F.col("_z")[n]).alias(n) for n in arrays]
+        *scalars, position, *[(nan_to_null(F.col("_z")[n]) if n in doubles else F.col("_z")[n]).alias(n) for n in arrays]
     )
 
 

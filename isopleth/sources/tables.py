@@ -45,12 +45,14 @@ def read_budget_sheet(spark: SparkSession, path) -> DataFrame:
 def read_missions(spark: SparkSession, path) -> DataFrame:
     """Decimal year and the last non-blank mission column; any number of missions.
 
-    Comments, the header and rows without a value are skipped.
+    Comments, the header and rows without a value are skipped. ``position`` keeps the
+    order of the lines, since missions can share a time.
     """
     lines = spark.read.text(path).filter(~F.col("value").startswith("#"))
     fields = F.split("value", ",")
     filled = F.filter(F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(1))), lambda x: F.trim(x) != "")
     parsed = lines.select(
+        F.monotonically_increasing_id().alias("position"),
         rounded(number(F.get(fields, F.lit(0))), 3).alias("t"),
         rounded(number(F.try_element_at(filled, F.lit(-1))), 1).alias("v"),
     )
