@@ -144,6 +144,8 @@ def nearest_sample(
     right = samples.select(*series, t, F.lit(None).cast(dict(probes.dtypes)[probe_id]).alias(probe_id), sample.alias("s"))
     both = ordered(left.unionByName(right), series, [t, probe_id])
     near = neighbours(both, F.col("s"), "b", "a").filter(col(probe_id).isNotNull())
+    # A sample at the probe time sorts before the probe; it is also the next one.
+    near = near.withColumn("a", F.when(F.col("b.t") == col(t), F.col("b")).otherwise(F.col("a")))
     back, ahead = col(t) - F.col("b.t"), F.col("a.t") - col(t)
     inside = F.col("a").isNotNull() & F.col("b").isNotNull()
     pick = F.when(inside, F.when(ahead <= back, F.col("a")).otherwise(F.col("b")))
@@ -202,7 +204,8 @@ def closure(residuals: DataFrame, t: str, residual: str = "residual") -> DataFra
 def early_warning(df: DataFrame, series: list[str], time: str, value: str, window: int) -> DataFrame:
     """Rolling variance and lag-1 autocorrelation of the detrended monthly series.
 
-    Windows of ``window`` months; rows before the first full window are dropped.
+    Windows of ``window`` months; rows before the first full window are dropped. A
+    window without variance has no autocorrelation.
     """
     months = monthly(df, series, time, value)
     k = F.year("month") * 12 + F.month("month") - 1
@@ -214,9 +217,14 @@ def early_warning(df: DataFrame, series: list[str], time: str, value: str, windo
     frame = in_order.rowsBetween(-(window - 1), 0)
     rest = indexed.withColumn("resid", F.col("value") - (slope * F.col("k") + intercept))
     pairs = rest.withColumn("resid_before", F.lag("resid").over(in_order))
+    pair_frame = in_order.rowsBetween(-(window - 2), 0)
+    both = F.col("resid_before").isNotNull()
+    here = F.when(both, F.col("resid"))
+    spread = F.stddev_pop(here).over(pair_frame) * F.stddev_pop("resid_before").over(pair_frame)
+    lag1 = F.covar_pop(here, F.col("resid_before")).over(pair_frame) / F.when(spread > 0, spread)
     return (
         pairs.withColumn("variance", F.var_pop("resid").over(frame))
-        .withColumn("lag1", F.corr("resid", "resid_before").over(in_order.rowsBetween(-(window - 2), 0)))
+        .withColumn("lag1", lag1)
         .withColumn("rows", F.count(F.lit(1)).over(frame))
         .filter(F.col("rows") == window)
         .select(*series, "month", "resid", "variance", "lag1")

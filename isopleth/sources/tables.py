@@ -36,7 +36,7 @@ def _positional(spark: SparkSession, path, width: int) -> DataFrame:
 def read_budget_sheet(spark: SparkSession, path) -> DataFrame:
     """CSV export of the budget sheet; rows without a year (the header too) are skipped."""
     sheet = _positional(spark, path, max(BUDGET_COLUMNS) + 1)
-    year = number("c0").cast("int")
+    year = number("c0").try_cast("int")
     return sheet.filter(year.isNotNull()).select(
         year.alias("year"), *[rounded(number(f"c{i}"), 1).alias(name) for i, name in BUDGET_COLUMNS.items()]
     )
@@ -62,7 +62,7 @@ def read_missions(spark: SparkSession, path) -> DataFrame:
 def read_annual(spark: SparkSession, path) -> DataFrame:
     """Year and annual mean; banner rows and years without a mean are skipped."""
     raw = _positional(spark, path, ANNUAL_WIDTH).filter(F.col("c0").rlike("^[0-9]+$"))
-    annual = raw.select(F.col("c0").cast("int").alias("year"), rounded(number(f"c{ANNUAL_COLUMN}"), 2).alias("value"))
+    annual = raw.select(F.col("c0").try_cast("int").alias("year"), rounded(number(f"c{ANNUAL_COLUMN}"), 2).alias("value"))
     return annual.filter(F.col("value").isNotNull())
 
 
