@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.colour import pack_rgb
-from ..plans.joins import lookup_join, sized
+from ..plans.joins import BROADCAST_ROWS, within
+
+# Bins make at most twice as many intervals, listed under at most 14 buckets per bin.
+FORWARD_ROWS = BROADCAST_ROWS // 14
 
 
 def value_table(colormap: DataFrame) -> DataFrame:
@@ -25,7 +28,10 @@ def invert(pixels: DataFrame, colormap: DataFrame) -> DataFrame:
     """Pixels ``(colormap_id, r, g, b, a, ...)`` to values; transparent pixels and
     colours outside the table are missing and dropped."""
     opaque = pixels.filter(F.col("a") != 0).withColumn("rgb_key", pack_rgb("r", "g", "b"))
-    return lookup_join(opaque, value_table(colormap), ["colormap_id", "rgb_key"], "inner").drop("rgb_key")
+    table = value_table(colormap)
+    if within(colormap):
+        table = F.broadcast(table)
+    return opaque.join(table, ["colormap_id", "rgb_key"], "inner").drop("rgb_key")
 
 
 def _search_end(n, gap):
@@ -86,6 +92,8 @@ def forward(values: DataFrame, colormap: DataFrame, value: str = "value") -> Dat
     equal buckets; each interval is listed under every bucket it touches and the
     lookup is an equi-join on the bucket with the interval test as a residual.
     """
+    # Every table below has at most a small multiple of the colormap's rows.
+    place = F.broadcast if within(colormap, FORWARD_ROWS) else (lambda table: table)
     span = intervals(colormap)
     width = (F.col("ceiling") - F.col("floor")) / (F.col("bins") * 4)
 
@@ -109,7 +117,7 @@ def forward(values: DataFrame, colormap: DataFrame, value: str = "value") -> Dat
         F.max_by("rgb_key", by_lo).alias("last_rgb"),
     )
     placed = (
-        lookup_join(values, ends, ["colormap_id"], "inner")
+        values.join(place(ends), ["colormap_id"], "inner")
         .withColumn(
             "end_rgb",
             F.when(F.col(value) <= F.col("floor"), F.col("first_rgb")).when(
@@ -118,7 +126,7 @@ def forward(values: DataFrame, colormap: DataFrame, value: str = "value") -> Dat
         )
         .withColumn("bucket", F.when(F.col("end_rgb").isNull(), bucket(F.col(value))))
     )
-    v, s = placed.alias("v"), sized(listed).alias("s")
+    v, s = placed.alias("v"), place(listed).alias("s")
     match = (
         (F.col("v.colormap_id") == F.col("s.colormap_id"))
         & (F.col("v.bucket") == F.col("s.bucket"))

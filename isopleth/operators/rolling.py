@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import MAX_SAMPLES, compare_date_value, sample_date_values
 from ..functions.missing import col, finite
-from ..plans.joins import lookup_join, sized
+from ..plans.joins import settled, within
 
 
 def on_dates(df: DataFrame, dates: list[dt.date], day: str = "day", time: str | None = None) -> DataFrame:
@@ -159,6 +159,9 @@ def probe(points: DataFrame, obs: DataFrame, keys: list[str], field) -> DataFram
     ``field`` turns observations into one row per pixel key; only observations on
     the requested pixels reach it. Points over empty pixels keep a null value.
     """
-    requested = points.select(*keys).distinct()
-    wanted = obs.join(sized(requested), keys, "left_semi")
-    return lookup_join(points, field(wanted), keys, "left")
+    requested = settled(points.select(*keys).distinct(), "requested")
+    small = within(requested)
+    wanted = obs.join(F.broadcast(requested) if small else requested, keys, "left_semi")
+    # The field has no more rows than there are requested pixels.
+    pixels = field(wanted)
+    return points.join(F.broadcast(pixels) if small else pixels, keys, "left")

@@ -1,21 +1,42 @@
-"""Joins against lookup tables whose size is checked before they are broadcast."""
+"""Joins against lookup tables whose size is known or checked before they are broadcast."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 # A broadcast copy lives on every executor; lookup rows here are a few numbers wide.
 BROADCAST_ROWS = 200_000
 
 
-def sized(lookup: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark for broadcast when the lookup is proven small; otherwise leave the join to
-    a shuffle, where adaptive execution splits partitions of hot keys."""
-    small = lookup.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(lookup) if small else lookup
+def settled(lookup: DataFrame, label: str = "lookup") -> DataFrame:
+    """The lookup written once to the shared scratch folder, so that checking its size
+    and joining to it do not compute it twice."""
+    path = scratch_path(lookup.sparkSession, label)
+    lookup.write.parquet(path)
+    return lookup.sparkSession.read.parquet(path)
+
+
+def within(lookup: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether the lookup has at most ``rows`` rows; reads no more than that."""
+    return lookup.limit(rows + 1).count() <= rows
+
 
+def lookup_join(
+    fact: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", bound: int | None = None
+) -> DataFrame:
+    """Equi-join of a large table to a lookup with unique keys.
 
-def lookup_join(fact: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS):
-    """Equi-join of a large table to a lookup with unique keys."""
-    return fact.join(sized(lookup, max_rows), on, how)
+    ``bound`` is a proven limit on the lookup's rows; without one the lookup is
+    written out and counted. Small lookups are broadcast and the large side is not
+    shuffled. Others are left to a shuffle join, where adaptive execution splits
+    the partitions of hot keys.
+    """
+    if bound is None:
+        lookup = settled(lookup)
+        small = within(lookup)
+    else:
+        small = bound <= BROADCAST_ROWS
+    return fact.join(F.broadcast(lookup) if small else lookup, on, how)

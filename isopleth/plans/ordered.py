@@ -38,6 +38,12 @@ class Ordered:
     def local(self) -> Window:
         return Window.partitionBy(*self._group).orderBy(*self.order)
 
+    def local_down(self) -> Window:
+        return Window.partitionBy(*self._group).orderBy(*[F.col(c).desc() for c in self.order])
+
+    def across_down(self) -> Window:
+        return Window.partitionBy(*self.series).orderBy(F.col(CHUNK).desc())
+
     def across(self) -> Window:
         """Over the summary rows: one per (series, chunk), so at most as many as chunks."""
         return Window.partitionBy(*self.series).orderBy(CHUNK)
@@ -112,18 +118,20 @@ def previous(o: Ordered, value: Column, name: str) -> DataFrame:
 
 def neighbours(o: Ordered, value: Column, before: str, after: str) -> DataFrame:
     """Rows plus the nearest non-null ``value`` at or before, and at or after, each row."""
-    value_at = value
+    # Looking ahead is looking back in descending order: a frame that grows at its
+    # start would be recomputed for every row.
+    until_here = (Window.unboundedPreceding, 0)
     left = o.across().rowsBetween(Window.unboundedPreceding, -1)
-    right = o.across().rowsBetween(1, Window.unboundedFollowing)
-    summary = o.summary(o.newest(value_at).alias("_newest"), o.oldest(value_at).alias("_oldest")).select(
+    right = o.across_down().rowsBetween(Window.unboundedPreceding, -1)
+    summary = o.summary(o.newest(value).alias("_newest"), o.oldest(value).alias("_oldest")).select(
         *o._group,
         F.last("_newest", ignorenulls=True).over(left).alias("_carried_before"),
-        F.first("_oldest", ignorenulls=True).over(right).alias("_carried_after"),
+        F.last("_oldest", ignorenulls=True).over(right).alias("_carried_after"),
+    )
+    nearest = F.last(value, ignorenulls=True)
+    rows = o.rows.withColumn("_b", nearest.over(o.local().rowsBetween(*until_here))).withColumn(
+        "_a", nearest.over(o.local_down().rowsBetween(*until_here))
     )
-    local = o.local()
-    rows = o.rows.withColumn(
-        "_b", F.last(value_at, ignorenulls=True).over(local.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("_a", F.first(value_at, ignorenulls=True).over(local.rowsBetween(0, Window.unboundedFollowing)))
     return (
         o.join_summary(rows, summary)
         .withColumn(before, F.coalesce("_b", "_carried_before"))

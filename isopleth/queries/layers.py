@@ -52,7 +52,7 @@ def layer_posture(spark, sf_dir):
         "layer", "timed", "can_delta", "can_window", "posture", "display", "not_differenced", "level_cap", "dateless_reason"
     )
     stats = layered(spark, sf_dir).groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
-    out = lookup_join(stats, rules, ["layer"], "inner")
+    out = lookup_join(stats, rules, ["layer"], "inner", bound=len(IDS))
     allowed = F.col("timed") & F.col("can_window")
     return out.withColumn("mean", F.when(allowed, rounded("mean", 9))).drop("timed")
 
