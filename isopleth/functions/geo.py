@@ -49,6 +49,10 @@ class Grid:
         half_y = (north - south) / (ny - 1) / 2
         return Grid(west - half_x, south - half_y, east + half_x, north + half_y, nx, ny)
 
+    @property
+    def whole_globe(self) -> bool:
+        return (self.west, self.south, self.east, self.north) == (-180, -90, 180, 90)
+
     def contains(self, lon: Column | str, lat: Column | str) -> Column:
         lon, lat = col(lon), col(lat)
         return (lat >= self.south) & (lat < self.north) & (lon >= self.west) & (lon < self.east)

@@ -19,9 +19,9 @@ def nan_to_null(c: Column | str) -> Column:
 
 
 def finite(c: Column | str) -> Column:
-    """True for a real number, false for NULL, NaN and the infinities."""
-    c = col(c)
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    """True for a real number, false for NaN (which sorts above infinity) and the
+    infinities, null for NULL."""
+    return F.abs(col(c)) < F.lit(float("inf"))
 
 
 def number(c: Column | str) -> Column:

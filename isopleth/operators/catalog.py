@@ -16,14 +16,15 @@ LIST_ROWS = 150
 def matches(
     text: str = "", domain: str | None = None, amoc: bool = False, globe: bool = False, fields=SEARCH_FIELDS
 ) -> Column:
-    """One predicate from the optional filters; an unset flag on a record counts as false."""
+    """One predicate from the optional filters. An unset flag or domain never matches, as
+    a filter and a conditional count take null for no; the plain comparison reaches the scan."""
     hit = F.lit(True)
     if domain:
-        hit = hit & F.coalesce(col("domain") == domain, F.lit(False))
+        hit = hit & (col("domain") == domain)
     if amoc:
-        hit = hit & F.coalesce(col("amoc"), F.lit(False))
+        hit = hit & col("amoc")
     if globe:
-        hit = hit & F.coalesce(col("globe"), F.lit(False))
+        hit = hit & col("globe")
     if text:
         hit = hit & contains_ci(haystack(*fields), text)
     return hit

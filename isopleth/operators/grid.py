@@ -16,11 +16,12 @@ DAYS_PER_YEAR = 365.25
 def locate(df: DataFrame, grid: Grid, lon: str = "lon", lat: str = "lat", wrapped: bool = False) -> DataFrame:
     """Add ``ix, iy``; drop points outside the half-open box.
 
-    The box predicate is on the coordinates, before any index arithmetic. With
-    ``wrapped`` (longitudes already in [-180, 180)) it reaches the file scan.
+    The box predicate of a regional grid is on the coordinates, before any index
+    arithmetic. With ``wrapped`` (longitudes already in [-180, 180)) it reaches the
+    file scan.
     """
     x = col(lon) if wrapped else wrap_lon(lon)
-    inside = df.filter(grid.contains(x, lat))
+    inside = df if grid.whole_globe else df.filter(grid.contains(x, lat))
     return inside.withColumn("ix", grid.ix(x)).withColumn("iy", grid.iy(lat)).filter(grid.in_range("ix", "iy"))
 
 
@@ -121,11 +122,18 @@ def sample(
 
 
 def paint_tiles(
-    cells: DataFrame, grid: Grid, z: int, size: int = 256, keys: tuple[str, ...] = (), value: str = "value"
+    cells: DataFrame,
+    grid: Grid,
+    z: int,
+    size: int = 256,
+    keys: tuple[str, ...] = (),
+    value: str = "value",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Grid cells to the tile pixels whose centres they cover: ``(keys, x, y, px, py, value)``.
 
-    Each cell writes its own pixels, so nothing is shuffled. Pixels are counted
+    Each cell writes its own pixels, so nothing is shuffled. Few cells at a fine level
+    write many pixels each: ``tasks`` then spreads the pixel rows of every cell. Pixels are counted
     across the whole level (from 180W and 90N); the candidate range of a cell is one
     pixel wider on each side and the exact test is the cell index of the pixel centre.
     """
@@ -157,6 +165,8 @@ def paint_tiles(
     by_row = by_row.filter(
         (F.col("_lat") >= grid.south) & (F.col("_lat") < grid.north) & (grid.iy("_lat") == F.col("iy"))
     )
+    if tasks is not None:
+        by_row = by_row.repartition(tasks, *keys, "gy", "ix")
     by_pixel = by_row.select("*", F.explode(columns).alias("gx")).withColumn("_lon", lon_of(F.col("gx")))
     by_pixel = by_pixel.filter(
         (F.col("_lon") >= grid.west) & (F.col("_lon") < grid.east) & (grid.ix("_lon") == F.col("ix"))

@@ -42,10 +42,11 @@ def _by_count(dates: list[dt.date]) -> dict[int, list[dt.date]]:
 
 def _mean(value: str, day: str, dates: list[dt.date]) -> tuple[Column, Column]:
     """Mean over the rows on ``dates`` and the number of samples that had data."""
+    if len(set(dates)) == len(dates):
+        inside = col(day).isin(dates)
+        return F.avg(F.when(inside, col(value))), F.count(F.when(inside, col(value)))
     weight = _weight(day, dates)
     counted = F.sum(F.when(col(value).isNotNull(), weight))
-    if len(set(dates)) == len(dates):
-        return F.avg(F.when(weight > 0, col(value))), F.coalesce(counted, F.lit(0))
     total = F.sum(F.when(weight > 0, col(value) * weight))
     return total / F.when(counted > 0, counted), F.coalesce(counted, F.lit(0))
 
@@ -66,7 +67,8 @@ def window_mean(
     """Per-key mean over the sampled dates of a window; a key seen on none is absent."""
     dates = sample_date_values(end, days, max_samples, monthly, latest, dedupe)
     seen = on_dates(obs, dates, day, time).filter(finite(value))
-    mean, n = _mean(value, day, dates)
+    repeated = len(set(dates)) < len(dates)
+    mean, n = _mean(value, day, dates) if repeated else (F.avg(value), F.count(F.lit(1)))
     return seen.groupBy(*keys).agg(mean.alias("value"), n.cast("long").alias("n"))
 
 

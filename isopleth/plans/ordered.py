@@ -21,11 +21,16 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 CHUNK = "_chunk"
+SERIES = "_series"
 
 
 @dataclass(frozen=True)
 class Ordered:
-    """Rows tagged with chunk numbers. ``order`` must be a total order within a series."""
+    """Rows tagged with chunk numbers. ``order`` must be a total order within a series.
+
+    The series columns are held together in one struct: structs with missing parts
+    compare equal, so a series whose key is missing joins like any other.
+    """
 
     rows: DataFrame
     series: tuple[str, ...]
@@ -35,6 +40,9 @@ class Ordered:
     def _group(self) -> list[str]:
         return [*self.series, CHUNK]
 
+    def untagged(self, rows: DataFrame) -> DataFrame:
+        return rows.drop(*self._group)
+
     def local(self) -> Window:
         return Window.partitionBy(*self._group).orderBy(*self.order)
 
@@ -70,7 +78,10 @@ def ordered(df: DataFrame, series: list[str], order: list[str]) -> Ordered:
         .withColumn(CHUNK, F.spark_partition_id())
         .write.parquet(path)
     )
-    return Ordered(df.sparkSession.read.parquet(path), tuple(series), tuple(order))
+    rows = df.sparkSession.read.parquet(path)
+    if series:
+        rows = rows.withColumn(SERIES, F.struct(*series))
+    return Ordered(rows, (SERIES,) if series else (), tuple(order))
 
 
 def running_sum(o: Ordered, value: Column, name: str) -> DataFrame:
@@ -81,11 +92,12 @@ def running_sum(o: Ordered, value: Column, name: str) -> DataFrame:
     )
     here = F.sum(value).over(o.local().rowsBetween(Window.unboundedPreceding, 0))
     rows = o.rows.withColumn("_here", here)
-    return (
+    out = (
         o.join_summary(rows, offsets)
         .withColumn(name, F.col("_here") + F.col("_before"))
-        .drop("_here", "_before", CHUNK)
+        .drop("_here", "_before")
     )
+    return o.untagged(out)
 
 
 def row_numbers(o: Ordered, name: str = "rn") -> DataFrame:
@@ -95,11 +107,12 @@ def row_numbers(o: Ordered, name: str = "rn") -> DataFrame:
         *o._group, F.coalesce(before, F.lit(0)).alias("_before")
     )
     rows = o.rows.withColumn("_here", F.row_number().over(o.local()))
-    return (
+    out = (
         o.join_summary(rows, offsets)
         .withColumn(name, F.col("_here") + F.col("_before"))
-        .drop("_here", "_before", CHUNK)
+        .drop("_here", "_before")
     )
+    return o.untagged(out)
 
 
 def previous(o: Ordered, value: Column, name: str) -> DataFrame:
@@ -109,11 +122,12 @@ def previous(o: Ordered, value: Column, name: str) -> DataFrame:
         *o._group, F.lag("_last").over(o.across()).alias("_carried")
     )
     rows = o.rows.withColumn("_lag", F.lag(packed).over(o.local()))
-    return (
+    out = (
         o.join_summary(rows, summary)
         .withColumn(name, F.coalesce(F.col("_lag"), F.col("_carried"))["v"])
-        .drop("_lag", "_carried", CHUNK)
+        .drop("_lag", "_carried")
     )
+    return o.untagged(out)
 
 
 def neighbours(o: Ordered, value: Column, before: str, after: str) -> DataFrame:
@@ -132,9 +146,10 @@ def neighbours(o: Ordered, value: Column, before: str, after: str) -> DataFrame:
     rows = o.rows.withColumn("_b", nearest.over(o.local().rowsBetween(*until_here))).withColumn(
         "_a", nearest.over(o.local_down().rowsBetween(*until_here))
     )
-    return (
+    out = (
         o.join_summary(rows, summary)
         .withColumn(before, F.coalesce("_b", "_carried_before"))
         .withColumn(after, F.coalesce("_a", "_carried_after"))
-        .drop("_b", "_a", "_carried_before", "_carried_after", CHUNK)
+        .drop("_b", "_a", "_carried_before", "_carried_after")
     )
+    return o.untagged(out)

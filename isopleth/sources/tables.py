@@ -82,11 +82,16 @@ def read_rates(spark: SparkSession, path, key: str = "rgi_id", period: str = RAT
     return spark.read.parquet(path).filter(F.col("period") == period).select(key, "dhdt")
 
 
-def write_cube(field: DataFrame, path: str, dataset: str, time: str = "time") -> None:
-    """Field cells in long form, partitioned by dataset and year."""
+def write_cube(field: DataFrame, path: str, dataset: str, time: str = "time", cell: tuple[str, ...] = ()) -> None:
+    """Field cells in long form, partitioned by dataset and year.
+
+    Rows are ranged by time and cell, so a crowded year spreads over files of similar
+    size and each file covers a short span of times.
+    """
     (
         field.withColumn("dataset", F.lit(dataset))
         .withColumn("year", F.year(time))
+        .repartitionByRange("year", time, *cell)
         .write.mode("append")
         .partitionBy("dataset", "year")
         .parquet(path)

@@ -79,10 +79,13 @@ def test_sampling_reads_back_the_cells(obs):
     assert {r["sampled"] for r in outside.collect()} == {None}
 
 
-def test_painted_pixels_match_direct_sampling(spark):
+@pytest.mark.parametrize("tasks", [None, 5])
+def test_painted_pixels_match_direct_sampling(spark, tasks):
     g = Grid(-50.0, 10.0, 70.0, 80.0, 7, 9)
     cells = spark.range(63).select((F.col("id") % 7).alias("ix"), F.floor(F.col("id") / 7).alias("iy"), F.col("id").cast("double").alias("value"))
-    got = {(r["x"], r["y"], r["px"], r["py"]): r["value"] for r in grid.paint_tiles(cells, g, z=2, size=16).collect()}
+    painted = grid.paint_tiles(cells, g, z=2, size=16, tasks=tasks).collect()
+    got = {(r["x"], r["y"], r["px"], r["py"]): r["value"] for r in painted}
+    assert len(painted) == len(got)
     want, span = {}, 45.0
     for x in range(8):
         for y in range(4):

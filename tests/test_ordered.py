@@ -18,7 +18,7 @@ def rows():
     rng = random.Random(7)
     out = []
     for i in range(900):
-        series = "hot" if rng.random() < 0.6 else f"s{i % 5}"
+        series = "hot" if rng.random() < 0.6 else ("(none)" if i % 5 == 0 else f"s{i % 5}")
         # many equal times, one of them crowded, so that chunks split inside a time
         t = 50 if rng.random() < 0.3 else rng.randrange(100)
         out.append((i, series, t, None if rng.random() < 0.2 else round(rng.uniform(-5, 5), 2)))
@@ -27,7 +27,7 @@ def rows():
 
 @pytest.fixture
 def df(many_chunks, rows):
-    data = [(int(a), b, int(c), None if np.isnan(d) else float(d)) for a, b, c, d in rows.itertuples(index=False)]
+    data = [(int(a), None if b == "(none)" else b, int(c), None if np.isnan(d) else float(d)) for a, b, c, d in rows.itertuples(index=False)]
     return many_chunks.createDataFrame(data, "id long, series string, t long, v double")
 
 
@@ -62,7 +62,7 @@ def test_previous_keeps_nulls(df, rows):
 
 
 def test_block_mean(df, rows):
-    got = s.block_mean(df, ["series"], "t", "id", ["v"], step=7).toPandas().sort_values(["series", "block"])
+    got = s.block_mean(df, ["series"], "t", "id", ["v"], step=7).fillna("(none)", ["series"]).toPandas().sort_values(["series", "block"])
     want = []
     for name, group in in_order(rows).groupby("series"):
         for b in range(len(group) // 7):
@@ -80,7 +80,7 @@ def test_block_of_missing_samples_is_missing(many_chunks):
 
 
 def test_gap_segments(df, rows):
-    got = {(r["series"], r["start"], r["end"], r["n"]) for r in s.gap_segments(df, ["series"], "t", "id", "v").collect()}
+    got = {(r["series"], r["start"], r["end"], r["n"]) for r in s.gap_segments(df, ["series"], "t", "id", "v").fillna("(none)", ["series"]).collect()}
     want = set()
     for name, group in in_order(rows).groupby("series"):
         run = []
@@ -98,7 +98,7 @@ def test_gap_segments(df, rows):
 def test_nearest_sample(df, rows, outside):
     samples = df.filter("v is not null").groupBy("series", "t").agg(F.avg("v").alias("v"))
     probes = df.select("id", "series", (F.col("t") * 2 - 50).alias("t"))
-    got = s.nearest_sample(probes, samples, ["series"], "t", "id", "v", outside).collect()
+    got = s.nearest_sample(probes, samples, ["series"], "t", "id", "v", outside).fillna("(none)", ["series"]).collect()
     known = rows.dropna().groupby(["series", "t"])["v"].mean()
     assert len(got) == len(rows)
     for r in got:
