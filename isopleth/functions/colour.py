@@ -86,19 +86,23 @@ def spread_colour(spread: Column | str) -> Column:
     return _rgba(*[F.when(visible, c).otherwise(zero) for c in (r, g, b, alpha)])
 
 
-def delta_direction(d: Column | str, scale: float = DELTA_RANGE) -> Column:
-    d = col(d)
+def _scale(scale: float | Column) -> Column:
+    return scale if isinstance(scale, Column) else F.lit(float(scale))
+
+
+def delta_direction(d: Column | str, scale: float | Column = DELTA_RANGE) -> Column:
+    d, scale = col(d), _scale(scale)
     return (
-        F.when(F.abs(d) < F.lit(scale * DELTA_DEAD_ZONE), F.lit("none"))
+        F.when(F.abs(d) < scale * DELTA_DEAD_ZONE, F.lit("none"))
         .when(d > 0, F.lit("increase"))
         .otherwise(F.lit("decrease"))
     )
 
 
-def delta_colour(d: Column | str, scale: float = DELTA_RANGE) -> Column:
-    d = col(d)
-    t = clamp(d / F.lit(float(scale)), -1, 1)
-    hidden = F.abs(d) < F.lit(scale * DELTA_DEAD_ZONE)
+def delta_colour(d: Column | str, scale: float | Column = DELTA_RANGE) -> Column:
+    d, scale = col(d), _scale(scale)
+    t = clamp(d / scale, -1, 1)
+    hidden = F.abs(d) < scale * DELTA_DEAD_ZONE
     alpha = half_up(F.least(F.lit(1.0), F.abs(t) + DELTA_ALPHA_FLOOR) * DELTA_ALPHA)
     channels = [
         F.when(hidden, F.lit(0)).when(t > 0, F.lit(warm)).otherwise(F.lit(cool))

@@ -6,7 +6,7 @@ packed colour and ``pos`` the order in the source file.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.colour import pack_rgb
@@ -16,6 +16,12 @@ from ..plans.joins import BROADCAST_ROWS, within
 FORWARD_ROWS = BROADCAST_ROWS // 14
 
 
+def unpack(rgb_key: Column) -> list[Column]:
+    """Packed colour to red, green and blue."""
+    shifts = (("r", 65536), ("g", 256), ("b", 1))
+    return [(F.floor(rgb_key / F.lit(s)) % 256).cast("int").alias(n) for n, s in shifts]
+
+
 def value_table(colormap: DataFrame) -> DataFrame:
     """One value per colour, the bin middle. A colour used twice takes its highest bin."""
     middle = (F.col("lo") + F.col("hi")) / 2
@@ -31,7 +37,7 @@ def invert(pixels: DataFrame, colormap: DataFrame) -> DataFrame:
     table = value_table(colormap)
     if within(colormap):
         table = F.broadcast(table)
-    return opaque.join(table, ["colormap_id", "rgb_key"], "inner").drop("rgb_key")
+    return opaque.join(table, ["colormap_id", "rgb_key"], "inner")
 
 
 def _search_end(n, gap):
