@@ -68,6 +68,27 @@ def climatology(
     return real.groupBy(*keys).agg((F.avg(value) * factor).alias(name), F.count(F.lit(1)).alias("n"))
 
 
+def grid_from_axes(cells: DataFrame, lon: str = "lon", lat: str = "lat") -> Grid:
+    """The grid whose cell centres are the distinct coordinates; one row reaches the driver."""
+    a = cells.agg(
+        F.min(lon), F.min(lat), F.max(lon), F.max(lat), F.count_distinct(lon)
+    ).first()
+    ny = cells.agg(F.count_distinct(lat)).first()[0]
+    return Grid.from_centres(a[0], a[1], a[2], a[3], a[4], ny)
+
+
+def grid_from_extent(cells: DataFrame, step: float, lon: str = "lon", lat: str = "lat") -> Grid:
+    """A grid of about ``step`` degrees over the extent of scattered or curvilinear cells.
+
+    Coordinates are taken as cell centres: half a step is added on every side, so that
+    the outermost cells stay inside the half-open box.
+    """
+    real = cells.filter(finite(lon) & finite(lat))
+    west, south, east, north = real.agg(F.min(lon), F.min(lat), F.max(lon), F.max(lat)).first()
+    west, south, east, north = west - step / 2, south - step / 2, east + step / 2, north + step / 2
+    return Grid(west, south, east, north, round((east - west) / step), round((north - south) / step))
+
+
 def spine(spark, grid: Grid) -> DataFrame:
     """Every cell of the grid, row-major from the south-west corner."""
     pos = F.col("id")

@@ -15,13 +15,15 @@ from ..plans.ordered import neighbours, ordered, row_numbers, running_sum
 
 
 def block_mean(
-    df: DataFrame, series: list[str], time: str, tiebreak: str, values: list[str], step: int = 20
+    df: DataFrame, series: list[str], time: str, tiebreak: str | None, values: list[str], step: int = 20
 ) -> DataFrame:
     """Mean of every ``step`` consecutive samples; missing samples are left out of it.
 
     A block is dated by its middle sample; the incomplete block at the end is dropped.
+    ``tiebreak`` is unique and orders samples of equal time; None where times are unique.
     """
-    numbered = row_numbers(ordered(df.select(*series, time, tiebreak, *values), series, [time, tiebreak]))
+    order = [time] if tiebreak is None else [time, tiebreak]
+    numbered = row_numbers(ordered(df.select(*series, *order, *values), series, order))
     at = F.col("rn") - 1
     blocks = numbered.withColumn("block", F.floor(at / F.lit(step)).cast("long")).groupBy(*series, "block")
     label = F.max(F.when(at % step == step // 2, col(time))).alias(time)
@@ -120,10 +122,11 @@ def rebase(
     return lookup_join(df, offsets, series, "left").withColumn(value, col(value) + F.col("_shift")).drop("_shift")
 
 
-def gap_segments(df: DataFrame, series: list[str], time: str, tiebreak: str, value: str) -> DataFrame:
+def gap_segments(df: DataFrame, series: list[str], time: str, tiebreak: str | None, value: str) -> DataFrame:
     """Runs of non-missing samples: ``(series, segment, start, end, n)``."""
     missing = F.when(finite(value), F.lit(0)).otherwise(F.lit(1))
-    o = ordered(df.select(*series, time, tiebreak, value), series, [time, tiebreak])
+    order = [time] if tiebreak is None else [time, tiebreak]
+    o = ordered(df.select(*series, *order, value), series, order)
     runs = running_sum(o, missing, "segment").filter(finite(value))
     return runs.groupBy(*series, F.col("segment").cast("long").alias("segment")).agg(
         F.min(time).alias("start"), F.max(time).alias("end"), F.count(F.lit(1)).alias("n")

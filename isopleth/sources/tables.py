@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +69,14 @@ def read_annual(spark: SparkSession, path) -> DataFrame:
 
 
 def read_inventory(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
-    """Regional attribute files as one scan: parsed rows, and the rows that did not parse."""
-    schema = "rgi_id string, cenlon string, cenlat string, area_km2 string"
-    raw = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(paths)
+    """Regional attribute files: parsed rows, and the rows that did not parse.
+
+    Columns are found by the header of each path, so regions may order them differently.
+    """
+    wanted = ["rgi_id", "cenlon", "cenlat", "area_km2"]
+    paths = [paths] if isinstance(paths, str) else paths
+    regions = [spark.read.option("header", True).csv(path).select(*wanted) for path in paths]
+    raw = reduce(lambda a, b: a.unionByName(b), regions)
     good, bad = keep_parsed(raw, ["cenlon", "cenlat", "area_km2"])
     return good.select(
         "rgi_id", rounded("cenlon", 3).alias("lon"), rounded("cenlat", 3).alias("lat"),

@@ -123,7 +123,7 @@ def test_annual(spark, tmp_path):
 def test_inventory_quarantines_whole_rows(spark, tmp_path):
     head = "rgi_id,cenlon,cenlat,area_km2\n"
     a = put(tmp_path, "01.csv", head + "a,1.00049,2,3\nb,1,2,oops\n")
-    b = put(tmp_path, "02.csv", head + "c,4,5,6\nd,,5,6\ne,nan,1,1\n")
+    b = put(tmp_path, "02.csv", "o1,area_km2,cenlat,cenlon,rgi_id\n2,6,5,4,c\n2,6,5,,d\n2,1,1,nan,e\n")
     good, bad = tables.read_inventory(spark, [a, b])
     assert sorted((r["rgi_id"], r["lon"]) for r in good.collect()) == [("a", 1.0), ("c", 4.0)]
     assert sorted(r["rgi_id"] for r in bad.collect()) == ["b", "d", "e"]
