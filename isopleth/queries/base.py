@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,15 +23,25 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; its schema is read from the file footer once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as observations with coordinates and missing values."""
-    e = table(spark, sf_dir, "events")
+    return observed(table(spark, sf_dir, "events"))
+
+
+def observed(events: DataFrame) -> DataFrame:
+    """Events, batch or stream, as observations with coordinates and missing values."""
     i = F.col("event_id")
-    return e.select(
+    return events.select(
         i,
         "ts",
         F.col("user_id").alias("platform"),

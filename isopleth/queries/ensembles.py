@@ -10,7 +10,10 @@ from ..operators import ensemble as en
 from ..operators import grid as g
 from .base import d, observations, query, with_obs
 from .grids import COARSE, FINE, cells_sql, ramp_sql
-from .rolling import OBS_PIXELS, PIXEL, pixelled
+from .rolling import OBS_PIXELS, PIXEL, SIZE, pixel_sql, pixelled
+
+# One day has few observations, so its pixels are larger.
+DAILY_SIZE = 4
 
 MEMBERS = ["signup", "click", "view", "error", "purchase"]
 
@@ -22,8 +25,8 @@ ens AS (
 )"""
 
 
-def _ensemble(spark, sf_dir, extra=()):
-    obs = pixelled(observations(spark, sf_dir))
+def _ensemble(spark, sf_dir, extra=(), size=SIZE):
+    obs = pixelled(observations(spark, sf_dir), size=size)
     return en.ensemble(obs, [*extra, *PIXEL], MEMBERS, "v")
 
 
@@ -54,14 +57,14 @@ def ensemble_spread(spark, sf_dir):
 
 
 @query(
-    with_obs(f""", {OBS_PIXELS},
+    with_obs(f""", {pixel_sql("obs", "pixels", "day, member, v", DAILY_SIZE)},
 per AS (SELECT day, x, y, px, py, member, avg(v) AS m FROM pixels WHERE v IS NOT NULL GROUP BY ALL)
 SELECT day, x, y, px, py, round(avg(m), 9) AS mean, round(stddev_pop(m), 6) AS spread, count(*) AS n_members
 FROM per GROUP BY day, x, y, px, py HAVING count(*) >= 2""")
 )
 def ensemble_daily(spark, sf_dir):
     """The single-date ensemble, for every date at once."""
-    out = _ensemble(spark, sf_dir, ("day",))
+    out = _ensemble(spark, sf_dir, ("day",), DAILY_SIZE)
     return out.select(
         "day", *PIXEL, rounded("mean", 9).alias("mean"), rounded("spread", 6).alias("spread"), "n_members"
     )

@@ -86,10 +86,10 @@ def top_emitters(spark, sf_dir):
 @query(f"""
 WITH {ASSETS_SQL}
 SELECT p_partkey, lon, lat, round(q / {d(1e6)}, 3) AS mt_co2e, name, country, sector
-FROM kept ORDER BY q DESC, p_partkey LIMIT 250 OFFSET 250
+FROM kept ORDER BY q DESC, p_partkey LIMIT 100 OFFSET 100
 """)
 def page_emitters(spark, sf_dir):
-    return _emitter_columns(p.page(emitters(spark, sf_dir), "q", "p_partkey", 250, 250))
+    return _emitter_columns(p.page(emitters(spark, sf_dir), "q", "p_partkey", 100, 100))
 
 
 @query(f"""

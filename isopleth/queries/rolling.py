@@ -19,17 +19,17 @@ PIXEL = ["x", "y", "px", "py"]
 SIZE = 16
 
 
-def pixelled(df, z: int = 0):
+def pixelled(df, z: int = 0, size: int = SIZE):
     placed = df.withColumn("x", tile_x("lon", z)).withColumn("y", tile_y("lat", z))
-    return placed.withColumn("px", pixel_x("lon", "x", z, SIZE)).withColumn("py", pixel_y("lat", "y", z, SIZE))
+    return placed.withColumn("px", pixel_x("lon", "x", z, size)).withColumn("py", pixel_y("lat", "y", z, size))
 
 
-def pixel_sql(source: str, name: str, columns: str) -> str:
-    """Level-0 imagery tiles are 288 degrees wide: 2 x 1 of them, 16 pixels a side here."""
+def pixel_sql(source: str, name: str, columns: str, size: int = SIZE) -> str:
+    """Level-0 imagery tiles are 288 degrees wide: 2 x 1 of them, 16 pixels a side by default."""
     return f"""{name} AS (
   SELECT {columns}, x, y,
-         CAST(greatest(0, least({SIZE - 1}, floor((lon - ({d(-180)} + x * {d(288)})) / {d(288)} * {SIZE}))) AS BIGINT) AS px,
-         CAST(greatest(0, least({SIZE - 1}, floor((({d(90)} - y * {d(288)}) - lat) / {d(288)} * {SIZE}))) AS BIGINT) AS py
+         CAST(greatest(0, least({size - 1}, floor((lon - ({d(-180)} + x * {d(288)})) / {d(288)} * {size}))) AS BIGINT) AS px,
+         CAST(greatest(0, least({size - 1}, floor((({d(90)} - y * {d(288)}) - lat) / {d(288)} * {size}))) AS BIGINT) AS py
   FROM (SELECT *, CAST(greatest(0, least(1, floor((lon + {d(180)}) / {d(288)}))) AS BIGINT) AS x,
                CAST(greatest(0, least(0, floor(({d(90)} - lat) / {d(288)}))) AS BIGINT) AS y FROM {source})
 )"""

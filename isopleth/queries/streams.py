@@ -8,24 +8,14 @@ from ..functions.missing import rounded
 from ..session import scratch_path
 from ..streaming.cells import cell_means, write_closed
 from ..streaming.latest import LatestTable
-from .base import observations, query, with_obs
+from .base import observed, query, table, with_obs
 from .grids import COARSE, cells_sql
 
 
-class _Stream:
-    """Reads tables as streams, so that the batch view can be built on them."""
-
-    def __init__(self, spark):
-        self.spark = spark
-
-    @property
-    def read(self):
-        return self
-
-    def parquet(self, path):
-        folder, name = path.rsplit("/", 1)
-        schema = self.spark.read.parquet(path).schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+def event_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return observed(events)
 
 
 @query(
@@ -35,7 +25,7 @@ QUALIFY row_number() OVER (PARTITION BY platform ORDER BY ts DESC, event_id) = 1
 def stream_latest(spark, sf_dir):
     path = scratch_path(spark, "latest")
     latest = LatestTable(f"{path}/table", ("platform",), "ts", "event_id", ("lon", "lat"))
-    return latest.run(observations(_Stream(spark), sf_dir), f"{path}/checkpoint")
+    return latest.run(event_stream(spark, sf_dir), f"{path}/checkpoint")
 
 
 @query(
@@ -46,7 +36,7 @@ SELECT CAST(start AS DATE) AS day, ix, iy, round(avg(v), 9) AS value, count(*) A
 )
 def stream_cells(spark, sf_dir):
     path = scratch_path(spark, "cells")
-    stream = observations(_Stream(spark), sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
+    stream = event_stream(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
     means = cell_means(stream, COARSE, "at", "v", "1 day", "1 hour")
     write_closed(means, f"{path}/table", f"{path}/checkpoint").awaitTermination()
     cells = spark.read.parquet(f"{path}/table")

@@ -20,6 +20,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("ISOPLETH_DRIVER_MEMORY", "16g"))
         .config("spark.ui.enabled", "false")
+        # Call-site capture costs a round trip per expression and only serves error messages.
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
