@@ -9,25 +9,25 @@ from ..operators import colormap as cm
 from .base import d, query, table
 
 # Sizes above 40 reuse the colour of (size - 40): a colour that appears twice.
-# Sizes divisible by 9 have no entry, which leaves gaps; sizes divisible by 7 are single values.
-MAP_SQL = """sizes AS (SELECT DISTINCT p_type AS colormap_id, p_size FROM part WHERE p_size % 9 <> 0),
+# Sizes below 15 have half a bin, which leaves gaps; sizes from 15 to 24 are single values.
+MAP_SQL = """sizes AS (SELECT DISTINCT p_type AS colormap_id, p_size FROM part),
 cmap AS (
   SELECT colormap_id, CAST(p_size AS BIGINT) AS pos,
          CAST((CASE WHEN p_size > 40 THEN p_size - 40 ELSE p_size END) * 5 * 65536 + 10 * 256 + 7 AS BIGINT) AS rgb_key,
-         CAST(p_size AS DOUBLE) AS lo, CAST(CASE WHEN p_size % 7 = 0 THEN p_size ELSE p_size + 1 END AS DOUBLE) AS hi
+         CAST(p_size AS DOUBLE) AS lo, CASE WHEN p_size < 15 THEN p_size + 0.5::DOUBLE WHEN p_size < 25 THEN p_size::DOUBLE ELSE p_size + 1::DOUBLE END AS hi
   FROM sizes
 )"""
 
 
 def part_colormap(spark, sf_dir):
     size = F.col("p_size")
-    sizes = table(spark, sf_dir, "part").filter(size % 9 != 0).select(F.col("p_type").alias("colormap_id"), size).distinct()
+    sizes = table(spark, sf_dir, "part").select(F.col("p_type").alias("colormap_id"), size).distinct()
     return sizes.select(
         "colormap_id",
         size.cast("long").alias("pos"),
         (F.when(size > 40, size - 40).otherwise(size) * 5 * 65536 + 10 * 256 + 7).cast("long").alias("rgb_key"),
         size.cast("double").alias("lo"),
-        F.when(size % 7 == 0, size).otherwise(size + 1).cast("double").alias("hi"),
+        (size + F.when(size < 15, F.lit(0.5)).when(size < 25, F.lit(0.0)).otherwise(F.lit(1.0))).alias("hi"),
     )
 
 

@@ -33,9 +33,9 @@ def active_fleet(spark, sf_dir):
 
 
 ASSETS_SQL = """assets AS (
-  SELECT p_partkey, CASE WHEN p_partkey % 13 <> 0 THEN round(CAST((p_partkey * 7919) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - 180, 4) END AS lon,
+  SELECT p_partkey, CASE WHEN p_brand <> 'Brand#13' THEN round(CAST((p_partkey * 7919) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - 180, 4) END AS lon,
          round(CAST((p_partkey * 104729) % 18000 AS DOUBLE) / CAST(100 AS DOUBLE) - 90, 4) AS lat,
-         CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice * 1000 END AS q,
+         CASE WHEN p_type <> 'SMALL' THEN p_retailprice * 1000 END AS q,
          substring(coalesce(p_name, ''), 1, 80) AS name, p_brand AS country, p_type AS sector
   FROM part
 ), kept AS (
@@ -48,12 +48,12 @@ def assets(spark, sf_dir):
     """Parts as facilities, with the nested summary the raw pages have."""
     k = F.col("p_partkey")
     entry = lambda gas, q: F.struct(F.lit(gas).alias("Gas"), q.cast("double").alias("EmissionsQuantity"))
-    main = F.when(k % 11 != 0, F.array(
+    main = F.when(F.col("p_type") != "SMALL", F.array(
         entry("ch4", F.col("p_size")), entry("co2e_100yr", F.col("p_retailprice") * 1000), entry("co2e_100yr", F.lit(1.0))
     )).otherwise(F.array(entry("ch4", F.col("p_size"))))
     return table(spark, sf_dir, "part").select(
         k,
-        F.when(k % 13 != 0, ((k * 7919) % 36000).cast("double") / F.lit(100.0) - 180.0).alias("lon"),
+        F.when(F.col("p_brand") != "Brand#13", ((k * 7919) % 36000).cast("double") / F.lit(100.0) - 180.0).alias("lon"),
         (((k * 104729) % 18000).cast("double") / F.lit(100.0) - 90.0).alias("lat"),
         main.alias("summary"),
         F.substring(F.coalesce("p_name", F.lit("")), 1, 80).alias("name"),
@@ -102,7 +102,7 @@ def all_pages(spark, sf_dir):
 
 
 RATES_SQL = """rates AS (
-  SELECT l_partkey AS id, CASE WHEN count(*) % 7 = 0 THEN 'NaN'::DOUBLE
+  SELECT l_partkey AS id, CASE WHEN count(*) > 12 THEN 'NaN'::DOUBLE
          ELSE CAST(sum(CAST(round((l_tax - l_discount) * 100) AS BIGINT)) AS DOUBLE) / count(*) / 4 END AS rate
   FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_partkey
 ), inventory AS (
@@ -119,7 +119,7 @@ def inventory(spark, sf_dir):
         table(spark, sf_dir, "lineitem")
         .filter(F.col("l_returnflag") == "A")
         .groupBy(F.col("l_partkey").alias("id"))
-        .agg(F.when(n % 7 == 0, F.lit(float("nan"))).otherwise(F.sum(hundredths) / n / 4).alias("rate"))
+        .agg(F.when(n > 12, F.lit(float("nan"))).otherwise(F.sum(hundredths) / n / 4).alias("rate"))
     )
     parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), "p_brand", F.col("p_retailprice").alias("area")

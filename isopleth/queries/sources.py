@@ -34,10 +34,10 @@ SELECT lon, lat, round(q / {d(1e6)}, 3) AS mt_co2e, name, country, sector FROM k
 def source_asset_pages(spark, sf_dir):
     k = F.col("p_partkey")
     gas = lambda name, qty: F.struct(F.lit(name).alias("Gas"), qty.cast("double").alias("EmissionsQuantity"))
-    lon = F.when(k % 13 != 0, F.round(((k * 7919) % 36000).cast("double") / F.lit(100.0) - 180.0, 4))
+    lon = F.when(F.col("p_brand") != "Brand#13", F.round(((k * 7919) % 36000).cast("double") / F.lit(100.0) - 180.0, 4))
     lat = F.round(((k * 104729) % 18000).cast("double") / F.lit(100.0) - 90.0, 4)
     place = F.when(lon.isNotNull(), F.struct(F.array(lon, lat).alias("Geometry")))
-    main = F.when(k % 11 != 0, gas("co2e_100yr", F.col("p_retailprice") * 1000)).otherwise(gas("n2o", F.lit(1)))
+    main = F.when(F.col("p_type") != "SMALL", gas("co2e_100yr", F.col("p_retailprice") * 1000)).otherwise(gas("n2o", F.lit(1)))
     one = F.struct(
         F.col("p_name").alias("Name"), F.col("p_brand").alias("Country"), F.col("p_type").alias("Sector"),
         place.alias("Centroid"), F.array(gas("ch4", F.col("p_size")), main).alias("EmissionsSummary"),
@@ -52,10 +52,10 @@ def source_asset_pages(spark, sf_dir):
 
 @query(
     with_obs("""SELECT platform, lat, lon, ts FROM (
-  SELECT platform, CASE WHEN event_id % 17 <> 0 THEN lat END AS lat, lon, ts FROM obs) WHERE lat IS NOT NULL""")
+  SELECT platform, CASE WHEN member <> 'error' THEN lat END AS lat, lon, ts FROM obs) WHERE lat IS NOT NULL""")
 )
 def source_row_table(spark, sf_dir):
-    lat = F.when(F.col("event_id") % 17 != 0, F.col("lat")).cast("string")
+    lat = F.when(F.col("member") != "error", F.col("lat")).cast("string")
     row = F.array(F.col("platform").cast("string"), lat, F.col("lon").cast("string"), F.col("ts").cast("string"))
     path = scratch_path(spark, "row-table")
     pages = paged(observations(spark, sf_dir), "event_id").agg(F.struct(F.collect_list(row).alias("rows")).alias("table"))
@@ -106,11 +106,11 @@ def source_components(spark, sf_dir):
     return documents.read_components(spark, path, lines=True)
 
 
-@query(f"WITH {EMB_CELLS} SELECT CAST(grid_id AS VARCHAR) AS id, ix, iy, value FROM cells WHERE grid_id % 3 <> 1 OR ix <> iy")
+@query(f"WITH {EMB_CELLS} SELECT CAST(grid_id AS VARCHAR) AS id, ix, iy, value FROM cells JOIN embeddings ON vec_id = grid_id WHERE label <> 3 OR ix <> iy")
 def source_grid(spark, sf_dir):
-    """Grid documents, one per vector, with an empty diagonal in every third."""
+    """Grid documents, one per vector, with an empty diagonal under one label."""
     e = table(spark, sf_dir, "embeddings")
-    holed = F.transform("embedding", lambda x, i: F.when((F.col("vec_id") % 3 != 1) | (i % 9 != 0), x.cast("double")))
+    holed = F.transform("embedding", lambda x, i: F.when((F.col("label") != 3) | (i % 9 != 0), x.cast("double")))
     docs = e.select(F.col("vec_id").cast("string").alias("id"), F.lit(8).alias("nx"), F.lit(8).alias("ny"), holed.alias("values"))
     path = scratch_path(spark, "grid")
     docs.write.json(path)
@@ -118,14 +118,14 @@ def source_grid(spark, sf_dir):
 
 
 @query("""
-SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'AMOC array' END AS type, CAST(s_suppkey % 180 AS DOUBLE) AS lon, CAST(s_suppkey % 90 AS DOUBLE) AS lat,
-       CASE WHEN s_suppkey % 2 = 0 THEN 'array' ELSE 'other' END AS class FROM supplier
+SELECT s_name AS name, CASE WHEN s_acctbal > 5000 THEN 'AMOC array' END AS type, CAST(s_suppkey % 180 AS DOUBLE) AS lon, CAST(s_suppkey % 90 AS DOUBLE) AS lat,
+       CASE WHEN s_acctbal > 5000 THEN 'array' ELSE 'other' END AS class FROM supplier
 """)
 def source_features(spark, sf_dir):
     from ..functions.text import station_class
 
     k = F.col("s_suppkey")
-    properties = F.struct(F.col("s_name").alias("name"), F.when(k % 2 == 0, F.lit("AMOC array")).alias("type"))
+    properties = F.struct(F.col("s_name").alias("name"), F.when(F.col("s_acctbal") > 5000, F.lit("AMOC array")).alias("type"))
     place = F.struct(F.lit("Point").alias("type"), F.array((k % 180).cast("double"), (k % 90).cast("double")).alias("coordinates"))
     one = F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), place.alias("geometry"))
     path = scratch_path(spark, "features")
@@ -136,19 +136,19 @@ def source_features(spark, sf_dir):
 
 @query("""
 WITH counts AS (SELECT c_nationkey AS key, count(*) AS records FROM customer GROUP BY 1)
-SELECT CAST(n_nationkey AS BIGINT) AS key, CASE WHEN n_nationkey % 4 = 0 THEN lower(n_name) ELSE n_name END AS name, records,
-       CASE WHEN n_nationkey % 4 = 0 THEN 'note ' || n_name END AS note
+SELECT CAST(n_nationkey AS BIGINT) AS key, CASE WHEN n_regionkey = 0 THEN lower(n_name) ELSE n_name END AS name, records,
+       CASE WHEN n_regionkey = 0 THEN 'note ' || n_name END AS note
 FROM nation JOIN counts ON counts.key = n_nationkey
 """)
 def source_taxonomy(spark, sf_dir):
-    """Nations in region groups with customer counts; every fourth is also an indicator."""
+    """Nations in region groups with customer counts; those of one region are also indicators."""
     counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
         F.count(F.lit(1)).alias("records")
     )
     nations = table(spark, sf_dir, "nation").join(counts, "n_nationkey").withColumn("key", F.col("n_nationkey").cast("long"))
     item = F.struct("key", F.col("n_name").alias("name"), "records")
     groups = nations.groupBy(F.col("n_regionkey").cast("string").alias("label")).agg(F.collect_list(item).alias("items"))
-    special = F.when(F.col("n_nationkey") % 4 == 0, F.struct(
+    special = F.when(F.col("n_regionkey") == 0, F.struct(
         "key", F.lower("n_name").alias("common"), "records", F.concat(F.lit("note "), "n_name").alias("note")
     ))
     species = nations.agg(F.collect_list(special).alias("species")).scalar()
@@ -187,13 +187,14 @@ def source_budget_sheet(spark, sf_dir):
 
 
 @query(f"""
-SELECT round(1990 + CAST(o_orderkey AS DOUBLE) / 1000, 3) AS t, round(CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + {d(0.5)} ELSE o_custkey END, 1) AS v
-FROM orders WHERE o_orderkey % 5 <> 0
+SELECT round(1990 + CAST(o_orderkey AS DOUBLE) / 1000, 3) AS t, round(CASE WHEN o_orderpriority = '5-LOW' THEN o_custkey + {d(0.5)} ELSE o_custkey END, 1) AS v
+FROM orders WHERE o_orderstatus <> 'P' 
 """)
 def source_missions(spark, sf_dir):
     k, v = F.col("o_orderkey"), F.col("o_custkey").cast("double").cast("string")
-    first = F.when(k % 5 != 0, v).otherwise(F.lit(""))
-    third = F.when((k % 3 == 0) & (k % 5 != 0), (F.col("o_custkey") + 0.5).cast("string")).otherwise(F.lit(" "))
+    seen = F.col("o_orderstatus") != "P"
+    first = F.when(seen, v).otherwise(F.lit(""))
+    third = F.when((F.col("o_orderpriority") == "5-LOW") & seen, (F.col("o_custkey") + 0.5).cast("string")).otherwise(F.lit(" "))
     t = F.round(F.lit(1990) + k.cast("double") / 1000, 3).cast("string")
     rows = table(spark, sf_dir, "orders").select(F.concat_ws(",", t, first, F.lit(""), third).alias("value"))
     notes = table(spark, sf_dir, "region").select(F.explode(F.array(F.concat(F.lit("#"), "r_name"), F.lit("year,a,b,c"), F.lit(""))).alias("value"))
@@ -202,11 +203,11 @@ def source_missions(spark, sf_dir):
     return tables.read_missions(spark, path).drop("position")
 
 
-@query("SELECT CAST(o_orderkey AS INTEGER) AS year, round(o_totalprice, 2) AS value FROM orders WHERE o_orderkey % 6 NOT IN (1, 2, 3)")
+@query("SELECT CAST(o_orderkey AS INTEGER) AS year, round(o_totalprice, 2) AS value FROM orders WHERE o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW')")
 def source_annual(spark, sf_dir):
-    k = F.col("o_orderkey")
+    k, urgency = F.col("o_orderkey"), F.col("o_orderpriority")
     mean = (
-        F.when(k % 6 == 1, F.lit("***")).when(k % 6 == 2, F.lit("*****")).when(k % 6 == 3, F.lit(""))
+        F.when(urgency == "1-URGENT", F.lit("***")).when(urgency == "2-HIGH", F.lit("*****")).when(urgency == "3-MEDIUM", F.lit(""))
         .otherwise(F.col("o_totalprice").cast("string"))
     )
     cells = [k.cast("string"), *[F.lit("0.1")] * 12, mean, *[F.lit("0.2")] * 5]
@@ -218,19 +219,19 @@ def source_annual(spark, sf_dir):
 
 
 @query(f"""
-SELECT 'good' AS kind, 'RGI-' || p_partkey AS rgi_id, round(CAST(p_size AS DOUBLE), 3) AS lon, round(p_retailprice / 10, 3) AS area FROM part WHERE p_partkey % 8 <> 0
-UNION ALL SELECT 'quarantined', 'RGI-' || p_partkey, NULL, NULL FROM part WHERE p_partkey % 8 = 0
+SELECT 'good' AS kind, 'RGI-' || p_partkey AS rgi_id, round(CAST(p_size AS DOUBLE), 3) AS lon, round(p_retailprice / 10, 3) AS area FROM part WHERE p_size <> 8
+UNION ALL SELECT 'quarantined', 'RGI-' || p_partkey, NULL, NULL FROM part WHERE p_size = 8
 """)
 def source_inventory(spark, sf_dir):
     """Attribute files in several folders; rows with a bad number go to quarantine whole."""
     k = F.col("p_partkey")
     out = table(spark, sf_dir, "part").select(
         F.concat(F.lit("RGI-"), k.cast("string")).alias("rgi_id"), F.col("p_size").cast("string").alias("cenlon"), F.lit("1.5").alias("cenlat"),
-        F.when(k % 8 != 0, (F.col("p_retailprice") / 10).cast("string")).otherwise(F.lit("n/a")).alias("area_km2"), (k % 2).alias("region"),
+        F.when(F.col("p_size") != 8, (F.col("p_retailprice") / 10).cast("string")).otherwise(F.lit("n/a")).alias("area_km2"), F.when(F.col("p_size") > 25, F.lit("02")).otherwise(F.lit("01")).alias("region"),
     )
     path = scratch_path(spark, "inventory")
     out.write.option("header", True).partitionBy("region").csv(path)
-    good, bad = tables.read_inventory(spark, [f"{path}/region=0", f"{path}/region=1"])
+    good, bad = tables.read_inventory(spark, [f"{path}/region=01", f"{path}/region=02"])
     none = F.lit(None).cast("double")
     kept = good.select(F.lit("good").alias("kind"), "rgi_id", "lon", "area")
     return kept.unionByName(bad.select(F.lit("quarantined").alias("kind"), "rgi_id", none.alias("lon"), none.alias("area")))
