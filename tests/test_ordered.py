@@ -25,18 +25,23 @@ def rows():
     return pd.DataFrame(out, columns=["id", "series", "t", "v"]).astype({"v": "float64"})
 
 
-@pytest.fixture
-def df(many_chunks, rows):
+def frame(spark, rows):
     data = [(int(a), None if b == "(none)" else b, int(c), None if np.isnan(d) else float(d)) for a, b, c, d in rows.itertuples(index=False)]
-    return many_chunks.createDataFrame(data, "id long, series string, t long, v double")
+    return spark.createDataFrame(data, "id long, series string, t long, v double")
+
+
+@pytest.fixture
+def df(both_ways, rows):
+    return frame(both_ways, rows)
 
 
 def in_order(rows):
     return rows.sort_values(["series", "t", "id"])
 
 
-def test_a_hot_series_spans_chunks(df):
-    tagged = o.ordered(df, ["series"], ["t", "id"])
+def test_a_hot_series_spans_chunks(many_chunks, rows):
+    tagged = o.ordered(frame(many_chunks, rows), ["series"], ["t", "id"])
+    assert not tagged.whole
     assert tagged.rows.filter("series = 'hot'").select(o.CHUNK).distinct().count() > 2
     crowded = tagged.rows.filter("series = 'hot' and t = 50").select(o.CHUNK).distinct().count()
     assert crowded > 1
@@ -73,8 +78,12 @@ def test_block_mean(df, rows):
     np.testing.assert_allclose(got["v"].astype(float), want["v"])
 
 
-def test_block_of_missing_samples_is_missing(many_chunks):
-    df = many_chunks.createDataFrame([("a", i, None) for i in range(4)], "series string, t long, v double")
+def test_short_series_stay_whole(spark, rows):
+    assert o.ordered(frame(spark, rows), ["series"], ["t", "id"]).whole
+
+
+def test_block_of_missing_samples_is_missing(both_ways):
+    df = both_ways.createDataFrame([("a", i, None) for i in range(4)], "series string, t long, v double")
     got = s.block_mean(df.withColumn("id", F.col("t")), ["series"], "t", "id", ["v"], step=2).collect()
     assert [(r["t"], r["v"]) for r in sorted(got)] == [(1, None), (3, None)]
 
