@@ -113,6 +113,17 @@ def micros(ts: Column | str) -> Column:
     return (day + clock) * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
 
 
+def utc(ts: Column | str) -> Column:
+    """The instant a timestamp without zone names when read as UTC."""
+    return F.timestamp_micros(micros(ts))
+
+
+def utc_date(ts: Column | str) -> Column:
+    """Calendar date of an instant in UTC, whatever the session zone."""
+    days = F.floor(F.unix_micros(col(ts)) / F.lit(86_400_000_000))
+    return F.date_from_unix_date(days.cast("int"))
+
+
 def window_label(days: Column | str) -> Column:
     d = col(days)
     return F.when(d <= 1, F.lit("single day")).otherwise(

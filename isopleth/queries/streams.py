@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.dates import utc, utc_date
 from ..functions.missing import rounded
 from ..session import scratch_path
 from ..streaming.cells import cell_means, write_closed
@@ -36,10 +37,10 @@ SELECT CAST(start AS DATE) AS day, ix, iy, round(avg(v), 9) AS value, count(*) A
 )
 def stream_cells(spark, sf_dir):
     path = scratch_path(spark, "cells")
-    stream = event_stream(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
+    stream = event_stream(spark, sf_dir).withColumn("at", utc("ts"))
     means = cell_means(stream, COARSE, "at", "v", "1 day", "1 hour")
     write_closed(means, f"{path}/table", f"{path}/checkpoint").awaitTermination()
     cells = spark.read.parquet(f"{path}/table")
     return cells.select(
-        F.col("window.start").cast("date").alias("day"), "ix", "iy", rounded("value", 9).alias("value"), "n"
+        utc_date("window.start").alias("day"), "ix", "iy", rounded("value", 9).alias("value"), "n"
     )

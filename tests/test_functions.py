@@ -77,6 +77,18 @@ def test_decimal_year(spark):
     assert r[0] == 2005 and math.isclose(r[1], 2004 + 365 / 366)
 
 
+def test_instants_do_not_follow_the_session_zone(spark):
+    ts = F.lit("1969-12-31T23:30:00.25").cast("timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            r = one(spark, dates.micros(ts), F.unix_micros(dates.utc(ts)), dates.utc_date(dates.utc(ts)))
+            assert list(r) == [-1_799_750_000, -1_799_750_000, D(1969, 12, 31)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_labels(spark):
     r = one(spark, dates.window_label(F.lit(1)), dates.window_label(F.lit(30)))
     assert list(r) == ["single day", "past 30 days"]
