@@ -77,8 +77,10 @@ def intervals(colormap: DataFrame) -> DataFrame:
         F.first("lo").over(by_lo).alias("floor"),
         F.last("hi").over(by_lo.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("ceiling"),
     )
-    own = bins.filter(F.col("hi") > F.col("lo")).select(
-        "colormap_id", F.col("k").alias("colour_of"), F.col("lo").alias("from"), F.col("hi").alias("to")
+    # Should bins overlap, the later one holds from its start on, so intervals never do.
+    until = F.least("hi", F.coalesce("next_lo", "hi"))
+    own = bins.filter(until > F.col("lo")).select(
+        "colormap_id", F.col("k").alias("colour_of"), F.col("lo").alias("from"), until.alias("to")
     )
     gaps = bins.filter(F.col("next_lo") > F.col("hi")).select(
         "colormap_id", _search_end(F.col("bins"), F.col("k")).alias("colour_of"),
@@ -90,8 +92,9 @@ def intervals(colormap: DataFrame) -> DataFrame:
     return own.unionByName(gaps).join(colours, ["colormap_id", "colour_of"]).drop("colour_of")
 
 
-def forward(values: DataFrame, colormap: DataFrame, value: str = "value") -> DataFrame:
-    """Rows ``(colormap_id, value, ...)`` plus ``rgb_key``.
+def forward(values: DataFrame, colormap: DataFrame, value: str = "value", one_map: bool = False) -> DataFrame:
+    """Rows ``(colormap_id, value, ...)`` plus ``rgb_key``; with ``one_map`` the table holds
+    a single colormap and rows need no ``colormap_id``.
 
     Values at or below the first bin take its colour, values at or above the end of
     the last bin take that one's. In between, the range of each colormap is cut into
@@ -122,23 +125,26 @@ def forward(values: DataFrame, colormap: DataFrame, value: str = "value") -> Dat
         F.min_by("rgb_key", by_lo).alias("first_rgb"),
         F.max_by("rgb_key", by_lo).alias("last_rgb"),
     )
-    placed = (
-        values.join(place(ends), ["colormap_id"], "inner")
-        .withColumn(
-            "end_rgb",
-            F.when(F.col(value) <= F.col("floor"), F.col("first_rgb")).when(
-                F.col(value) >= F.col("ceiling"), F.col("last_rgb")
-            ),
-        )
-        .withColumn("bucket", F.when(F.col("end_rgb").isNull(), bucket(F.col(value))))
+    if one_map:
+        fields = ["bins", "floor", "ceiling", "first_rgb", "last_rgb"]
+        row = ends.select(F.struct(*fields)).scalar()
+        with_ends = values.withColumn("_ends", row).select(*values.columns, "_ends.*")
+    else:
+        with_ends = values.join(place(ends), ["colormap_id"], "inner")
+    beyond = F.when(F.col(value) <= F.col("floor"), F.col("first_rgb")).when(
+        F.col(value) >= F.col("ceiling"), F.col("last_rgb")
+    )
+    placed = with_ends.withColumn("end_rgb", beyond).withColumn(
+        "bucket", F.when(F.col("end_rgb").isNull(), bucket(F.col(value)))
     )
     v, s = placed.alias("v"), place(listed).alias("s")
     match = (
-        (F.col("v.colormap_id") == F.col("s.colormap_id"))
-        & (F.col("v.bucket") == F.col("s.bucket"))
+        (F.col("v.bucket") == F.col("s.bucket"))
         & (F.col(f"v.{value}") >= F.col("s.from"))
         & (F.col(f"v.{value}") < F.col("s.to"))
     )
+    if not one_map:
+        match = (F.col("v.colormap_id") == F.col("s.colormap_id")) & match
     return v.join(s, match, "left").select(
         *[F.col(f"v.{c}") for c in values.columns], F.coalesce("v.end_rgb", "s.rgb_key").alias("rgb_key")
     )

@@ -72,12 +72,12 @@ def view(
     samples = sample_table(rules, end, days, years, latest, max_samples)
     shown = rules.select(F.col("id").alias("layer"), "display", "delta_range", "level_cap")
     # The registry has a fixed handful of layers, each with at most two sides of samples.
-    wanted = F.broadcast(samples.join(shown, "layer"))
+    wanted = F.broadcast(samples.join(F.broadcast(shown.select("layer", "level_cap")), "layer"))
     seen = pixels.filter(F.col("date").isin(sorted(asked))).join(wanted, ["layer", "date"]).filter(F.col("z") <= F.col("level_cap"))
     values = cm.invert(seen.withColumn("colormap_id", F.col("layer")), colormaps)
 
     now, past = F.col("side") == "now", F.col("side") == "past"
-    fields = values.groupBy("layer", "display", "delta_range", *PIXEL).agg(
+    fields = values.groupBy("layer", *PIXEL).agg(
         F.avg(F.when(now, F.col("value"))).alias("now"),
         F.avg(F.when(past, F.col("value"))).alias("past"),
         F.count_if(now).alias("n_now"),
@@ -96,7 +96,8 @@ def view(
     )
     out = F.when(is_delta, F.array(change)).when(both_sides, F.array(side("now"), side("past"))).otherwise(F.array(side("now")))
     rows = (
-        fields.withColumn("s", F.explode(out))
+        fields.join(F.broadcast(shown.drop("level_cap")), "layer")
+        .withColumn("s", F.explode(out))
         .select("layer", "display", "delta_range", *PIXEL, "s.*")
         .filter(F.col("value").isNotNull())
     )
@@ -123,14 +124,12 @@ def ensemble_view(
     pixels: DataFrame, colormap: DataFrame, members: list[str], date: dt.date, mode: str = "mean"
 ) -> DataFrame:
     """Mean or spread of the member layers on one date, painted; members share one colormap."""
-    one = colormap.select(F.lit("members").alias("colormap_id"), "pos", "rgb_key", "lo", "hi")
+    one = colormap.select(F.lit("members").alias("colormap_id"), "pos", "rgb_key", "lo", "hi")  # one map for all
     day = pixels.filter((F.col("date") == F.lit(date)) & F.col("layer").isin(members))
     values = cm.invert(day.withColumn("colormap_id", F.lit("members")), one)
     fields = ensemble(values, PIXEL, members, "value", "layer")
     if mode == "spread":
         painted = fields.withColumn("c", colour.spread_colour("spread"))
         return painted.select(*PIXEL, F.col("spread").alias("value"), "n_members", "c.*")
-    looked = cm.forward(
-        fields.select(*PIXEL, F.col("mean").alias("value"), "n_members", F.lit("members").alias("colormap_id")), one
-    )
+    looked = cm.forward(fields.select(*PIXEL, F.col("mean").alias("value"), "n_members"), one, one_map=True)
     return looked.select(*PIXEL, "value", "n_members", *cm.unpack(F.col("rgb_key")), F.lit(colour.MEAN_ALPHA).alias("a"))

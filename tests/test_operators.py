@@ -224,6 +224,29 @@ def test_forward_colours(spark, seed):
     assert {i: search(maps[name], v) for i, name, v in values} == got
 
 
+def test_one_map_needs_no_name(spark, cmap):
+    values = spark.createDataFrame([(i, i / 4 - 1) for i in range(44)], "id long, value double")
+    named = colormap.forward(values.withColumn("colormap_id", F.lit("m")), cmap)
+    bare = colormap.forward(values, cmap, one_map=True)
+    pick = lambda df: {r["id"]: r["rgb_key"] for r in df.collect()}
+    assert pick(named) == pick(bare) and len(pick(bare)) == 44
+    assert "NestedLoop" not in bare._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlapping_bins_give_one_colour(spark):
+    rows = [("m", 0, 1, 0.0, 2.0), ("m", 1, 2, 1.0, 3.0), ("m", 2, 3, 3.0, 4.0)]
+    table = spark.createDataFrame(rows, "colormap_id string, pos long, rgb_key long, lo double, hi double")
+    values = spark.createDataFrame([(0.5,), (1.5,), (2.5,), (3.5,)], "value double").withColumn("colormap_id", F.lit("m"))
+    assert sorted((r["value"], r["rgb_key"]) for r in colormap.forward(values, table).collect()) == [(0.5, 1), (1.5, 2), (2.5, 2), (3.5, 3)]
+
+
+def test_delta_at_points(spark):
+    df = spark.createDataFrame([(1, D(2024, 3, 1), 5.0), (1, D(2023, 3, 1), 3.0), (2, D(2024, 3, 1), 5.0)], "pix int, day date, v double")
+    asked = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1)], "pid string, pix int")
+    got = rolling.probe(asked, df, ["pix"], lambda o: rolling.window_delta(o, ["pix"], "v", D(2024, 3, 1), 1))
+    assert {r["pid"]: r["delta"] for r in got.collect()} == {"a": 2.0, "b": None, "c": 2.0}
+
+
 def test_latest_of_equal_times_is_the_first(spark):
     df = spark.createDataFrame(
         [("a", dt.datetime(2024, 1, 2), 2, 1.0, 1.0), ("a", dt.datetime(2024, 1, 2), 1, 5.12345, 1.0), ("a", dt.datetime(2024, 1, 3), 3, None, 1.0)],
