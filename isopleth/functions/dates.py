@@ -105,6 +105,10 @@ def decimal_year(d: Column | str) -> Column:
     return F.year(d) + (F.dayofyear(d) - 1) / length
 
 
+def days_in_month(d: Column | str) -> Column:
+    return F.dayofmonth(F.last_day(col(d)))
+
+
 def micros(ts: Column | str) -> Column:
     """Microseconds since 1970 of a timestamp without zone, whatever the session zone."""
     ts = col(ts)

@@ -7,6 +7,7 @@ return the written data.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -101,7 +102,10 @@ def sea_level(spark: SparkSession, sheet, missions, out: str, snapshot: str) ->
 def inventory(spark: SparkSession, attributes, rates, out: str, snapshot: str) -> tuple[DataFrame, DataFrame]:
     """Inventory with rates, and its totals; rows that did not parse go to ``quarantine``."""
     good, bad = tables.read_inventory(spark, attributes)
-    rows = _write(p.with_rates(good, tables.read_rates(spark, rates), "rgi_id", "dhdt"), out, snapshot)
+    rows = _write(
+        p.with_rates(good, tables.read_rates(spark, rates), "rgi_id", "dhdt"), out, snapshot,
+        region_names=json.dumps(tables.INVENTORY_REGIONS),
+    )
     bad.write.mode("overwrite").parquet(f"{out}/quarantine")
     return rows, p.inventory_totals(rows, "area", "dhdt")
 

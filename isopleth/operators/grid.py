@@ -61,11 +61,20 @@ def coarsen(
 
 
 def climatology(
-    df: DataFrame, keys: list[str], value: str, factor: float = DAYS_PER_YEAR, name: str = "clim"
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    factor: float = DAYS_PER_YEAR,
+    name: str = "clim",
+    weight: Column | None = None,
 ) -> DataFrame:
-    """Time mean per cell, missing values ignored, times a unit factor."""
+    """Time mean per cell, missing values ignored, times a unit factor.
+
+    All times count alike unless given a ``weight``, such as ``dates.days_in_month``.
+    """
     real = df.filter(finite(value))
-    return real.groupBy(*keys).agg((F.avg(value) * factor).alias(name), F.count(F.lit(1)).alias("n"))
+    mean = F.avg(value) if weight is None else F.sum(col(value) * weight) / F.sum(weight)
+    return real.groupBy(*keys).agg((mean * factor).alias(name), F.count(F.lit(1)).alias("n"))
 
 
 def grid_from_axes(cells: DataFrame, lon: str = "lon", lat: str = "lat") -> Grid:

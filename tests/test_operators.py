@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from isopleth.functions import dates
 from isopleth.functions.geo import Grid
 from isopleth.operators import catalog, colormap, ensemble, grid, points, quality, rolling, series
 
@@ -69,6 +70,14 @@ def test_coarsening_keeps_the_mean_of_cells(obs):
     assert total[0] == pytest.approx(want[0]) and total[1] == want[1]
 
 
+def test_climatology_weights(spark):
+    df = spark.createDataFrame([(1, D(2023, 1, 1), 31.0), (1, D(2023, 2, 1), 28.0), (1, D(2023, 3, 1), None)], "c int, t date, v double")
+    plain = grid.climatology(df, ["c"], "v", factor=1.0).first()
+    weighted = grid.climatology(df, ["c"], "v", factor=1.0, weight=dates.days_in_month("t")).first()
+    assert (plain["clim"], plain["n"]) == (29.5, 2)
+    assert weighted["clim"] == pytest.approx((31 * 31 + 28 * 28) / 59)
+
+
 def test_sampling_reads_back_the_cells(obs):
     cells = grid.bin_mean(obs, WORLD, "v")
     real = obs.filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.col("lat") < 90))
