@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.colour import pack_rgb
-from ..plans.joins import BROADCAST_ROWS, within
+from ..plans.joins import BROADCAST_ROWS, lookup_join, placed, within
 
 # Bins make at most twice as many intervals, listed under at most 14 buckets per bin.
 FORWARD_ROWS = BROADCAST_ROWS // 14
@@ -34,10 +34,10 @@ def invert(pixels: DataFrame, colormap: DataFrame) -> DataFrame:
     """Pixels ``(colormap_id, r, g, b, a, ...)`` to values; transparent pixels and
     colours outside the table are missing and dropped."""
     opaque = pixels.filter(F.col("a") != 0).withColumn("rgb_key", pack_rgb("r", "g", "b"))
-    table = value_table(colormap)
+    on = ["colormap_id", "rgb_key"]
     if within(colormap):
-        table = F.broadcast(table)
-    return opaque.join(table, ["colormap_id", "rgb_key"], "inner")
+        return opaque.join(F.broadcast(value_table(colormap)), on, "inner")
+    return lookup_join(opaque, value_table(colormap), on, "inner")
 
 
 def _search_end(n, gap):
@@ -102,7 +102,7 @@ def forward(values: DataFrame, colormap: DataFrame, value: str = "value", one_ma
     lookup is an equi-join on the bucket with the interval test as a residual.
     """
     # Every table below has at most a small multiple of the colormap's rows.
-    place = F.broadcast if within(colormap, FORWARD_ROWS) else (lambda table: table)
+    small = within(colormap, FORWARD_ROWS)
     span = intervals(colormap)
     width = (F.col("ceiling") - F.col("floor")) / (F.col("bins") * 4)
 
@@ -130,14 +130,14 @@ def forward(values: DataFrame, colormap: DataFrame, value: str = "value", one_ma
         row = ends.select(F.struct(*fields)).scalar()
         with_ends = values.withColumn("_ends", row).select(*values.columns, "_ends.*")
     else:
-        with_ends = values.join(place(ends), ["colormap_id"], "inner")
+        with_ends = values.join(placed(ends, small), ["colormap_id"], "inner")
     beyond = F.when(F.col(value) <= F.col("floor"), F.col("first_rgb")).when(
         F.col(value) >= F.col("ceiling"), F.col("last_rgb")
     )
-    placed = with_ends.withColumn("end_rgb", beyond).withColumn(
+    bucketed = with_ends.withColumn("end_rgb", beyond).withColumn(
         "bucket", F.when(F.col("end_rgb").isNull(), bucket(F.col(value)))
     )
-    v, s = placed.alias("v"), place(listed).alias("s")
+    v, s = bucketed.alias("v"), placed(listed, small).alias("s")
     match = (
         (F.col("v.bucket") == F.col("s.bucket"))
         & (F.col(f"v.{value}") >= F.col("s.from"))

@@ -143,9 +143,9 @@ def sample(
     inside = grid.contains(x, lat)
     placed = points.withColumn("ix", F.when(inside, grid.ix(x))).withColumn("iy", F.when(inside, grid.iy(lat)))
     lookup = cells.select(*keys, "ix", "iy", F.col(value).alias(name))
-    on = [*keys, "ix", "iy"]
     # One grid has at most as many cells as its geometry says; of many grids nothing is known.
-    out = placed.join(lookup, on, "left") if keys else lookup_join(placed, lookup, on, "left", bound=grid.cells)
+    bound = None if keys else grid.cells
+    out = lookup_join(placed, lookup, [*keys, "ix", "iy"], "left", bound)
     return out.withColumn("ix", F.when(grid.in_range("ix", "iy"), F.col("ix"))).withColumn(
         "iy", F.when(F.col("ix").isNotNull(), F.col("iy"))
     )

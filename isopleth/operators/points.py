@@ -70,10 +70,9 @@ def paged(df: DataFrame, quantity: str, tiebreak: str, size: int = PAGE_ROWS) ->
 def with_rates(inventory: DataFrame, rates: DataFrame, key: str, rate: str, decimals: int = 3) -> DataFrame:
     """Inventory rows with their rate; null where unmatched or not a number.
 
-    Keys are unique on the rates side. Adaptive execution broadcasts the rates when
-    they turn out small and splits partitions made large by a frequent key.
+    Keys are unique on the rates side.
     """
-    return inventory.join(rates.select(key, rate), key, "left").withColumn(
+    return lookup_join(inventory, rates.select(key, rate), [key], "left").withColumn(
         rate, rounded(nan_to_null(rate), decimals)
     )
 

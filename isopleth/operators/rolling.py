@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import MAX_SAMPLES, compare_date_value, sample_date_values
 from ..functions.missing import col, finite
-from ..plans.joins import settled, within
+from ..plans.joins import settled, split_join, within
 
 
 def on_dates(df: DataFrame, dates: list[dt.date], day: str = "day", time: str | None = None) -> DataFrame:
@@ -166,4 +166,6 @@ def probe(points: DataFrame, obs: DataFrame, keys: list[str], field) -> DataFram
     wanted = obs.join(F.broadcast(requested) if small else requested, keys, "left_semi")
     # The field has no more rows than there are requested pixels.
     pixels = field(wanted)
-    return points.join(F.broadcast(pixels) if small else pixels, keys, "left")
+    if small:
+        return points.join(F.broadcast(pixels), keys, "left")
+    return split_join(points, settled(pixels, "pixels"), keys, "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,33 +12,68 @@ from ..session import scratch_path
 # A broadcast copy lives on every executor; lookup rows here are a few numbers wide.
 BROADCAST_ROWS = 200_000
 
+# Keys with more rows than this on the large side are joined apart from the others.
+HOT_ROWS = 10_000_000
+
 
 def settled(lookup: DataFrame, label: str = "lookup") -> DataFrame:
-    """The lookup written once to the shared scratch folder, so that checking its size
-    and joining to it do not compute it twice."""
+    """The lookup written once to the shared scratch folder.
+
+    Checking its size and joining to it then do not compute it again. And a shuffle
+    join reads it by a shuffle of its own: adaptive execution splits large partitions
+    only when both sides come straight from a shuffle, which the result of an
+    aggregation on the join keys does not.
+    """
     path = scratch_path(lookup.sparkSession, label)
     lookup.write.parquet(path)
     return lookup.sparkSession.read.parquet(path)
 
 
-def within(lookup: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+def within(lookup: DataFrame, rows: int | None = None) -> bool:
     """Whether the lookup has at most ``rows`` rows; reads no more than that."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return lookup.limit(rows + 1).count() <= rows
 
 
+def placed(lookup: DataFrame, small: bool) -> DataFrame:
+    """A lookup derived from a table known to be small, or not, made ready for a join."""
+    return F.broadcast(lookup) if small else settled(lookup)
+
+
+def split_join(fact: DataFrame, lookup: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Shuffle join to a large lookup that keeps hot keys out of the shuffle.
+
+    Keys above ``HOT_ROWS`` are counted out first. There are few of them, at most rows
+    over that number, so their lookup rows are broadcast and their rows stay where
+    they are. Rows with a missing key match nothing and stay too. Adaptive execution
+    alone would not do: it goes by compressed bytes, and equal rows compress to little.
+    """
+    keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    counts = fact.filter(keyed).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    most = counts.filter(F.col("_n") > HOT_ROWS).orderBy(F.col("_n").desc()).limit(BROADCAST_ROWS)
+    hot = F.broadcast(settled(most.select(*on), "hot-keys"))
+    cold = fact.filter(keyed).join(hot, on, "left_anti").join(lookup, on, how)
+    in_place = fact.join(hot, on, "left_semi").join(F.broadcast(lookup.join(hot, on, "left_semi")), on, how)
+    parts = cold.unionByName(in_place)
+    if how == "inner":
+        return parts
+    added = [f for f in lookup.schema.fields if f.name not in on]
+    keyless = fact.filter(~keyed).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in added])
+    return parts.unionByName(keyless)
+
+
 def lookup_join(
     fact: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", bound: int | None = None
 ) -> DataFrame:
-    """Equi-join of a large table to a lookup with unique keys.
+    """Left or inner equi-join of a large table to a lookup with unique keys.
 
-    ``bound`` is a proven limit on the lookup's rows; without one the lookup is
-    written out and counted. Small lookups are broadcast and the large side is not
-    shuffled. Others are left to a shuffle join, where adaptive execution splits
-    the partitions of hot keys.
+    ``bound`` is a proven limit on the lookup's rows; without one, or with a large one,
+    the lookup is written out and counted. Small lookups are broadcast and the large
+    side is not shuffled; others go to ``split_join``.
     """
-    if bound is None:
-        lookup = settled(lookup)
-        small = within(lookup)
-    else:
-        small = bound <= BROADCAST_ROWS
-    return fact.join(F.broadcast(lookup) if small else lookup, on, how)
+    if bound is not None and bound <= BROADCAST_ROWS:
+        return fact.join(F.broadcast(lookup), on, how)
+    lookup = settled(lookup)
+    if within(lookup):
+        return fact.join(F.broadcast(lookup), on, how)
+    return split_join(fact, lookup, on, how)
