@@ -1,18 +1,20 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
-Learning counts tokens, in hashed buckets, over all documents and over the labelled
-sample. A bucket's score is its log-odds between the two labels under Dirichlet priors
-proportional to the corpus counts, where they differ significantly, less a small drift.
-A linear-time scan finds all maximal-scoring segments of a text. Segments are judged by
-the extreme-value law of such scores (scale from the token distribution of clean rows,
-location from their best segments), several together by the law of their sum, and the
-resulting evidence is mapped to a probability on the labelled sample.
+A token's score is its log-odds between the two labels, in documents, under Dirichlet
+priors proportional to how many of all documents have it. Rare words fall back to their
+first letters. Where the odds aren't significant the score is nothing, and a small drift
+is taken from every token. A linear-time scan finds all maximal-scoring segments of a
+text. Segments are judged by the extreme-value law of such scores (scale from the
+distribution of scores in clean rows, location from their best segments), several
+together by the law of their sum, and the resulting evidence is mapped to a probability
+on the labelled sample.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,12 +26,17 @@ from xxhash import xxh3_64_intdigest
 
 from .base import own
 
-BUCKETS = 1 << 18
 #: At most so many labelled rows, by order of a hash of their id, are learnt from.
 SAMPLE_ROWS = 20_000
-#: Weight of the prior against the labelled tokens of a class.
+#: At most so many features, by significance in the sample, get a score.
+FEATURES = 20_000
+#: Letters of the beginnings that rare words fall back to, longest first.
+STEMS = (6, 4)
+#: Weight of the prior against the labelled rows of a class.
 PRIOR = 0.1
-#: Buckets whose log-odds are below so many standard errors say nothing.
+#: Features whose log-odds are below this, or below so many standard errors, say nothing:
+#: a language or topic with more toxic rows than others must not speak for itself.
+LEAST_ODDS = 2.5
 LEAST_Z = 3.0
 #: Taken from every token, so that segments end where nothing speaks for them.
 DRIFT = 0.25
@@ -39,29 +46,47 @@ THRESHOLD = 0.7
 
 WORD = re.compile(r"\w+")
 _CACHE = 200_000
+#: Positive scores are counted by tenths, up to the last bin.
+_BINS = 160
 
 
-class Buckets(dict):
-    """Word to bucket; bounded, starts anew when full."""
+def features(word: str) -> list[str]:
+    """The word and its beginnings, from the most particular on."""
+    return [word, *(f"{word[:k]}*" for k in STEMS if len(word) > k)]
 
-    def __missing__(self, word: str) -> int:
+
+def found_in(text: str | None) -> set[str]:
+    """All features of a text, each once."""
+    return {f for w in set(WORD.findall((text or "").lower())) for f in features(w)}
+
+
+class Scores(dict):
+    """Word to score, by its most particular feature that has one; bounded."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
         if len(self) >= _CACHE:
             self.clear()
-        bucket = self[word] = xxh3_64_intdigest(word.encode()) % BUCKETS
-        return bucket
+        known = (self.weights[f] for f in features(word) if f in self.weights)
+        score = self[word] = max(next(known, 0.0), 0.0) - DRIFT
+        return score
 
     def of(self, text: str | None) -> np.ndarray:
         words = WORD.findall((text or "").lower())
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
+        return np.fromiter(map(self.__getitem__, words), dtype=np.float64, count=len(words))
 
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    weights: dict[str, float]
     scale: float
     location: float
-    slope: float
-    offset: float
+    #: Log evidence and the chance of label 1 there.
+    at: list[float]
+    chance: list[float]
 
 
 def segments(positions: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
@@ -103,12 +128,11 @@ def evidence(found: list[tuple[int, int, float]], n_tokens: int, scale: float, l
     return best
 
 
-def _read(text: str | None, buckets: Buckets, model: Model):
-    ids = buckets.of(text)
-    weights = model.weights[ids]
-    at = np.flatnonzero(weights > 0)
-    found = segments(at.tolist(), weights[at].tolist(), DRIFT) if len(at) else []
-    return len(ids), found, evidence(found, len(ids), model.scale, model.location)
+def _read(text: str | None, scores: Scores, model: Model):
+    values = scores.of(text)
+    at = np.flatnonzero(values > 0)
+    found = segments(at.tolist(), values[at].tolist(), DRIFT) if len(at) else []
+    return values, found, evidence(found, len(values), model.scale, model.location)
 
 
 def sampled(labels: DataFrame, doc_id: str, label: str, rows: int) -> DataFrame:
@@ -117,20 +141,22 @@ def sampled(labels: DataFrame, doc_id: str, label: str, rows: int) -> DataFrame:
     return one.agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
 
 
-def _log_odds(n: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
-    share = (n + 0.5) / (n.sum() + 0.5 * len(n))
-    a, b = PRIOR * pos.sum() * share, PRIOR * neg.sum() * share
-    p, q = pos + a, neg + b
-    odds = np.log(p / (p.sum() - p)) - np.log(q / (q.sum() - q))
-    z = odds / np.sqrt(1 / p + 1 / q)
-    return np.where(np.abs(z) >= LEAST_Z, odds, 0.0) - DRIFT
+def _log_odds(n: np.ndarray, pos: np.ndarray, neg: np.ndarray, rows: tuple[int, int, int]) -> np.ndarray:
+    """Of documents with a feature; ``rows`` are all, positive and negative documents."""
+    share = (n + 0.5) / (rows[0] + 1)
+    a, b = PRIOR * rows[1] * share, PRIOR * rows[2] * share
+    p, q = (pos + a) / (rows[1] * (1 + PRIOR)), (neg + b) / (rows[2] * (1 + PRIOR))
+    odds = np.log(p / np.maximum(1 - p, 1e-6)) - np.log(q / np.maximum(1 - q, 1e-6))
+    least = np.maximum(LEAST_ODDS, LEAST_Z * np.sqrt(1 / (pos + a) + 1 / (neg + b)))
+    return np.where(np.abs(odds) >= least, odds, 0.0)
 
 
-def _scale(weights: np.ndarray, share: np.ndarray) -> float:
-    """The positive root of sum(share * exp(root * weight)) = 1."""
+def _scale(counts: np.ndarray, tokens: float) -> float:
+    """The positive root of sum(share * exp(root * score)) = 1 over binned scores."""
+    scores, share = np.arange(_BINS) / 10, counts / tokens
+    total = lambda x: float((share * np.exp(x * scores)).sum()) + (1 - share.sum()) * math.exp(-x * DRIFT)
     low, high = 1e-6, 1.0
-    total = lambda x: float((share * np.exp(x * weights)).sum())
-    while total(high) < 1 and high < 64:
+    while total(high) < 1 and high < 16:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
@@ -138,88 +164,134 @@ def _scale(weights: np.ndarray, share: np.ndarray) -> float:
     return high
 
 
-def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton steps with a light penalty."""
-    a, b = 0.0, math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((p - y) * x).sum() + 1e-2 * a, (p - y).sum() + 1e-2 * b])
-        h = np.array([[(w * x * x).sum() + 1e-2, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-2]])
-        da, db = np.linalg.solve(h, g)
-        a, b = a - np.clip(da, -2, 2), b - np.clip(db, -2, 2)
-        if abs(da) + abs(db) < 1e-8:
-            break
-    return max(a, 0.0), b
+def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
+    """The rising step curve closest to the labels, as points to interpolate between."""
+    blocks: list[list[float]] = []  # sum of evidence, sum of labels, rows
+    values, inverse = np.unique(x, return_inverse=True)
+    ones, rows = np.bincount(inverse, weights=y), np.bincount(inverse)
+    for v, one, n in zip(values, ones, rows):
+        blocks.append([v * n, one, n])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
+    chances = np.maximum.accumulate([(one + 0.5) / (n + 1) for _, one, n in blocks])
+    return [v / n for v, _, n in blocks], chances.tolist()
+
+
+def probability(weight: float, model: Model) -> float:
+    """The calibrated chance of label 1; more evidence always scores a little higher."""
+    x = math.log1p(weight)
+    return float(0.998 * np.interp(x, model.at, model.chance) + 0.002 * x / (1 + x))
+
+
+def _kinship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest hash of three words in a row: copies and near copies mostly share it."""
+    for batch in batches:
+        kin = []
+        for body in batch["text"].to_pylist():
+            words = WORD.findall((body or "").lower())
+            runs = zip(words, words[1:], words[2:]) if len(words) > 2 else [words]
+            kin.append(min(xxh3_64_intdigest(" ".join(r).encode()) for r in runs) - (1 << 63))
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], batch["same"], pa.array(kin, pa.int64())], ["id", "y", "same", "kin"])
 
 
 def fit(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, label: str, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from a bounded sample of ``labels``; corpus counts cover all ``docs``.
 
-    Labels other than 0 and 1, and labels without a document, are left out. Without rows
-    of both labels nothing can be learnt: every score is then the share of label 1 among
-    the sampled rows, 0 without any.
+    Labels other than 0 and 1, and labels without a document, are left out. Of sampled rows
+    that are copies of each other, or nearly so, one counts. Without rows of both labels nothing can be learnt: every
+    score is then the share of label 1 among the sampled rows, 0 without any.
     """
     # Bounded by sample_rows, so it goes to every executor and no text is shuffled.
     sample = F.broadcast(sampled(labels, label_id, label, sample_rows))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    marked = rows.join(sample, "id", "left").select("text", "y")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, totals = Buckets(), np.zeros((3, BUCKETS), dtype=np.int64)
+    kin = rows.join(sample, "id").select("id", "y", F.xxhash64("text").alias("same"), "text").mapInArrow(_kinship, "id long, y int, same long, kin long")
+    first = F.min_by(F.struct("id", "same"), F.struct("id", "same")).alias("r")
+    # Rows repeating an id could be many; as many as were sampled are enough.
+    chosen = kin.groupBy("kin").agg(F.max("y").alias("y"), first).select("r.id", "r.same", "y").limit(sample_rows)
+    told = {(r["id"], r["same"]): r["y"] for r in chosen.collect()}
+    n_rows = (sum(told.values()), len(told) - sum(told.values()))
+    if 0 in n_rows:
+        return Model({}, 1.0, 0.0, [0.0], [n_rows[0] / max(1, len(told))])
+    spark = docs.sparkSession
+    picked = spark.createDataFrame([(i, h, y) for (i, h), y in told.items()], "id long, same long, y int")
+    learnt = rows.withColumn("same", F.xxhash64("text")).join(F.broadcast(picked), ["id", "same"]).select("text", "y")
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            counts = (Counter(), Counter())
             for body, y in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = buckets.of(body)
-                np.add.at(totals[0], ids, 1)
-                if y is not None:
-                    np.add.at(totals[2 - y], ids, 1)
-        some = np.flatnonzero(totals[0]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(t[some]) for t in totals)], ["bucket", "n", "pos", "neg"])
-
-    sums = marked.mapInArrow(count, "bucket int, n long, pos long, neg long").groupBy("bucket")
-    table = sums.agg(*(F.sum(c).alias(c) for c in ("n", "pos", "neg"))).toArrow()
-    n, pos, neg = np.zeros((3, BUCKETS))
-    at = table["bucket"].to_numpy()
-    for name, out in (("n", n), ("pos", pos), ("neg", neg)):
-        out[at] = table[name].to_numpy()
-    if not pos.sum() or not neg.sum():
-        shares = rows.join(sample, "id").select(F.avg("y")).first()[0]
-        share = min(max(float(shares or 0.0), 1e-9), 1 - 1e-9)
-        return Model(np.full(BUCKETS, -DRIFT, dtype=np.float32), 1.0, 0.0, 0.0, math.log(share / (1 - share)))
-    weights = _log_odds(n, pos, neg).astype(np.float32)
-    clean = neg + PRIOR * neg.sum() * n / n.sum()
-    model = Model(weights, _scale(weights.astype(np.float64), clean / clean.sum()), 0.0, 0.0, 0.0)
+                counts[y].update(found_in(body))
+            names = list(counts[0].keys() | counts[1].keys())
+            numbers = [pa.array([c[f] for f in names], pa.int64()) for c in counts]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *numbers], ["feature", "neg", "pos"])
+
+    sums = learnt.mapInArrow(tell, "feature string, neg long, pos long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    both = (F.col("pos") + F.col("neg")) / sum(n_rows)
+    z = (F.col("pos") / n_rows[0] - F.col("neg") / n_rows[1]) / F.sqrt(both * (1 - both + 1e-9) * (1 / n_rows[0] + 1 / n_rows[1]))
+    some = sums.filter(F.abs(z) >= LEAST_Z * 0.7).orderBy(F.abs(z).desc(), "feature").limit(FEATURES).toArrow().to_pylist()
+    names = spark.sparkContext.broadcast([r["feature"] for r in some])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {f: k for k, f in enumerate(names.value)}
+        lists: dict[str, list[int]] = {}
+        n, total = np.zeros(len(place), dtype=np.int64), 0
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                total += 1
+                seen = set()
+                for w in set(WORD.findall((body or "").lower())):
+                    if (at := lists.get(w)) is None:
+                        if len(lists) >= _CACHE:
+                            lists.clear()
+                        at = lists[w] = [place[f] for f in features(w) if f in place]
+                    if at:
+                        seen.update(at)
+                n[list(seen)] += 1
+        at = np.flatnonzero(n)
+        places, numbers = np.append(at, -1).astype(np.int32), np.append(n[at], total)
+        yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(numbers)], ["place", "n"])
+
+    counted = rows.select("text").mapInArrow(spread, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    everywhere = dict(zip(counted["place"].to_pylist(), counted["n"].to_pylist()))
+    n = np.array([everywhere.get(k, 0) for k in range(len(some))], dtype=np.float64)
+    pos, neg = (np.array([r[c] for r in some], dtype=np.float64) for c in ("pos", "neg"))
+    odds = _log_odds(n, pos, neg, (everywhere.get(-1, 0), *n_rows))
+    # Features that don't say anything stay: a common word needn't fall back to its beginning.
+    model = Model({r["feature"]: float(o) for r, o in zip(some, odds)}, 1.0, 0.0, [0.0], [0.0])
+    weights = spark.sparkContext.broadcast(model.weights)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets()
+        scores, plain = Scores(weights.value), Model({}, 1.0, 0.0, [0.0], [0.0])
         for batch in batches:
             out = []
             for body, y in zip(*(c.to_pylist() for c in batch.columns)):
-                n_tokens, found, _ = _read(body, buckets, model)
+                values, found, _ = _read(body, scores, plain)
+                bins = np.bincount(np.minimum(values[values > 0] * 10, _BINS - 1).astype(int), minlength=_BINS)
                 # Enough for the law of sums of a few segments.
-                out.append((y, n_tokens, sorted((s for _, _, s in found), reverse=True)[:64]))
-            y, n_tokens, tops = zip(*out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(y, pa.int32()), pa.array(n_tokens, pa.int64()), pa.array(tops, pa.list_(pa.float64()))], ["y", "n", "tops"]
-            )
-
-    # Rows repeating an id could be many; as many rows as were sampled are enough.
-    learnt = rows.join(sample, "id").mapInArrow(lambda x: best(_without_id(x)), "y int, n long, tops array<double>")
-    seen = learnt.limit(sample_rows).toArrow().to_pylist()
-    clean_best = [model.scale * max(r["tops"], default=0.0) - math.log(max(r["n"], 1)) for r in seen if not r["y"] and r["n"]]
+                out.append((y, len(values), sorted((s for _, _, s in found), reverse=True)[:64], bins.astype(np.int32).tobytes()))
+            if out:
+                y, size, tops, bins = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(y, pa.int32()), pa.array(size, pa.int64()), pa.array(tops, pa.list_(pa.float64())), pa.array(bins, pa.binary())],
+                    ["y", "n", "tops", "bins"],
+                )
+
+    seen = learnt.mapInArrow(best, "y int, n long, tops array<double>, bins binary").limit(sample_rows).toArrow().to_pylist()
+    clean = [r for r in seen if not r["y"] and r["n"]]
+    bins = sum((np.frombuffer(r["bins"], np.int32).astype(np.float64) for r in clean), np.zeros(_BINS))
+    toxic = sum((np.frombuffer(r["bins"], np.int32).astype(np.float64) for r in seen if r["y"]), np.zeros(_BINS))
+    # As the weights were learnt from these rows, they look cleaner than others would.
+    bins += PRIOR * toxic / max(1.0, toxic.sum()) * max(1, len(clean))
+    model.scale = _scale(bins, max(1.0, float(sum(r["n"] for r in clean))) + bins.sum())
+    normal = [model.scale * max(r["tops"], default=0.0) - math.log(r["n"]) for r in clean]
     # The mean of the extreme-value law lies Euler's constant above its location.
-    model.location = (float(np.mean(clean_best)) if clean_best else 0.0) - 0.5772
+    model.location = (float(np.mean(normal)) if normal else 0.0) - 0.5772
     x = np.array([math.log1p(evidence([(0, 0, s) for s in r["tops"]], r["n"], model.scale, model.location)) for r in seen])
-    model.slope, model.offset = _calibrated(x, np.array([r["y"] for r in seen], dtype=float))
+    model.at, model.chance = _calibrated(x, np.array([r["y"] for r in seen], dtype=float))
     return model
 
 
-def _without_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            yield batch.select(["text", "y"])
-
-
 def score(docs: DataFrame, text: str, model: Model, name: str = "toxicity") -> DataFrame:
     """Add ``name`` (0 to 1) and ``<name>_passages``: start, end (code points) and score.
 
@@ -231,15 +303,15 @@ def score(docs: DataFrame, text: str, model: Model, name: str = "toxicity") -> D
 
     @F.arrow_udf("struct<score: double, passages: array<struct<start: bigint, end: bigint, score: double>>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        buckets, m = Buckets(), Model(**shared.value)
+        m = Model(**shared.value)
+        scores = Scores(m.weights)
         for batch in batches:
             rows = []
             for body in batch.to_pylist():
-                n, found, weight = _read(body, buckets, m)
-                x = m.slope * math.log1p(weight) + m.offset
-                space = m.location + math.log(max(n, 1))
+                values, found, weight = _read(body, scores, m)
+                space = m.location + math.log(max(len(values), 1))
                 strong = [f for f in found if m.scale * f[2] - space > -math.log(SIGNIFICANT)]
-                rows.append({"score": 1 / (1 + math.exp(-max(-60.0, min(60.0, x)))), "passages": _spans(body, strong)})
+                rows.append({"score": probability(weight, m), "passages": _spans(body, strong)})
             yield pa.array(rows, kind)
 
     made = own(docs, "made")
