@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +50,27 @@ def held_out(doc_id: str) -> Column:
 
 def hex_digest(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
+
+
+def hash_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of the 64-bit hashes ``h`` with two probes each: the low and the high
+    half, modulo ``bits``, a power of two. It has ``bits`` / 8 bytes, however many there are."""
+    high = F.call_function("shiftrightunsigned", F.col("h"), F.lit(32))
+    words = (
+        hashes.select(F.explode(F.array(F.pmod("h", F.lit(bits)), F.pmod(high, F.lit(bits)))).alias("at"))
+        .groupBy(F.shiftright("at", 6).alias("word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
+    )
+    out = np.zeros(bits // 64, dtype=np.int64)
+    got = words.toArrow()
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def may_hold(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which unsigned hashes the filter doesn't rule out."""
+    hit = np.ones(len(hashes), bool)
+    for probe in (hashes, hashes >> np.uint64(32)):
+        at = probe & np.uint64(len(bitmap) * 8 - 1)
+        hit &= (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return hit

@@ -3,7 +3,7 @@
 A mask names some of a run of tokens and ignores the others; its hash over a run is
 equal wherever the named tokens are, whatever stands between them. All runs of the test
 items are hashed under every mask, and all runs of the documents likewise. Documents
-drop runs that a fixed-size bitmap of the test hashes rules out, the rest is joined by
+drop runs that a Bloom filter of fixed size over the test hashes rules out, the rest is joined by
 hash. Around each hit the two texts are laid over each other and the best stretch of
 matching tokens is scored, substitutions counting against it.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .base import held
+from .base import hash_filter, held, may_hold
 
 #: The token positions each mask looks at. The first finds eight tokens in a row; the
 #: others skip positions, so that no single substitution in a run of twelve spoils all.
@@ -116,20 +116,6 @@ def _table(rows) -> pa.RecordBatch:
     )
 
 
-def _bitmap(test: DataFrame, bits: int) -> np.ndarray:
-    """Which remainders of test hashes occur; ``bits`` / 8 bytes however many items there are."""
-    words = (
-        test.select(F.explode("hashes").alias("h"))
-        .select(F.pmod("h", F.lit(bits)).alias("at"))
-        .groupBy(F.shiftright("at", 6).alias("word"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
-    )
-    out = np.zeros(bits // 64, dtype=np.int64)
-    got = words.toArrow()
-    out[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return out.view(np.uint8)
-
-
 def contaminated(
     docs: DataFrame, doc_id: str, text: str, benchmark: DataFrame, item_id: str, item_text: str,
     min_matched: int = MIN_MATCHED, min_share: float = MIN_SHARE, bits: int = BITMAP_BITS,
@@ -145,7 +131,7 @@ def contaminated(
     """
     spark = docs.sparkSession
     test, _ = held(_seeded(benchmark.filter(F.col(item_id).isNotNull()), item_id, item_text), "test-seeds")
-    shared = spark.sparkContext.broadcast(_bitmap(test, bits))
+    shared = spark.sparkContext.broadcast(hash_filter(test.select(F.explode("hashes").alias("h")), bits))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Tokens(), shared.value
@@ -154,8 +140,7 @@ def contaminated(
             for i, body in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = words.of(body)
                 h, s = seeds(tokens)
-                at = h & np.uint64(bits - 1)
-                hit = (seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                hit = may_hold(seen, h)
                 if hit.any():
                     rows.append((i, tokens.view(np.int64), h[hit].view(np.int64), s[hit]))
             if rows:
