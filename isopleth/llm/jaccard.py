@@ -33,10 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .base import dropped, held, own
+from .base import dropped, hash_filter, held, may_hold, own
 
 #: Sets of one part of a block.
 PART_ROWS = 256
+#: The filter of the sets that go on has bits in proportion to them, up to a fixed bound.
+BITS_PER_ROW = 16
+MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 #: How much a bisection weighs against a merged entry when lists are divided.
 MU = 0.0085
 _EDGE = "a long, b long"
@@ -211,14 +214,36 @@ _SIGNED = "id long, text_hash long, n long, key binary, hashes array<long>"
 
 def _survivors(signed: DataFrame, rule: Rule) -> DataFrame:
     """Step 1: (key, id) of the classes that may have a link, with a row that has the text."""
-    posted = signed.filter("key IS NOT NULL AND id IS NOT NULL").select("id", "n", "key", F.explode("hashes").alias("h"))
-    node = F.xxhash64("key")
+    known = signed.filter("key IS NOT NULL AND id IS NOT NULL")
+    node = F.xxhash64("key").alias("node")
     # Hashes that two classes have at least.
-    shared = posted.groupBy("h").agg(F.min(node).alias("low"), F.max(node).alias("high")).filter("low != high").select("h")
+    ends = known.select(node, F.explode("hashes").alias("h")).groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared, path = held(ends.filter("low != high").select("h"), "shared")
+    found, found_path = held(known.select("id", F.explode("hashes").alias("h")).join(shared, "h").groupBy("id").agg(F.count(F.lit(1)).alias("seen")), "seen")
     least = -F.floor(-F.lit(rule.percent) * F.col("n") / 100)
-    enough = F.floor(least / 10) + 1
-    found = posted.join(held(shared, "shared")[0], "h").groupBy("id", "n", "key").agg(F.count(F.lit(1)).alias("seen"))
-    return found.filter(F.col("seen") >= enough).groupBy("key").agg(F.min("id").alias("id"))
+    left = known.select("id", "n", "key").join(found, "id").filter(F.col("seen") >= F.floor(least / 10) + 1)
+    chosen, _ = held(left.groupBy("key").agg(F.min("id").alias("id")), "survivors")
+    dropped(shared, path)
+    dropped(found, found_path)
+    return chosen
+
+
+def _sets_of(rows: DataFrame, chosen: DataFrame, rule: Rule) -> DataFrame:
+    """Whole sets of the chosen classes, one row each, without shuffling any text."""
+    bits = MIN_BITS
+    while bits < min(MAX_BITS, BITS_PER_ROW * chosen.count()):
+        bits *= 2
+    shared = rows.sparkSession.sparkContext.broadcast(hash_filter(chosen.select(F.xxhash64("id").alias("h")), bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = may_hold(shared.value, batch["mark"].to_numpy().view(np.uint64))
+            yield from _signed(iter([batch.select(["id", "text_hash", "text"]).filter(pa.array(hit))]), rule, True)
+
+    marked = rows.filter("id IS NOT NULL").select("id", "text_hash", "text", F.xxhash64("id").alias("mark"))
+    # The filter lets a few others through; the join is exact.
+    whole = marked.mapInArrow(run, _SIGNED).join(chosen, ["id", "key"]).dropDuplicates(["key"])
+    return whole.select(F.xxhash64("key").alias("id"), "n", "hashes")
 
 
 def _search(rule: Rule):
@@ -291,13 +316,10 @@ def link_components(df: DataFrame, doc_id: str, text: str, rule: Rule = Rule(),
     rows = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("text_hash"), "text")
     signed, signed_path = held(rows.mapInArrow(lambda b: _signed(b, rule, False), _SIGNED), "signed")
-    chosen, _ = held(_survivors(signed, rule), "survivors")
+    chosen = _survivors(signed, rule)
     plain, _ = held(signed.drop("hashes"), "classes")
     dropped(signed, signed_path)
-    # The texts of survivors only; of a large corpus Spark filters them before the shuffle.
-    texts = rows.join(chosen.select("id").distinct(), "id", "left_semi")
-    full = texts.mapInArrow(lambda b: _signed(b, rule, True), _SIGNED).join(chosen, ["id", "key"]).dropDuplicates(["key"])
-    sets, sets_path = held(full.select(F.xxhash64("key").alias("id"), "n", "hashes"), "sets")
+    sets, sets_path = held(_sets_of(rows, chosen, rule), "sets")
     found, _ = held(components(_links(sets, rule, part_rows)), "components")
     dropped(sets, sets_path)
     classes = plain.filter("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("low"))
