@@ -3,7 +3,8 @@
 import pytest
 from check import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from isopleth.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,16 +19,16 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(SQL) == set(QUERIES)
 
 
 # Plan nodes that pair every row with every row, or leave the JVM.
 UNWANTED = ("CartesianProduct", "NestedLoopJoin", "EvalPython", "MapInPandas", "FlatMapGroups", "DeserializeToObject")
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert [node for node in UNWANTED if node in plan] == []
-    assert compare(df, duck, oracle_sql()[name]) == []
+    assert compare(df, duck, SQL[name]) == []
