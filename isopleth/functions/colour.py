@@ -46,7 +46,8 @@ def half_up(c: Column) -> Column:
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c))
+    """Held to low..high; a missing value stays missing."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c)))
 
 
 def pack_rgb(r, g, b) -> Column:
@@ -72,8 +73,9 @@ def _rgba(r, g, b, a) -> Column:
 
 
 def ramp_colour(name: str, t: Column) -> Column:
+    """Colour of a share of the range; a missing share is not painted."""
     r, g, b = _piecewise(RAMPS.get(name, RAMPS["precip"]), clamp(t, 0, 1))
-    return _rgba(r, g, b, F.lit(GRID_ALPHA))
+    return _rgba(*[F.when(t.isNotNull(), c).otherwise(F.lit(0)) for c in (r, g, b, F.lit(GRID_ALPHA))])
 
 
 def spread_colour(spread: Column | str) -> Column:
@@ -95,14 +97,14 @@ def delta_direction(d: Column | str, scale: float | Column = DELTA_RANGE) -> Col
     return (
         F.when(F.abs(d) < scale * DELTA_DEAD_ZONE, F.lit("none"))
         .when(d > 0, F.lit("increase"))
-        .otherwise(F.lit("decrease"))
+        .when(d.isNotNull(), F.lit("decrease"))
     )
 
 
 def delta_colour(d: Column | str, scale: float | Column = DELTA_RANGE) -> Column:
     d, scale = col(d), _scale(scale)
     t = clamp(d / scale, -1, 1)
-    hidden = F.abs(d) < scale * DELTA_DEAD_ZONE
+    hidden = d.isNull() | (F.abs(d) < scale * DELTA_DEAD_ZONE)
     alpha = half_up(F.least(F.lit(1.0), F.abs(t) + DELTA_ALPHA_FLOOR) * DELTA_ALPHA)
     channels = [
         F.when(hidden, F.lit(0)).when(t > 0, F.lit(warm)).otherwise(F.lit(cool))

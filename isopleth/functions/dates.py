@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from .missing import col
 
-# Comparison offsets on offer, sample cap per window, first date of
-# the stepper, and the publication lag of the daily imagery in days.
+# Comparison offsets on offer, first date of the stepper, and the
+# publication lag of the daily imagery in days.
 COMPARE_YEARS = (1, 2, 5, 10, 20)
-MAX_SAMPLES = 12
 FIRST_DATE = "2000-01-01"
 PUBLICATION_LAG_DAYS = 2
 
@@ -39,9 +38,9 @@ def compare_date_value(d: dt.date, years: int) -> dt.date:
 
 
 def month_snap(d: Column | str, latest: Column) -> Column:
-    """First of the month, held back to the last complete month before ``latest``."""
+    """First of the month, held back to the last complete month before ``latest``; null if missing."""
     last_complete = F.add_months(F.trunc(latest, "MM"), -1)
-    return F.least(F.trunc(col(d), "MM"), last_complete)
+    return F.when(col(d).isNotNull(), F.least(F.trunc(col(d), "MM"), last_complete))
 
 
 def month_snap_value(d: dt.date, latest: dt.date) -> dt.date:
@@ -57,13 +56,13 @@ def step_date(d: Column | str, unit: str, n: int, latest: Column) -> Column:
         "month": lambda: F.add_months(d, n),
         "year": lambda: F.add_months(d, 12 * n),
     }[unit]()
-    return F.least(latest, F.greatest(F.lit(FIRST_DATE).cast("date"), moved))
+    return F.when(d.isNotNull(), F.least(latest, F.greatest(F.lit(FIRST_DATE).cast("date"), moved)))
 
 
-def window_offsets(days: float, max_samples: int | None = MAX_SAMPLES) -> list[int]:
+def window_offsets(days: float, max_samples: int | None = None) -> list[int]:
     """Days back from the window end at which the window is sampled.
 
-    ``max_samples=None`` samples every day of the window.
+    Every day, unless the caller asks for so many samples spread over the window.
     """
     width = max(1, math.floor(days + 0.5))
     count = width if max_samples is None else min(max_samples, width)
@@ -73,7 +72,7 @@ def window_offsets(days: float, max_samples: int | None = MAX_SAMPLES) -> list[i
     return sorted({math.floor(i * step + 0.5) for i in range(count)})
 
 
-def window_sample_dates(end: Column | str, days: float, max_samples: int | None = MAX_SAMPLES) -> Column:
+def window_sample_dates(end: Column | str, days: float, max_samples: int | None = None) -> Column:
     """Array of sample dates, newest first, for a per-row window end."""
     end = col(end)
     return F.array(*[F.date_sub(end, n) for n in window_offsets(days, max_samples)])
@@ -82,7 +81,7 @@ def window_sample_dates(end: Column | str, days: float, max_samples: int | None
 def sample_date_values(
     end: dt.date,
     days: float,
-    max_samples: int | None = MAX_SAMPLES,
+    max_samples: int | None = None,
     monthly: bool = False,
     latest: dt.date | None = None,
     dedupe: bool = True,

@@ -88,18 +88,31 @@ def tile_counts(z) -> tuple[Column, Column]:
     return F.ceil(F.lit(360.0) / span).cast("long"), F.ceil(F.lit(180.0) / span).cast("long")
 
 
+def _known(c: Column) -> Column:
+    return F.when(~F.isnan(c), c)
+
+
+def _placed(lon: Column | str) -> Column:
+    """Longitude on the map: wrapped unless it is within [-180, 180] already; null if missing."""
+    lon = _known(col(lon))
+    return F.when((lon >= -180) & (lon <= 180), lon).otherwise(wrap_lon(lon))
+
+
+def _within(number: Column, most) -> Column:
+    """Held to 0..most. The functions that do this skip nulls, so a missing number is kept apart."""
+    return F.when(number.isNotNull(), F.greatest(F.lit(0).cast("long"), F.least(number, most)))
+
+
 def tile_x(lon: Column | str, z) -> Column:
-    """Tile column, clamped so longitude 180 falls in the last tile."""
+    """Tile column; longitudes wrap and 180 falls in the last tile. Null where missing."""
     nx, _ = tile_counts(z)
-    raw = F.floor((col(lon) + 180.0) / tile_span(z)).cast("long")
-    return F.greatest(F.lit(0).cast("long"), F.least(raw, nx - 1))
+    return _within(F.floor((_placed(lon) + 180.0) / tile_span(z)).cast("long"), nx - 1)
 
 
 def tile_y(lat: Column | str, z) -> Column:
-    """Tile row counted from the north, clamped so latitude -90 falls in the last tile."""
+    """Tile row counted from the north, clamped so latitude -90 falls in the last tile. Null where missing."""
     _, ny = tile_counts(z)
-    raw = F.floor((F.lit(90.0) - col(lat)) / tile_span(z)).cast("long")
-    return F.greatest(F.lit(0).cast("long"), F.least(raw, ny - 1))
+    return _within(F.floor((F.lit(90.0) - _known(col(lat))) / tile_span(z)).cast("long"), ny - 1)
 
 
 def tile_bounds(x, y, z) -> Column:
@@ -113,17 +126,17 @@ def tile_bounds(x, y, z) -> Column:
 
 
 def _clamp_pixel(p: Column, size: int) -> Column:
-    return F.greatest(F.lit(0).cast("long"), F.least(F.lit(size - 1).cast("long"), p))
+    return _within(p, F.lit(size - 1).cast("long"))
 
 
 def pixel_x(lon, x, z, size: int = TILE_PIXELS) -> Column:
     span = tile_span(z)
-    return _clamp_pixel(F.floor((col(lon) - (F.lit(-180.0) + col(x) * span)) / span * size).cast("long"), size)
+    return _clamp_pixel(F.floor((_placed(lon) - (F.lit(-180.0) + col(x) * span)) / span * size).cast("long"), size)
 
 
 def pixel_y(lat, y, z, size: int = TILE_PIXELS) -> Column:
     span = tile_span(z)
-    return _clamp_pixel(F.floor(((F.lit(90.0) - col(y) * span) - col(lat)) / span * size).cast("long"), size)
+    return _clamp_pixel(F.floor(((F.lit(90.0) - col(y) * span) - _known(col(lat))) / span * size).cast("long"), size)
 
 
 def geo_span(z) -> Column:
@@ -132,10 +145,8 @@ def geo_span(z) -> Column:
 
 
 def geo_tile_x(lon, z: int) -> Column:
-    raw = F.floor((col(lon) + 180.0) / geo_span(z)).cast("long")
-    return F.greatest(F.lit(0).cast("long"), F.least(raw, F.lit(2 ** (z + 1) - 1).cast("long")))
+    return _within(F.floor((_placed(lon) + 180.0) / geo_span(z)).cast("long"), F.lit(2 ** (z + 1) - 1).cast("long"))
 
 
 def geo_tile_y(lat, z: int) -> Column:
-    raw = F.floor((F.lit(90.0) - col(lat)) / geo_span(z)).cast("long")
-    return F.greatest(F.lit(0).cast("long"), F.least(raw, F.lit(2**z - 1).cast("long")))
+    return _within(F.floor((F.lit(90.0) - _known(col(lat))) / geo_span(z)).cast("long"), F.lit(2**z - 1).cast("long"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import col
 from ..functions.text import contains_ci, haystack
+from ..plans.ordered import ordered, row_numbers
 
-# The searched fields and the longest list shown.
+# Fixed value: the searched fields.
 SEARCH_FIELDS = ("name", "provider", "variables", "notes", "subdomain")
-LIST_ROWS = 150
 
 
 def matches(
@@ -35,11 +35,16 @@ def search(catalog: DataFrame, **filters) -> DataFrame:
     return catalog.filter(matches(**filters))
 
 
-def listed(hits: DataFrame, position: str, rows: int = LIST_ROWS) -> DataFrame:
-    """The first hits in catalog order."""
+def listed(hits: DataFrame, position: str, rows: int) -> DataFrame:
+    """The first hits in catalog order, as many as a report shows."""
     return hits.orderBy(position).limit(rows)
 
 
+def ranked(hits: DataFrame, position: str) -> DataFrame:
+    """Every hit with its place in catalog order, from 1."""
+    return row_numbers(ordered(hits, [], [position]), "rank")
+
+
 def hit_count(catalog: DataFrame, **filters) -> DataFrame:
     """How many of how many."""
     return catalog.agg(F.count_if(matches(**filters)).alias("hits"), F.count(F.lit(1)).alias("records"))

@@ -57,7 +57,7 @@ def top(df: DataFrame, quantity: str, tiebreak: str, n: int = 1000) -> DataFrame
 
 def page(df: DataFrame, quantity: str, tiebreak: str, offset: int, limit: int = PAGE_ROWS) -> DataFrame:
     """One page of the ranking, for the first pages of a report."""
-    return df.orderBy(col(quantity).desc(), col(tiebreak)).offset(offset).limit(min(limit, PAGE_ROWS))
+    return df.orderBy(col(quantity).desc(), col(tiebreak)).offset(offset).limit(limit)
 
 
 def paged(df: DataFrame, quantity: str, tiebreak: str, size: int = PAGE_ROWS) -> DataFrame:
@@ -97,9 +97,10 @@ def keep_parsed(df: DataFrame, numeric: list[str]) -> tuple[DataFrame, DataFrame
 
 
 def density(points: DataFrame, z: int, keys: list[str], lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Occurrences per tile of the power-of-two geographic pyramid."""
+    """Occurrences per tile of the power-of-two geographic pyramid; those without a place are left out."""
     placed = points.withColumn("z", F.lit(z)).withColumn("x", geo_tile_x(lon, z)).withColumn("y", geo_tile_y(lat, z))
-    return placed.groupBy(*keys, "z", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    known = placed.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return known.groupBy(*keys, "z", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pyramid(finest: DataFrame, z: int, keys: list[str], n: str = "n") -> DataFrame:

@@ -20,7 +20,7 @@ PIXEL = ["z", "x", "y", "px", "py"]
 
 
 def sample_table(
-    rules: DataFrame, end: dt.date, days: float, years: int, latest: dt.date, max_samples: int | None = dates.MAX_SAMPLES
+    rules: DataFrame, end: dt.date, days: float, years: int, latest: dt.date, max_samples: int | None = None
 ) -> DataFrame:
     """Dates to read per layer and side ``(layer, side, date)``; a few rows per layer.
 
@@ -48,7 +48,7 @@ def view(
     years: int = 0,
     mode: str = "split",
     latest: dt.date | None = None,
-    max_samples: int | None = dates.MAX_SAMPLES,
+    max_samples: int | None = None,
 ) -> DataFrame:
     """Every tiled layer as it is shown under the given controls.
 
@@ -70,10 +70,10 @@ def view(
         F.col("timed") & F.col("has_colormap") & (F.col("display") != "suppressed")
     )
     samples = sample_table(rules, end, days, years, latest, max_samples)
-    shown = rules.select(F.col("id").alias("layer"), "display", "delta_range", "level_cap")
+    shown = rules.select(F.col("id").alias("layer"), "display", "delta_range")
     # The registry has a fixed handful of layers, each with at most two sides of samples.
-    wanted = F.broadcast(samples.join(F.broadcast(shown.select("layer", "level_cap")), "layer"))
-    seen = pixels.filter(F.col("date").isin(sorted(asked))).join(wanted, ["layer", "date"]).filter(F.col("z") <= F.col("level_cap"))
+    wanted = F.broadcast(samples.join(F.broadcast(shown.select("layer")), "layer"))
+    seen = pixels.filter(F.col("date").isin(sorted(asked))).join(wanted, ["layer", "date"])
     values = cm.invert(seen.withColumn("colormap_id", F.col("layer")), colormaps)
 
     now, past = F.col("side") == "now", F.col("side") == "past"
@@ -96,7 +96,7 @@ def view(
     )
     out = F.when(is_delta, F.array(change)).when(both_sides, F.array(side("now"), side("past"))).otherwise(F.array(side("now")))
     rows = (
-        fields.join(F.broadcast(shown.drop("level_cap")), "layer")
+        fields.join(F.broadcast(shown), "layer")
         .withColumn("s", F.explode(out))
         .select("layer", "display", "delta_range", *PIXEL, "s.*")
         .filter(F.col("value").isNotNull())

@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import MAX_SAMPLES, compare_date_value, sample_date_values
+from ..functions.dates import compare_date_value, sample_date_values
 from ..functions.missing import col, finite
 from ..plans.joins import settled, split_join, within
 
@@ -59,7 +59,7 @@ def window_mean(
     days: float,
     day: str = "day",
     time: str | None = None,
-    max_samples: int | None = MAX_SAMPLES,
+    max_samples: int | None = None,
     monthly: bool = False,
     latest: dt.date | None = None,
     dedupe: bool = True,
@@ -81,7 +81,7 @@ def window_delta(
     days: float = 1,
     day: str = "day",
     time: str | None = None,
-    max_samples: int | None = MAX_SAMPLES,
+    max_samples: int | None = None,
     monthly: bool = False,
     latest: dt.date | None = None,
     dedupe: bool = True,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import wrap_lon
 from ..functions.missing import col, finite
 from ..plans.joins import lookup_join
 from ..plans.ordered import neighbours, ordered, row_numbers, running_sum
@@ -207,8 +208,8 @@ def closure(residuals: DataFrame, t: str, residual: str = "residual") -> DataFra
 def early_warning(df: DataFrame, series: list[str], time: str, value: str, window: int) -> DataFrame:
     """Rolling variance and lag-1 autocorrelation of the detrended monthly series.
 
-    Windows of ``window`` months; rows before the first full window are dropped. A
-    window without variance has no autocorrelation.
+    Windows of ``window`` calendar months; months whose window lacks one are dropped, and
+    only neighbouring months make a pair. A window without variance has no autocorrelation.
     """
     months = monthly(df, series, time, value)
     k = F.year("month") * 12 + F.month("month") - 1
@@ -217,10 +218,11 @@ def early_warning(df: DataFrame, series: list[str], time: str, value: str, windo
     slope = F.regr_slope(F.col("value"), F.col("k")).over(whole)
     intercept = F.regr_intercept(F.col("value"), F.col("k")).over(whole)
     in_order = whole.orderBy("k")
-    frame = in_order.rowsBetween(-(window - 1), 0)
+    frame = in_order.rangeBetween(-(window - 1), 0)
     rest = indexed.withColumn("resid", F.col("value") - (slope * F.col("k") + intercept))
-    pairs = rest.withColumn("resid_before", F.lag("resid").over(in_order))
-    pair_frame = in_order.rowsBetween(-(window - 2), 0)
+    follows = F.lag("k").over(in_order) == F.col("k") - 1
+    pairs = rest.withColumn("resid_before", F.when(follows, F.lag("resid").over(in_order)))
+    pair_frame = in_order.rangeBetween(-(window - 2), 0)
     both = F.col("resid_before").isNotNull()
     here = F.when(both, F.col("resid"))
     spread = F.stddev_pop(here).over(pair_frame) * F.stddev_pop("resid_before").over(pair_frame)
@@ -246,7 +248,9 @@ def state_vector(df: DataFrame, channel: str, time: str, value: str, channels: l
 def fingerprint(df: DataFrame, time: str, lon: str, lat: str, value: str, box) -> DataFrame:
     """Area-weighted mean inside a box minus the area-weighted mean everywhere, per month."""
     west, south, east, north = box
-    inside = (col(lon) >= west) & (col(lon) < east) & (col(lat) >= south) & (col(lat) < north)
+    x = wrap_lon(lon)
+    across = (x >= west) & (x < east) if west <= east else (x >= west) | (x < east)
+    inside = across & (col(lat) >= south) & (col(lat) < north)
     w = F.cos(F.radians(lat))
     real = df.filter(finite(value))
     wv = w * col(value)

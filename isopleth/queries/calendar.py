@@ -53,6 +53,6 @@ def sample_dates(spark, sf_dir):
     ends = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    listed = ends.select("n", F.explode(dd.window_sample_dates("day", 30)).alias("sample_day"))
+    listed = ends.select("n", F.explode(dd.window_sample_dates("day", 30, 12)).alias("sample_day"))
     out = listed.groupBy("sample_day").agg(F.sum("n").alias("used"))
     return out.withColumn("label", dd.window_label(F.lit(30)))

@@ -37,12 +37,12 @@ def catalog_hits(spark, sf_dir):
 
 @query(f"""
 WITH {CATALOG_SQL}
-SELECT doc_id, name, domain, length(notes) AS note_length FROM catalog
-WHERE contains({HAYSTACK_SQL}, 'er') ORDER BY doc_id LIMIT 150
+SELECT row_number() OVER (ORDER BY doc_id) AS rank, doc_id, name, domain, length(notes) AS note_length FROM catalog
+WHERE contains({HAYSTACK_SQL}, 'er')
 """)
 def catalog_search(spark, sf_dir):
     hits = c.search(documents_catalog(spark, sf_dir), text="er")
-    return c.listed(hits, "doc_id").select("doc_id", "name", "domain", F.length("notes").cast("long").alias("note_length"))
+    return c.ranked(hits, "doc_id").select("rank", "doc_id", "name", "domain", F.length("notes").cast("long").alias("note_length"))
 
 
 @query(f"""

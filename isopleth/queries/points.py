@@ -36,7 +36,7 @@ ASSETS_SQL = """assets AS (
   SELECT p_partkey, CASE WHEN p_brand <> 'Brand#13' THEN round(CAST((p_partkey * 7919) % 36000 AS DOUBLE) / CAST(100 AS DOUBLE) - 180, 4) END AS lon,
          round(CAST((p_partkey * 104729) % 18000 AS DOUBLE) / CAST(100 AS DOUBLE) - 90, 4) AS lat,
          CASE WHEN p_type <> 'SMALL' THEN p_retailprice * 1000 END AS q,
-         substring(coalesce(p_name, ''), 1, 80) AS name, p_brand AS country, p_type AS sector
+         coalesce(p_name, '') AS name, p_brand AS country, p_type AS sector
   FROM part
 ), kept AS (
   SELECT p_partkey, round(lon, 4) AS lon, round(lat, 4) AS lat, q, name, country, sector
@@ -56,7 +56,7 @@ def assets(spark, sf_dir):
         F.when(F.col("p_brand") != "Brand#13", ((k * 7919) % 36000).cast("double") / F.lit(100.0) - 180.0).alias("lon"),
         (((k * 104729) % 18000).cast("double") / F.lit(100.0) - 90.0).alias("lat"),
         main.alias("summary"),
-        F.substring(F.coalesce("p_name", F.lit("")), 1, 80).alias("name"),
+        F.coalesce("p_name", F.lit("")).alias("name"),
         F.col("p_brand").alias("country"),
         F.col("p_type").alias("sector"),
     )

@@ -260,11 +260,11 @@ MONTHLY_SQL = ORDERS_SQL + """, monthly AS (
 @query(f"""
 WITH {MONTHLY_SQL}, k AS (SELECT *, year(month) * 12 + month(month) - 1 AS k FROM monthly),
 r AS (SELECT series, month, k, value - (regr_slope(value, k) OVER (PARTITION BY series) * k + regr_intercept(value, k) OVER (PARTITION BY series)) AS resid FROM k),
-p AS (SELECT *, lag(resid) OVER (PARTITION BY series ORDER BY k) AS before FROM r),
+p AS (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY series ORDER BY k) = k - 1 THEN lag(resid) OVER (PARTITION BY series ORDER BY k) END AS before FROM r),
 e AS (SELECT series, month, resid,
-  var_pop(resid) OVER (PARTITION BY series ORDER BY k ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS variance,
-  corr(resid, before) OVER (PARTITION BY series ORDER BY k ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS lag1,
-  count(*) OVER (PARTITION BY series ORDER BY k ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS n FROM p)
+  var_pop(resid) OVER (PARTITION BY series ORDER BY k RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) AS variance,
+  corr(resid, before) OVER (PARTITION BY series ORDER BY k RANGE BETWEEN 10 PRECEDING AND CURRENT ROW) AS lag1,
+  count(*) OVER (PARTITION BY series ORDER BY k RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) AS n FROM p)
 SELECT series, month, round(resid / 1e6::DOUBLE, 6) AS resid, round(variance / 1e12::DOUBLE, 6) AS variance, round(lag1, 6) AS lag1 FROM e WHERE n = 12
 """)
 def ews_stats(spark, sf_dir):

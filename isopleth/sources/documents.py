@@ -35,7 +35,6 @@ CATALOG = (
     "record_count int, records array<struct<id:string,name:string,domain:string,subdomain:string,provider:string,"
     "url:string,access:string,license:string,variables:string,temporal:string,notes:string,globe:boolean,amoc:boolean>>"
 )
-NAME_CHARS = 80
 
 
 def read_documents(spark: SparkSession, path, schema: str, lines: bool = False) -> DataFrame:
@@ -50,7 +49,7 @@ def read_asset_pages(spark: SparkSession, path, lines: bool = False) -> DataFram
         F.get(place, F.lit(0)).alias("lon"),
         F.get(place, F.lit(1)).alias("lat"),
         first_quantity("a.EmissionsSummary").alias("q"),
-        F.substring(F.coalesce("a.Name", F.lit("")), 1, NAME_CHARS).alias("name"),
+        F.coalesce("a.Name", F.lit("")).alias("name"),
         F.coalesce("a.Country", F.lit("")).alias("country"),
         F.coalesce("a.Sector", F.lit("")).alias("sector"),
     )

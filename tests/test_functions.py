@@ -58,18 +58,18 @@ def test_stepper(spark):
 
 @pytest.mark.parametrize("days,count,last", [(1, 1, "2026-07-21"), (30, 12, "2026-06-22"), (365, 12, "2025-07-22"), (2, 2, "2026-07-20")])
 def test_window_sample_dates(spark, days, count, last):
-    got = one(spark, dates.window_sample_dates(date("2026-07-21"), days))[0]
-    assert got == dates.sample_date_values(D(2026, 7, 21), days)
+    got = one(spark, dates.window_sample_dates(date("2026-07-21"), days, 12))[0]
+    assert got == dates.sample_date_values(D(2026, 7, 21), days, 12)
     assert len(got) == count == len(set(got))
     assert got[0] == D(2026, 7, 21) and got[-1] == D.fromisoformat(last)
 
 
 def test_monthly_window_dates():
-    got = dates.sample_date_values(D(2023, 6, 15), 60, monthly=True, latest=D(2026, 7, 21))
+    got = dates.sample_date_values(D(2023, 6, 15), 60, 12, monthly=True, latest=D(2026, 7, 21))
     assert all(d.day == 1 for d in got) and len(got) == len(set(got)) <= 3
-    repeated = dates.sample_date_values(D(2023, 6, 15), 60, monthly=True, latest=D(2026, 7, 21), dedupe=False)
+    repeated = dates.sample_date_values(D(2023, 6, 15), 60, 12, monthly=True, latest=D(2026, 7, 21), dedupe=False)
     assert len(repeated) == 12 and set(repeated) == set(got)
-    assert len(dates.sample_date_values(D(2023, 6, 15), 60, max_samples=None)) == 60
+    assert len(dates.sample_date_values(D(2023, 6, 15), 60)) == 60
 
 
 def test_decimal_year(spark):

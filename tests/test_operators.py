@@ -135,7 +135,7 @@ def test_delta_needs_both_sides(spark):
 
 def test_repeated_months_weigh_more_only_without_dedupe(spark):
     df = spark.createDataFrame([(1, D(2023, 6, 1), 10.0), (1, D(2023, 5, 1), 0.0)], "pix int, day date, v double")
-    kw = dict(monthly=True, latest=D(2026, 7, 1))
+    kw = dict(monthly=True, latest=D(2026, 7, 1), max_samples=12)
     once = rolling.window_mean(df, ["pix"], "v", D(2023, 6, 30), 45, **kw).first()
     many = rolling.window_mean(df, ["pix"], "v", D(2023, 6, 30), 45, dedupe=False, **kw).first()
     assert once["value"] == 5.0 and once["n"] == 2
@@ -330,7 +330,7 @@ def test_catalog_filters(spark):
     rows = [(0, "Sea Ice", "X", "ocean", None, True, None), (1, "Rain", "Y", "land", "ice too", None, True), (2, "Dust", "Z", "land", None, False, False)]
     cat = spark.createDataFrame(rows, "pos int, name string, provider string, domain string, notes string, globe boolean, amoc boolean")
     cat = cat.withColumn("variables", F.lit(None).cast("string")).withColumn("subdomain", F.lit(None).cast("string"))
-    ids = lambda **k: [r["pos"] for r in catalog.listed(catalog.search(cat, **k), "pos").collect()]
+    ids = lambda **k: [r["pos"] for r in catalog.listed(catalog.search(cat, **k), "pos", 10).collect()]
     assert ids() == [0, 1, 2] and ids(text="ICE") == [0, 1] and ids(domain="land", amoc=True) == [1]
     assert ids(text="undefined") == [] and ids(globe=True) == [0]
     assert tuple(catalog.hit_count(cat, text="ice").first()) == (2, 3)

@@ -41,7 +41,7 @@ def test_window_mean_fills_gaps_and_hides_instants(spark, maps):
     rows = [("sst", NOW - dt.timedelta(days=k), px, i, 4) for k, px, i in [(0, 0, 7), (1, 0, 9), (1, 1, 4), (0, 1, None)]]
     rows += [("precip", NOW, 0, 3, 4), ("sst", NOW, 5, 3, 5)]
     out = got(raster.view(pixels(spark, rows), maps, ly.layer_table(spark), NOW, days=2))
-    assert out == {("sst", "now", 0): ("mean", 8.5, 8, 0, 235), ("sst", "now", 1): ("mean", 4.5, 4, 0, 235)}
+    assert out == {("sst", "now", 0): ("mean", 8.5, 8, 0, 235), ("sst", "now", 1): ("mean", 4.5, 4, 0, 235), ("sst", "now", 5): ("mean", 3.5, 3, 0, 235)}
 
 
 def test_difference_needs_both_dates(spark, maps):

@@ -36,7 +36,7 @@ def test_asset_pages(spark, tmp_path):
     put(tmp_path, "p3.json", {"assets": []})
     rows = sorted(documents.read_asset_pages(spark, str(tmp_path)).collect(), key=lambda r: r["name"])
     assert [(r["name"][:3], len(r["name"]), r["lon"], r["q"], r["sector"]) for r in rows] == [
-        ("", 0, None, 3.0, ""), ("b", 1, 0.0, None, ""), ("nnn", 80, 1.5, 7e6, ""),
+        ("", 0, None, 3.0, ""), ("b", 1, 0.0, None, ""), ("nnn", 100, 1.5, 7e6, ""),
     ]
 
 
