@@ -134,8 +134,15 @@ def fit(docs: DataFrame, doc_id: str, text: str, lang: str, sample_rows: int = S
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter("id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = rows.select("id", "lang").withColumn("turn", turn).filter(F.col("turn") <= sample_rows)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 31)), "id"))
+    # Ids below a hash that leaves about four times the sample of each language are ranked:
+    # as many however large the input is. Small languages are ranked whole.
+    ids = rows.select("id", "lang")
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    low = F.pmod(F.xxhash64("id"), F.lit(1 << 31)) / (1 << 31) * F.col("size") <= 4 * sample_rows
+    # No more languages than rows can be in the sample: the largest ones, by a bounded broadcast.
+    most = F.broadcast(sizes.orderBy(F.desc("size"), "lang").limit(sample_rows))
+    picked = ids.join(most, "lang").filter(low).withColumn("turn", turn).filter(F.col("turn") <= sample_rows)
     picked = picked.orderBy("turn", "lang").limit(sample_rows).select("id", "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
