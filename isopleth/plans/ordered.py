@@ -1,13 +1,10 @@
 """Ordered work over series of any length.
 
 A plain window puts a whole series into one task, which fails when one series
-holds a large share of the rows. So series are counted first, and only when the
-longest one fits a task is a plain window used: the whole series is one chunk.
-
-Otherwise rows are range-partitioned on (series, order), so a long series spreads
-over many chunks of similar size. A chunk's rows are handled by a window on
-(series, chunk), and what must flow from one chunk to the next is computed on one
-summary row per (series, chunk).
+holds a large share of the rows. So rows are range-partitioned on (series, order),
+and a long series spreads over many chunks of similar size. A chunk's rows are
+handled by a window on (series, chunk), and what must flow from one chunk to the
+next is computed on one summary row per (series, chunk).
 
 The chunk number comes from a sampled range partitioning, so the tagged rows are
 written once to the shared scratch folder; every later step reads that table and
@@ -26,9 +23,6 @@ from ..session import scratch_path
 CHUNK = "_chunk"
 SERIES = "_series"
 
-# The longest series sorted by one task.
-SERIES_ROWS = 1_000_000
-
 
 @dataclass(frozen=True)
 class Ordered:
@@ -41,7 +35,6 @@ class Ordered:
     rows: DataFrame
     series: tuple[str, ...]
     order: tuple[str, ...]
-    whole: bool = False  # every series is a single chunk
 
     @property
     def _group(self) -> list[str]:
@@ -67,11 +60,8 @@ class Ordered:
         return self.rows.groupBy(*self._group).agg(*aggregates)
 
     def join_summary(self, rows: DataFrame, summary: DataFrame) -> DataFrame:
-        """Rows with what reaches their chunk from the others: nothing, for a whole series."""
-        if not self.whole:
-            return rows.join(summary, self._group, "inner")
-        carried = [f for f in summary.schema.fields if f.name not in self._group]
-        return rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in carried])
+        """Rows with what reaches their chunk from the others."""
+        return rows.join(summary, self._group, "inner")
 
     def newest(self, value: Column) -> Column:
         """Aggregate: the value on the last row, by order, where it is not null."""
@@ -82,28 +72,20 @@ class Ordered:
 
 
 def ordered(df: DataFrame, series: list[str], order: list[str]) -> Ordered:
-    """Tag rows with chunk numbers. Ends ``order`` with a unique column to split ties."""
-    if _longest(df, series) <= SERIES_ROWS:
-        return _named(df.withColumn(CHUNK, F.lit(0)), series, order, whole=True)
+    """Tag rows with chunk numbers. Ends ``order`` with a unique column to split ties.
+
+    Runs a job: the tagged rows are written.
+    """
     path = scratch_path(df.sparkSession, "ordered")
     (
         df.repartitionByRange(*[F.col(c) for c in (*series, *order)])
         .withColumn(CHUNK, F.spark_partition_id())
         .write.parquet(path)
     )
-    return _named(df.sparkSession.read.parquet(path), series, order, whole=False)
-
-
-def _longest(df: DataFrame, series: list[str]) -> int:
-    """Rows of the longest series; counted per task first, so a long one costs nothing extra."""
-    counts = df.groupBy(*series).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
-def _named(rows: DataFrame, series: list[str], order: list[str], whole: bool) -> Ordered:
+    rows = df.sparkSession.read.parquet(path)
     if series:
         rows = rows.withColumn(SERIES, F.struct(*series))
-    return Ordered(rows, (SERIES,) if series else (), tuple(order), whole)
+    return Ordered(rows, (SERIES,) if series else (), tuple(order))
 
 
 def running_sum(o: Ordered, value: Column, name: str) -> DataFrame:

@@ -19,18 +19,15 @@ def spark():
 
 
 @pytest.fixture
-def many_chunks(spark, monkeypatch):
+def many_chunks(spark):
     """Small inputs spread over all shuffle partitions, as large ones do."""
-    from isopleth.plans import ordered
-
-    monkeypatch.setattr(ordered, "SERIES_ROWS", 0)
     key = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(key, "false")
     yield spark
     spark.conf.set(key, "true")
 
 
-@pytest.fixture(params=["chunks", "whole"])
+@pytest.fixture(params=["chunks", "coalesced"])
 def both_ways(request, spark):
-    """Once with series split into chunks and once with whole series."""
+    """Once with series split into chunks and once with small partitions put together."""
     return request.getfixturevalue("many_chunks") if request.param == "chunks" else spark

@@ -41,7 +41,6 @@ def in_order(rows):
 
 def test_a_hot_series_spans_chunks(many_chunks, rows):
     tagged = o.ordered(frame(many_chunks, rows), ["series"], ["t", "id"])
-    assert not tagged.whole
     assert tagged.rows.filter("series = 'hot'").select(o.CHUNK).distinct().count() > 2
     crowded = tagged.rows.filter("series = 'hot' and t = 50").select(o.CHUNK).distinct().count()
     assert crowded > 1
@@ -78,8 +77,15 @@ def test_block_mean(df, rows):
     np.testing.assert_allclose(got["v"].astype(float), want["v"])
 
 
-def test_short_series_stay_whole(spark, rows):
-    assert o.ordered(frame(spark, rows), ["series"], ["t", "id"]).whole
+def test_only_summaries_meet_in_one_task(many_chunks, rows):
+    """Without series, one row per chunk crosses ``SinglePartition``; the rows never do."""
+    for series in (["series"], []):
+        tagged = o.ordered(frame(many_chunks, rows), series, ["t", "id"])
+        for out in (o.row_numbers(tagged), o.running_sum(tagged, F.col("id"), "total"), o.previous(tagged, F.col("v"), "p"), o.neighbours(tagged, F.col("v"), "b", "a")):
+            lines = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+            windows = [line for line in lines if "Window [" in line]
+            rowwise = [line for line in windows if "_part" not in line and "_last" not in line and "_newest" not in line and "_oldest" not in line]
+            assert rowwise and all(f"{o.CHUNK}#" in line.split("windowspecdefinition(")[1].split("ASC")[0] for line in rowwise)
 
 
 def test_block_of_missing_samples_is_missing(both_ways):
