@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import utc, utc_date
 from ..functions.missing import rounded
 from ..session import scratch_path
-from ..streaming.cells import cell_means, write_closed
+from ..streaming.cells import CellTable, cell_means
 from ..streaming.latest import LatestTable
 from .base import observed, query, table, with_obs
 from .grids import COARSE, cells_sql
@@ -30,17 +30,15 @@ def stream_latest(spark, sf_dir):
 
 
 @query(
-    with_obs(f""", placed AS ({cells_sql(COARSE, keys="ts")}),
-closed AS (SELECT date_trunc('day', ts) AS start, ix, iy, v FROM placed
-  WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM obs))
-SELECT CAST(start AS DATE) AS day, ix, iy, round(avg(v), 9) AS value, count(*) AS n FROM closed GROUP BY ALL""")
+    with_obs(f""", placed AS ({cells_sql(COARSE, keys="ts")})
+SELECT CAST(ts AS DATE) AS day, ix, iy, round(avg(v), 9) AS value, count(*) AS n FROM placed GROUP BY ALL""")
 )
 def stream_cells(spark, sf_dir):
+    """Every window, also those the watermark hasn't closed when the input ends."""
     path = scratch_path(spark, "cells")
     stream = event_stream(spark, sf_dir).withColumn("at", utc("ts"))
     means = cell_means(stream, COARSE, "at", "v", "1 day", "1 hour")
-    write_closed(means, f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    cells = spark.read.parquet(f"{path}/table")
+    cells = CellTable(f"{path}/table").run(means, f"{path}/checkpoint")
     return cells.select(
         utc_date("window.start").alias("day"), "ix", "iy", rounded("value", 9).alias("value"), "n"
     )

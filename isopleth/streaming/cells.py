@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import Grid
@@ -32,3 +34,36 @@ def write_closed(stream: DataFrame, path: str, checkpoint: str):
         .trigger(availableNow=True)
         .start()
     )
+
+
+@dataclass(frozen=True)
+class CellTable:
+    """All windows seen so far, those still open included.
+
+    Each micro-batch writes the cells it changed to a folder of its own; a replayed one
+    writes the same again. The newest row of a cell counts. One table belongs to one
+    checkpoint: both start empty.
+    """
+
+    path: str
+
+    def merge(self, changed: DataFrame, batch: int) -> None:
+        """For ``foreachBatch`` in update mode."""
+        changed.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def run(self, means: DataFrame, checkpoint: str) -> DataFrame:
+        """Take in everything available now and return all windows."""
+        query = (
+            means.writeStream.outputMode("update")
+            .foreachBatch(self.merge)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        return self.current(means.sparkSession)
+
+    def current(self, spark: SparkSession) -> DataFrame:
+        seen = spark.read.parquet(self.path)
+        newest = F.max_by(F.struct("value", "n"), "batch").alias("_row")
+        return seen.groupBy("window", "ix", "iy").agg(newest).select("window", "ix", "iy", "_row.*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isopleth.functions.geo import Grid
 from isopleth.operators import grid as g
 from isopleth.operators.points import latest_per_key
-from isopleth.streaming.cells import cell_means, write_closed
+from isopleth.streaming.cells import CellTable, cell_means, write_closed
 from isopleth.streaming.latest import LatestTable
 
 GRID = Grid(-180.0, -90.0, 180.0, 90.0, 4, 2)
@@ -64,3 +64,20 @@ def test_closed_windows_equal_the_batch(spark, tmp_path):
     assert got.count() == want.count() > 0
     pick = lambda df: df.select("window.start", "ix", "iy", F.round("value", 9).alias("value"), "n")
     assert pick(got).exceptAll(pick(want)).count() == 0
+
+
+def test_all_windows_equal_the_batch(spark, tmp_path):
+    """Open windows included, over several batches, and again after a restart with more files."""
+    folder, table = str(tmp_path / "in"), CellTable(str(tmp_path / "out"))
+    batch = land(spark, folder, 2)
+    pick = lambda df: df.select("window.start", "ix", "iy", F.round("value", 9).alias("value"), "n")
+    for more in range(2):
+        if more:
+            batch.withColumn("ts", F.col("ts") + F.expr("INTERVAL 36 HOURS")).coalesce(1).write.mode("append").parquet(folder)
+        stream = cell_means(source(spark, folder, batch.schema), GRID, "ts", "v", "6 hours", "10 days")
+        got = table.run(stream, str(tmp_path / "cp"))
+        rows = spark.read.parquet(folder)
+        want = g.bin_mean(rows.withColumn("window", F.window("ts", "6 hours")), GRID, "v", keys=("window",))
+        assert got.count() == want.count() > 0
+        assert pick(got).exceptAll(pick(want)).count() == 0
+    assert len(list((tmp_path / "out").glob("batch=*"))) > 2
