@@ -307,6 +307,15 @@ def sink_grid_document(spark, sf_dir):
     return documents.read_grid(spark, path)[1]
 
 
+@query(with_obs(DENSE_SQL + "SELECT 'obs' AS id, ix, iy, value FROM dense WHERE value IS NOT NULL"))
+def sink_grid_rows(spark, sf_dir):
+    """A dense grid as one JSON document per grid row, read back to cells."""
+    dense = g.densify(g.bin_mean(observations(spark, sf_dir), FINE, "v"), FINE)
+    path = scratch_path(spark, "grid-rows")
+    sinks.write_document(sinks.grid_rows(dense, FINE, decimals=6, id="obs", units="mm/yr"), path)
+    return documents.read_grid(spark, path, lines=True)[1]
+
+
 @query(
     with_obs(DENSE_SQL + f""", f AS (SELECT count(*) AS n FROM dense)
 SELECT 'grid' AS dataset, unnest(['bounds', 'dlon', 'dlat', 'cells']) AS "check", CAST(0 AS DOUBLE) AS observed, CAST(0 AS DOUBLE) AS low, CAST(0 AS DOUBLE) AS high, n = {FINE.cells} AS passed FROM f""")

@@ -20,7 +20,7 @@ ROW_TABLE = "table struct<rows:array<array<string>>>"
 GRID = (
     "id string, title string, units string, source string, citation string, doc string, ramp string, snapshot string, "
     "vmin double, vmax double, west double, south double, east double, north double, dlon double, dlat double, "
-    "nx int, ny int, values array<double>"
+    "nx int, ny int, iy long, values array<double>"
 )
 FEATURES = (
     "features array<struct<properties:struct<name:string,type:string,url:string,description:string>,"
@@ -102,13 +102,16 @@ def read_components(spark: SparkSession, path, lines: bool = False) -> DataFrame
 
 
 def read_grid(spark: SparkSession, path, lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Grid documents: metadata rows, and filled cells ``(id, ix, iy, value)``."""
+    """Grid documents: metadata rows, and filled cells ``(id, ix, iy, value)``.
+
+    A document holds a whole grid or, with ``iy``, one row of it.
+    """
     docs = read_documents(spark, path, GRID, lines)
-    cells = docs.select("id", "nx", F.posexplode("values").alias("pos", "value")).filter(F.col("value").isNotNull())
-    return docs.drop("values"), cells.select(
+    cells = docs.select("id", "nx", "iy", F.posexplode("values").alias("pos", "value")).filter(F.col("value").isNotNull())
+    return docs.drop("values", "iy").distinct(), cells.select(
         "id",
         (F.col("pos") % F.col("nx")).cast("long").alias("ix"),
-        F.floor(F.col("pos") / F.col("nx")).cast("long").alias("iy"),
+        F.coalesce("iy", F.floor(F.col("pos") / F.col("nx"))).cast("long").alias("iy"),
         "value",
     )
 

@@ -38,19 +38,36 @@ def parallel_arrays(df: DataFrame, order: str, columns: list[str], rows: int = D
 
 
 def grid_document(dense: DataFrame, grid: Grid, decimals: int = 0, value: str = "value", **envelope) -> DataFrame:
-    """Dense cells ``(pos, value)`` as one grid document, row-major from the south-west."""
+    """Dense cells ``(pos, value)`` as one grid document, row-major from the south-west.
+
+    Larger grids are refused: ``grid_rows`` takes grids of any size.
+    """
     if grid.cells > DOCUMENT_ROWS:
         raise ValueError(f"{grid.cells} cells do not belong in one document")
     v = rounded(value, decimals)
     packed = F.array_sort(F.collect_list(F.struct("pos", (v.cast("long") if decimals == 0 else v).alias("v"))))
     one = dense.agg(packed.alias("_all"))
-    meta = {
+    return one.select(*[F.lit(x).alias(k) for k, x in _geometry(grid, **envelope).items()], F.col("_all.v").alias("values"))
+
+
+def grid_rows(dense: DataFrame, grid: Grid, decimals: int = 0, value: str = "value", **envelope) -> DataFrame:
+    """Dense cells ``(pos, value)`` as one document per grid row ``iy``, west to east.
+
+    No task holds more than the rows of its share, so grids of any height are fine.
+    """
+    v = rounded(value, decimals)
+    packed = F.array_sort(F.collect_list(F.struct("pos", (v.cast("long") if decimals == 0 else v).alias("v"))))
+    rows = dense.groupBy(F.floor(F.col("pos") / F.lit(grid.nx)).cast("long").alias("iy")).agg(packed.alias("_all"))
+    return rows.select(*[F.lit(x).alias(k) for k, x in _geometry(grid, **envelope).items()], "iy", F.col("_all.v").alias("values"))
+
+
+def _geometry(grid: Grid, **envelope) -> dict:
+    return {
         "west": grid.west, "south": grid.south, "east": grid.east, "north": grid.north,
         "dlon": round(grid.dlon, 6), "dlat": round(grid.dlat, 6), "nx": grid.nx, "ny": grid.ny, **envelope,
     }
-    return one.select(*[F.lit(x).alias(k) for k, x in meta.items()], F.col("_all.v").alias("values"))
 
 
 def write_document(one: DataFrame, path: str) -> None:
-    """One-row results as a JSON document; null elements and fields are kept."""
+    """Rows as JSON documents; null elements and fields are kept."""
     one.write.mode("overwrite").option("ignoreNullFields", False).json(path)

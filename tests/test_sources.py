@@ -74,6 +74,19 @@ def test_grid_round_trip(spark, tmp_path):
     assert {(r["ix"], r["iy"], r["value"]) for r in cells.collect()} == {(0, 0, 10.0), (2, 1, 4.0)}
 
 
+def test_large_grid_round_trip_by_rows(spark, tmp_path):
+    g = Grid(-180.0, -90.0, 180.0, 90.0, 3600, 1800)
+    df = spark.createDataFrame([(-179.95, -89.95, 10.0), (179.95, 89.95, 3.0), (0.05, 0.05, 7.0)], "lon double, lat double, v double")
+    dense = grid.densify(grid.bin_mean(df, g, "v"), g)
+    path = str(tmp_path / "grid")
+    sinks.write_document(sinks.grid_rows(dense, g, id="g", units="mm/yr"), path)
+    rows = spark.read.json(path)
+    assert rows.count() == 1800 and rows.select(F.min(F.size("values")), F.max(F.size("values"))).first() == (3600, 3600)
+    meta, cells = documents.read_grid(spark, path, lines=True)
+    assert meta.count() == 1 and meta.first()["ny"] == 1800
+    assert {(r["ix"], r["iy"], r["value"]) for r in cells.collect()} == {(0, 0, 10.0), (3599, 1799, 3.0), (1800, 900, 7.0)}
+
+
 def test_features(spark, tmp_path):
     path = put(tmp_path, "s.geojson", {"type": "FeatureCollection", "features": [
         {"type": "Feature", "properties": {"name": "a", "type": "AMOC array", "url": "https://x", "description": "d"}, "geometry": {"type": "Point", "coordinates": [-70.5, 26.5]}},
