@@ -30,14 +30,14 @@ def value_table(colormap: DataFrame) -> DataFrame:
     )
 
 
-def invert(pixels: DataFrame, colormap: DataFrame) -> DataFrame:
+def invert(pixels: DataFrame, colormap: DataFrame, how: str = "inner") -> DataFrame:
     """Pixels ``(colormap_id, r, g, b, a, ...)`` to values; transparent pixels and
-    colours outside the table are missing and dropped."""
+    colours outside the table are missing and dropped, the latter only by an inner join."""
     opaque = pixels.filter(F.col("a") != 0).withColumn("rgb_key", pack_rgb("r", "g", "b"))
     on = ["colormap_id", "rgb_key"]
     if within(colormap):
-        return opaque.join(F.broadcast(value_table(colormap)), on, "inner")
-    return lookup_join(opaque, value_table(colormap), on, "inner")
+        return opaque.join(F.broadcast(value_table(colormap)), on, how)
+    return lookup_join(opaque, value_table(colormap), on, how)
 
 
 def _search_end(n, gap):
@@ -94,7 +94,7 @@ def intervals(colormap: DataFrame) -> DataFrame:
 
 def forward(values: DataFrame, colormap: DataFrame, value: str = "value", one_map: bool = False) -> DataFrame:
     """Rows ``(colormap_id, value, ...)`` plus ``rgb_key``; with ``one_map`` the table holds
-    a single colormap and rows need no ``colormap_id``.
+    a single colormap and rows need no ``colormap_id``. Without a colormap the colour is null.
 
     Values at or below the first bin take its colour, values at or above the end of
     the last bin take that one's. In between, the range of each colormap is cut into
@@ -130,7 +130,9 @@ def forward(values: DataFrame, colormap: DataFrame, value: str = "value", one_ma
         row = ends.select(F.struct(*fields)).scalar()
         with_ends = values.withColumn("_ends", row).select(*values.columns, "_ends.*")
     else:
-        with_ends = values.join(placed(ends, small), ["colormap_id"], "inner")
+        # One row per colormap: broadcast whatever the number of bins, unless maps are many too.
+        bound = FORWARD_ROWS if small else None
+        with_ends = lookup_join(values, ends, ["colormap_id"], "left", bound)
     beyond = F.when(F.col(value) <= F.col("floor"), F.col("first_rgb")).when(
         F.col(value) >= F.col("ceiling"), F.col("last_rgb")
     )

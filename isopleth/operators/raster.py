@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, dates
 from ..plans import layers as ly
+from ..plans.joins import settled
 from . import colormap as cm
 from .ensemble import ensemble
 
@@ -24,7 +25,8 @@ def sample_table(
 ) -> DataFrame:
     """Dates to read per layer and side ``(layer, side, date)``; a few rows per layer.
 
-    Monthly layers snap to published months, and months met twice count once.
+    Monthly layers snap to published months, and months met twice count once. Layers that
+    the date selector doesn't change have their fixed date, on the side of now.
     """
     sides = {"now": end}
     if years:
@@ -33,9 +35,14 @@ def sample_table(
         F.struct(F.lit(side).alias("side"), dates.window_sample_dates(F.lit(at), days, max_samples).alias("dates"))
         for side, at in sides.items()
     ]
-    each = rules.select("id", "monthly", F.explode(F.array(*listed)).alias("s"))
-    day = each.select("id", "monthly", "s.side", F.explode("s.dates").alias("date"))
-    snapped = F.when(F.col("monthly"), dates.month_snap("date", F.lit(latest))).otherwise(F.col("date"))
+    each = rules.select("id", "timed", "monthly", "fixed_time", F.explode(F.array(*listed)).alias("s"))
+    each = each.filter(F.col("timed") | (F.col("s.side") == "now"))
+    day = each.select("id", "timed", "monthly", "fixed_time", "s.side", F.explode("s.dates").alias("date"))
+    snapped = (
+        F.when(~F.col("timed"), F.col("fixed_time"))
+        .when(F.col("monthly"), dates.month_snap("date", F.lit(latest)))
+        .otherwise(F.col("date"))
+    )
     return day.select(F.col("id").alias("layer"), "side", snapped.alias("date")).distinct()
 
 
@@ -54,69 +61,77 @@ def view(
 
     ``(layer, display, side, z, x, y, px, py, value, n, r, g, b, a)``. Differenceable
     layers in difference mode give the mean of the window minus that of the same window
-    ``years`` earlier, where both have data. Other layers give their window mean, or
-    the single day, on one side or side by side. Layers that may not be averaged are
-    left out while a window is active, and a window caps the tile level.
+    ``years`` earlier, where both have data. Averageable layers give their window mean, on
+    one side or side by side. All others give their visible pixels as they are, with a
+    value where their colour has one: single days, true colour, fixed composites. Layers
+    that may not be averaged are left out while a window is active. Runs jobs: the registry
+    is read and the colormaps are written once.
     """
     comparing = years > 0
     latest = latest or end
     ends = [end, dates.compare_date_value(end, years)] if comparing else [end]
-    # Every date any layer can ask for, as plain values: partitions are pruned before the join.
+    rules = ly.with_posture(layers, days, comparing, mode).filter(
+        ~F.col("display").isin("suppressed", "grid") & (F.col("timed") | F.col("fixed_time").isNotNull())
+    )
+    # Every layer and date that can be asked for, as plain values: partitions are pruned
+    # before the join. The registry has a fixed handful of layers.
+    known = rules.select("id", "timed", "fixed_time").collect()
     asked = {
         d for at in ends for monthly in (False, True)
         for d in dates.sample_date_values(at, days, max_samples, monthly, latest)
-    }
-    rules = ly.with_posture(layers, days, comparing, mode).filter(
-        F.col("timed") & F.col("has_colormap") & (F.col("display") != "suppressed")
-    )
-    samples = sample_table(rules, end, days, years, latest, max_samples)
+    } | {r["fixed_time"] for r in known if not r["timed"]}
+    here = F.col("layer").isin(sorted(r["id"] for r in known)) & F.col("date").isin(sorted(asked))
     shown = rules.select(F.col("id").alias("layer"), "display", "delta_range")
-    # The registry has a fixed handful of layers, each with at most two sides of samples.
-    wanted = F.broadcast(samples.join(F.broadcast(shown.select("layer")), "layer"))
-    seen = pixels.filter(F.col("date").isin(sorted(asked))).join(wanted, ["layer", "date"])
-    values = cm.invert(seen.withColumn("colormap_id", F.col("layer")), colormaps)
-
+    both_sides = comparing and mode == "split"
+    is_delta, raw = F.col("display") == "delta", F.col("display") == "raw"
+    # At most two sides of samples for each layer.
+    samples = sample_table(rules, end, days, years, latest, max_samples).join(F.broadcast(shown), "layer")
+    wanted = F.broadcast(samples.filter((F.col("side") == "now") | is_delta | F.lit(both_sides)))
+    seen = pixels.filter(here & (F.col("a") != 0)).join(wanted, ["layer", "date"]).withColumn("colormap_id", F.col("layer"))
+    colormaps = settled(colormaps, "colormaps")
+    as_they_are = _raw(seen.filter(raw), colormaps)
+
+    values = cm.invert(seen.filter(~raw).drop("display", "delta_range"), colormaps)
     now, past = F.col("side") == "now", F.col("side") == "past"
     fields = values.groupBy("layer", *PIXEL).agg(
         F.avg(F.when(now, F.col("value"))).alias("now"),
         F.avg(F.when(past, F.col("value"))).alias("past"),
         F.count_if(now).alias("n_now"),
         F.count_if(past).alias("n_past"),
-        F.max(F.when(now, F.col("rgb_key"))).alias("rgb_now"),
-        F.max(F.when(past, F.col("rgb_key"))).alias("rgb_past"),
     )
-    is_delta = F.col("display") == "delta"
-    both_sides = F.lit(comparing and mode == "split")
     side = lambda name: F.struct(
-        F.lit(name).alias("side"), F.col(name).alias("value"), F.col(f"n_{name}").alias("n"), F.col(f"rgb_{name}").alias("rgb")
+        F.lit(name).alias("side"), F.col(name).alias("value"), F.col(f"n_{name}").alias("n")
     )
     change = F.struct(
-        F.lit("change").alias("side"), (F.col("now") - F.col("past")).alias("value"),
-        F.least("n_now", "n_past").alias("n"), F.lit(None).cast("long").alias("rgb"),
+        F.lit("change").alias("side"), (F.col("now") - F.col("past")).alias("value"), F.least("n_now", "n_past").alias("n")
     )
-    out = F.when(is_delta, F.array(change)).when(both_sides, F.array(side("now"), side("past"))).otherwise(F.array(side("now")))
+    out = F.when(is_delta, F.array(change)).otherwise(F.array(*[side(s) for s in (("now", "past") if both_sides else ("now",))]))
     rows = (
         fields.join(F.broadcast(shown), "layer")
         .withColumn("s", F.explode(out))
         .select("layer", "display", "delta_range", *PIXEL, "s.*")
         .filter(F.col("value").isNotNull())
     )
-    return _painted(rows, colormaps)
+    return _painted(rows, colormaps).unionByName(as_they_are)
+
+
+def _raw(seen: DataFrame, colormaps: DataFrame) -> DataFrame:
+    """Pixels in the colours they have; the value is missing where a colour has none."""
+    looked = cm.invert(seen, colormaps, how="left")
+    channels = [F.col(c).cast("int").alias(c) for c in ("r", "g", "b", "a")]
+    return looked.select("layer", "display", "side", *PIXEL, "value", F.lit(1).cast("long").alias("n"), *channels)
 
 
 def _painted(rows: DataFrame, colormaps: DataFrame) -> DataFrame:
-    """Differences on the two-sided scale, means through the layer's own colours, single
-    days in the colour they had."""
-    placed = rows.withColumn("colormap_id", F.col("layer"))
-    looked = cm.forward(placed, colormaps)
-    is_delta, raw = F.col("display") == "delta", F.col("display") == "raw"
-    rgb = F.struct(*cm.unpack(F.when(raw, F.col("rgb")).otherwise(F.col("rgb_key"))))
-    own_alpha = F.when(raw, F.lit(255)).otherwise(F.lit(colour.MEAN_ALPHA))
+    """Differences on the two-sided scale, means through the layer's own colours."""
+    looked = cm.forward(rows.withColumn("colormap_id", F.col("layer")), colormaps)
+    is_delta = F.col("display") == "delta"
+    rgb = F.struct(*cm.unpack(F.col("rgb_key")))
     delta = colour.delta_colour("value", F.col("delta_range"))
     pick = lambda k, own: F.when(is_delta, delta[k]).otherwise(own).alias(k)
     return looked.select(
         "layer", "display", "side", *PIXEL, "value", "n",
-        pick("r", rgb["r"]), pick("g", rgb["g"]), pick("b", rgb["b"]), pick("a", own_alpha),
+        pick("r", rgb["r"]), pick("g", rgb["g"]), pick("b", rgb["b"]), pick("a", F.lit(colour.MEAN_ALPHA)),
     )
 
 

@@ -37,6 +37,18 @@ def test_single_day_keeps_its_colours(spark, maps):
     assert out == {("sst", "now", 0): ("raw", 7.5, 7, 0, 255), ("precip", "now", 0): ("raw", 3.5, 3, 0, 255)}
 
 
+def test_pixels_without_a_value_are_shown(spark, maps):
+    fixed = D(2016, 1, 1)
+    rows = [("viirs-truecolor", NOW, 0, 200, 8), ("viirs-truecolor", NOW, 1, None, 8), ("sst", NOW, 0, 99, 5), ("nightlights", fixed, 0, 40, 7)]
+    rows += [("nightlights", NOW, 0, 41, 7), ("viirs-truecolor", PAST, 0, 9, 8)]
+    px, layers = pixels(spark, rows), ly.layer_table(spark)
+    composite = {("nightlights", "now", 0): ("raw", None, 40, 0, 255)}
+    day = {("viirs-truecolor", "now", 0): ("raw", None, 200, 0, 255), ("sst", "now", 0): ("raw", None, 99, 0, 255)} | composite
+    assert got(raster.view(px, maps, layers, NOW)) == day
+    assert got(raster.view(px, maps, layers, NOW, years=1)) == day | {("viirs-truecolor", "past", 0): ("raw", None, 9, 0, 255)}
+    assert got(raster.view(px, maps, layers, NOW, days=7)) == composite
+
+
 def test_window_mean_fills_gaps_and_hides_instants(spark, maps):
     rows = [("sst", NOW - dt.timedelta(days=k), px, i, 4) for k, px, i in [(0, 0, 7), (1, 0, 9), (1, 1, 4), (0, 1, None)]]
     rows += [("precip", NOW, 0, 3, 4), ("sst", NOW, 5, 3, 5)]
