@@ -32,22 +32,20 @@ def ensemble(
     A member's rows at a pixel are first reduced to its own mean. Member names are
     known, so that is one aggregate column per member and the whole job one shuffle.
     """
-    per_member = [F.avg(F.when(col(member) == name, col(value))) for name in members]
-    values = F.filter(F.col("_m"), lambda x: x.isNotNull())
+    means = {f"_m{i}": F.avg(F.when(col(member) == name, col(value))) for i, name in enumerate(members)}
+    present = [F.when(F.col(m).isNotNull(), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")) for m in means]
     fields = (
         stacked.filter(finite(value) & col(member).isin(list(members)))
         .groupBy(*keys)
-        .agg(F.array(*per_member).alias("_m"))
-        .withColumn("_m", values)
-        .withColumn("n_members", F.size("_m").cast("long"))
+        .agg(*[mean.alias(m) for m, mean in means.items()])
+        .withColumn("n_members", reduce(lambda a, b: a + b, present))
         .filter(F.col("n_members") >= min_members)
     )
-    total = F.aggregate("_m", F.lit(0.0), lambda acc, x: acc + x)
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(m), F.lit(0.0)) for m in means])
     fields = fields.withColumn("mean", total / F.col("n_members"))
-    squares = F.aggregate(
-        F.transform("_m", lambda x: (x - F.col("mean")) * (x - F.col("mean"))), F.lit(0.0), lambda acc, x: acc + x
-    )
-    return fields.withColumn("spread", F.sqrt(squares / F.col("n_members"))).drop("_m")
+    off = [F.col(m) - F.col("mean") for m in means]
+    squares = reduce(lambda a, b: a + b, [F.coalesce(x * x, F.lit(0.0)) for x in off])
+    return fields.withColumn("spread", F.sqrt(squares / F.col("n_members"))).drop(*means)
 
 
 def ensemble_on_common_grid(
