@@ -93,13 +93,15 @@ def write_cube(field: DataFrame, path: str, dataset: str, time: str = "time", ce
     """Field cells in long form, partitioned by dataset and year.
 
     Rows are ranged by time and cell, so a crowded year spreads over files of similar
-    size and each file covers a short span of times.
+    size and each file covers a short span of times. The written years of the dataset
+    replace what was there, so a rerun repeats no row; others stay.
     """
     (
         field.withColumn("dataset", F.lit(dataset))
         .withColumn("year", F.year(time))
         .repartitionByRange("year", time, *cell)
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("dataset", "year")
         .parquet(path)
     )

@@ -151,6 +151,17 @@ def test_rates_push_down(spark, tmp_path):
     assert "EqualTo(period" in plan and "extra" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
+def test_cube_written_again_is_the_same(spark, tmp_path):
+    path = str(tmp_path / "cube")
+    write = lambda rows, name: tables.write_cube(spark.createDataFrame(rows, "time date, cell int, v double"), path, name)
+    first = [(D(2000 + y, 1, 1), 0, float(y)) for y in range(4)]
+    write(first, "precip")
+    write(first[:1], "sst")
+    write([(D(2001, 1, 1), 0, 9.0), (D(2002, 1, 1), 0, 2.0)], "precip")
+    assert sorted(r["v"] for r in tables.read_cube(spark, path, "precip").collect()) == [0.0, 2.0, 3.0, 9.0]
+    assert [r["v"] for r in tables.read_cube(spark, path, "sst").collect()] == [0.0]
+
+
 def test_cube_prunes_years(spark, tmp_path):
     path = str(tmp_path / "cube")
     rows = [(D(2000 + y, 1, 1), 0, float(y)) for y in range(4)]
