@@ -162,3 +162,25 @@ def point_probe(spark, sf_dir):
         "c_custkey", rounded("value", 9).alias("value"), "n", F.col("value").isNull().alias("no_data"),
         F.lit("past 30 days").alias("label"),
     )
+
+
+PROBE_END = dt.date(2024, 1, 20)
+PROBE_NOW = sample_date_values(PROBE_END, 10)
+PROBE_PAST = sample_date_values(compare_date_value(PROBE_END, 1), 10)
+
+
+@query(
+    with_obs(f""", {PROBE_POINTS}, {OBS_PIXELS}, {pixel_sql("probes", "asked", "c_custkey")},
+dated AS (SELECT *, CASE WHEN day(day) % 2 = 0 THEN day ELSE CAST(day - INTERVAL 1 YEAR AS DATE) END AS seen FROM pixels WHERE v IS NOT NULL),
+field AS (
+  SELECT x, y, px, py, avg(CASE WHEN seen IN ({dates_sql(PROBE_NOW)}) THEN v END) - avg(CASE WHEN seen IN ({dates_sql(PROBE_PAST)}) THEN v END) AS delta
+  FROM dated GROUP BY x, y, px, py HAVING delta IS NOT NULL)
+SELECT c_custkey, round(delta, 9) AS delta, delta IS NULL AS no_data FROM asked LEFT JOIN field USING (x, y, px, py)""")
+)
+def point_probe_delta(spark, sf_dir):
+    """The change against the year before under each point; every other day is taken as one of the year before."""
+    points = pixelled(probe_points(spark, sf_dir)).select("c_custkey", *PIXEL)
+    back = F.when(F.dayofmonth("day") % 2 == 0, F.col("day")).otherwise(F.add_months("day", -12))
+    obs = pixelled(observations(spark, sf_dir)).withColumn("day", back)
+    out = rolling.probe(points, obs, PIXEL, lambda o: rolling.window_delta(o, PIXEL, "v", PROBE_END, 1, 10))
+    return out.select("c_custkey", rounded("delta", 9).alias("delta"), F.col("delta").isNull().alias("no_data"))

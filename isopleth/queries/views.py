@@ -157,3 +157,29 @@ def layer_view_split(spark, sf_dir):
         all_pixels(spark, sf_dir), all_colormaps(spark, sf_dir), ly.layer_table(spark), END, SPLIT_DAYS, 1, "split", latest=LATEST
     )
     return out.select("layer", "display", "side", "x", "px", "n", rounded("value", 9).alias("value"), "a")
+
+
+MEMBERS = ("a", "b", "c")
+
+
+@query(f"""
+WITH p AS (SELECT [{names_sql(MEMBERS)}][l_partkey % 3 + 1] AS member, l_suppkey % 20 AS x, CAST(l_linenumber AS BIGINT) AS px, CAST(l_quantity AS INTEGER) AS i FROM lineitem WHERE l_linenumber <> 7),
+m AS (SELECT x, px, member, avg(p_size + {d(0.5)}) AS v FROM p JOIN (SELECT DISTINCT p_size FROM part WHERE p_size % 7 <> 0) ON p_size = i GROUP BY ALL),
+e AS (SELECT x, px, count(*) AS n_members, avg(v) AS mean, stddev_pop(v) AS spread FROM m GROUP BY x, px HAVING count(*) >= 2)
+SELECT 'mean' AS mode, x, px, n_members, round(mean, 9) AS value FROM e
+UNION ALL SELECT 'spread', x, px, n_members, round(spread, 9) FROM e
+""")
+def ensemble_view(spark, sf_dir):
+    """Mean and spread of three products read as tiles of one day."""
+    zero = F.lit(0).cast("long")
+    px = table(spark, sf_dir, "lineitem").select(
+        F.get(F.array(*[F.lit(x) for x in MEMBERS]), (F.col("l_partkey") % 3).cast("int")).alias("layer"), F.lit(END).alias("date"),
+        F.lit(3).alias("z"), (F.col("l_suppkey") % 20).alias("x"), zero.alias("y"),
+        F.col("l_linenumber").cast("long").alias("px"), zero.alias("py"),
+        (F.col("l_quantity").cast("int") * 5).alias("r"), F.lit(10).alias("g"), F.lit(7).alias("b"),
+        F.when(F.col("l_linenumber") == 7, F.lit(0)).otherwise(F.lit(255)).alias("a"),
+    )
+    one = all_colormaps(spark, sf_dir).filter(F.col("colormap_id") == MAPPED[0])
+    views = [raster.ensemble_view(px, one, list(MEMBERS), END, mode).withColumn("mode", F.lit(mode)) for mode in ("mean", "spread")]
+    pick = [v.select("mode", "x", "px", "n_members", rounded("value", 9).alias("value")) for v in views]
+    return pick[0].unionByName(pick[1])
