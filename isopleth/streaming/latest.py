@@ -17,7 +17,7 @@ class LatestTable:
     A version is the previous one merged with the batch, reduced by the batch
     operator. A replayed batch writes the same version from the same
     predecessor, so the result does not depend on retries. Versions are as long
-    as there are keys.
+    as there are keys. One table belongs to one checkpoint: both start empty.
     """
 
     path: str
