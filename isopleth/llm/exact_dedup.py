@@ -9,11 +9,12 @@ third of all rows repeat reaches its owner once per batch, not once per row.
 A trie that outgrows its bound gives up its subtrees one by one, the heaviest first:
 their entries go to a file of the task, later ones of the same subtree follow, and each
 file is read back into a trie of its own at the end. The files are the running task's
-own spill; another attempt of a lost task makes its own.
+own spill, in the folder Spark spills to itself; another attempt of a lost task makes its own.
 """
 
 from __future__ import annotations
 
+import os
 import pickle
 import tempfile
 from collections.abc import Iterator
@@ -99,6 +100,11 @@ class Trie:
             todo.extend((kid, path) for kid in (node.kids or {}).values())
 
 
+def _spill_folder() -> str | None:
+    """Where the executor keeps its own spill; Spark names it to every Python worker."""
+    return os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+
+
 class SpillingTrie:
     """A trie whose subtrees under the first byte move to files when it outgrows its bound.
 
@@ -120,7 +126,7 @@ class SpillingTrie:
             self._spill(max(self.weight, key=self.weight.get))
 
     def _spill(self, first: bytes) -> None:
-        self.files[first] = out = tempfile.TemporaryFile()
+        self.files[first] = out = tempfile.TemporaryFile(dir=_spill_folder())
         for path, value in self.trie.items(self.trie.root.kids.pop(first[0])):
             pickle.dump((path[1:], value), out)
         self.trie.bytes -= self.weight.pop(first)
