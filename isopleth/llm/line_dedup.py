@@ -136,30 +136,33 @@ def drop_repeated_lines(
     spark = df.sparkSession
     out = df.drop(*(c for c in (kept, "n_lines", "n_dropped") if c != text))
     lines = df.select(F.coalesce(F.col(doc_id), F.lit(_LAST)).alias("id"), F.col(text).cast("string").alias("text"))
+    lines = lines.select("id", F.xxhash64("text").alias("row"), "text")
     n_lines = lines.select(F.sum(F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(1)))).first()[0]
     shared = spark.sparkContext.broadcast(twice_filter(lines, filter_bits(n_lines or 0), min_points))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for ident, body in zip(*(c.to_pylist() for c in batch.columns)):
+            ids, marks, keys = [], [], []
+            for ident, mark, body in zip(*(c.to_pylist() for c in batch.columns)):
                 mine = distinct_keys(body, min_points)
                 if mine:
                     some = [k for k, s in zip(mine, _suspected(mine, shared.value)) if s]
                     ids.extend([ident] * len(some))
+                    marks.extend([mark] * len(some))
                     keys.extend(some)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["id", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(keys, pa.binary())], ["id", "row", "key"])
 
-    found = lines.mapInArrow(suspects, "id long, key binary")
+    found = lines.mapInArrow(suspects, "id long, row long, key binary")
     # Written, so that the join below shuffles both sides and can split a hot line's rows.
     ends = found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     first, _ = held(ends.filter("first < last").select("key", "first"), "repeated-lines")
     lost = found.join(first, "key").filter("id > first")
-    by_doc = lost.groupBy("id").agg(F.collect_set("key").alias("lost"))
-    ident, gone, made = own(out, "id"), own(out, "lost"), own(out, "made")
-    joined = out.withColumn(ident, F.coalesce(F.col(doc_id), F.lit(_LAST))).join(
-        by_doc.select(F.col("id").alias(ident), F.col("lost").alias(gone)), ident, "left"
+    # By id and text: however many rows share an id, a list has one text's lines at most.
+    by_row = lost.groupBy("id", "row").agg(F.collect_set("key").alias("lost"))
+    ident, mark, gone, made = own(out, "id"), own(out, "row"), own(out, "lost"), own(out, "made")
+    joined = out.withColumns({ident: F.coalesce(F.col(doc_id), F.lit(_LAST)), mark: F.xxhash64(F.col(text).cast("string"))}).join(
+        by_row.select(F.col("id").alias(ident), F.col("row").alias(mark), F.col("lost").alias(gone)), [ident, mark], "left"
     )
 
     @F.arrow_udf("struct<kept: string, n_lines: long, n_dropped: long>")

@@ -80,6 +80,14 @@ def test_lines(docs):
     assert line_dedup.drop_repeated_lines(docs([]), "doc_id", "text").count() == 0
 
 
+def test_lines_of_rows_without_id(docs):
+    rows = [(1, "\n".join(f"shared line {k}" for k in range(9)))] + [(None, f"shared line {k}\nown line {k % 3}") for k in range(9)] + [(None, None), (1, "shared line 3")]
+    out = line_dedup.drop_repeated_lines(docs(rows), "doc_id", "text").collect()
+    # Rows without id are one document: their own lines repeat within it and stay.
+    assert sorted(r.kept for r in out if r.doc_id is None) == sorted([""] + [f"own line {k % 3}" for k in range(9)])
+    assert sorted(r.n_dropped for r in out) == [0] * 3 + [1] * 9
+
+
 def brute_links(rows, rule):
     sets = []
     for i, text in rows:
