@@ -27,6 +27,22 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+def _at(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _at(spark, path)
+    return files.exists(place)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more; nothing happens if there is none."""
+    files, place = _at(spark, path)
+    files.delete(place, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.points import latest_per_key
+from ..session import discard, exists
 
 
 @dataclass(frozen=True)
@@ -17,7 +18,8 @@ class LatestTable:
     A version is the previous one merged with the batch, reduced by the batch
     operator. A replayed batch writes the same version from the same
     predecessor, so the result does not depend on retries. Versions are as long
-    as there are keys. One table belongs to one checkpoint: both start empty.
+    as there are keys; the newest two are kept. A new checkpoint on an old table
+    goes on from its newest version, which becomes the predecessor of batch 0.
     """
 
     path: str
@@ -32,14 +34,28 @@ class LatestTable:
     def merge(self, rows: DataFrame, batch: int) -> None:
         """For ``foreachBatch``."""
         columns = [*self.keys, self.time, self.tiebreak, *self.keep]
-        fresh = rows.select(*columns)
-        if batch > 0:
-            fresh = self._version(rows.sparkSession, batch - 1).select(*columns).unionByName(fresh)
+        spark, fresh = rows.sparkSession, rows.select(*columns)
+        if exists(spark, f"{self.path}/batch={batch - 1}"):
+            fresh = self._version(spark, batch - 1).select(*columns).unionByName(fresh)
         newest = latest_per_key(fresh, list(self.keys), self.time, self.tiebreak, [self.tiebreak, *self.keep])
         newest.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        # Batch ``batch - 1`` is committed by now; only this one can be replayed.
+        discard(spark, f"{self.path}/batch={batch - 2}")
+
+    def _rebase(self, spark: SparkSession) -> None:
+        """The newest version becomes number -1. Older ones go first, so a rerun finds it."""
+        versions = sorted(r[0] for r in spark.read.parquet(self.path).select("batch").distinct().collect())
+        if versions[-1] >= 0:
+            self._version(spark, versions[-1]).write.mode("overwrite").parquet(f"{self.path}/batch=-1")
+        for v in versions:
+            if v >= 0:
+                discard(spark, f"{self.path}/batch={v}")
 
     def run(self, stream: DataFrame, checkpoint: str) -> DataFrame:
         """Merge everything available now and return the newest version."""
+        spark = stream.sparkSession
+        if exists(spark, self.path) and not exists(spark, f"{checkpoint}/offsets"):
+            self._rebase(spark)
         query = (
             stream.writeStream.foreachBatch(self.merge)
             .option("checkpointLocation", checkpoint)
@@ -47,7 +63,7 @@ class LatestTable:
             .start()
         )
         query.awaitTermination()
-        return self.current(stream.sparkSession)
+        return self.current(spark)
 
     def current(self, spark: SparkSession) -> DataFrame:
         versions = spark.read.parquet(self.path)

@@ -42,6 +42,25 @@ def test_latest_over_several_batches(spark, tmp_path):
     assert got.select(want.columns).exceptAll(want).count() == 0
 
 
+def test_latest_keeps_two_versions_and_survives_a_new_checkpoint(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), tmp_path / "out"
+    land(spark, folder, 4)
+    latest = LatestTable(str(out), ("pf",), "ts", "id", ("lon", "lat"))
+    first = spark.read.parquet(folder)
+    latest.run(source(spark, folder, first.schema), str(tmp_path / "cp1"))
+    assert len(list(out.glob("batch=*"))) == 2
+    # Rows that only the old table knows stay; a shorter replay doesn't bring old versions back.
+    later = str(tmp_path / "later")
+    newer = first.limit(3).withColumn("ts", F.col("ts") + F.expr("INTERVAL 90 DAYS"))
+    newer.coalesce(1).write.parquet(later)
+    whole = first.unionByName(spark.read.parquet(later))
+    got = latest.run(source(spark, later, first.schema), str(tmp_path / "cp2"))
+    want = latest_per_key(whole, ["pf"], "ts", "id", ["id", "lon", "lat"])
+    assert got.count() == want.count() and got.select(want.columns).exceptAll(want).count() == 0
+    again = latest.run(source(spark, later, first.schema), str(tmp_path / "cp2"))
+    assert again.select(want.columns).exceptAll(want).count() == 0
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     batch = land(spark, str(tmp_path / "in"), 1)
     latest = LatestTable(str(tmp_path / "out"), ("pf",), "ts", "id", ("lon", "lat"))
