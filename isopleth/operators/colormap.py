@@ -139,6 +139,12 @@ def forward(values: DataFrame, colormap: DataFrame, value: str = "value", one_ma
     bucketed = with_ends.withColumn("end_rgb", beyond).withColumn(
         "bucket", F.when(F.col("end_rgb").isNull(), bucket(F.col(value)))
     )
+    if not small and not one_map:
+        # One row per bucket with its few intervals: a plain lookup, which splits hot buckets off.
+        spans = listed.groupBy("colormap_id", "bucket").agg(F.collect_list(F.struct("from", "to", "rgb_key")).alias("_spans"))
+        found = lookup_join(bucketed, spans, ["colormap_id", "bucket"], "left")
+        hits = F.filter("_spans", lambda s: (F.col(value) >= s["from"]) & (F.col(value) < s["to"]))
+        return found.select(*values.columns, F.coalesce("end_rgb", F.get(hits, F.lit(0))["rgb_key"]).alias("rgb_key"))
     v, s = bucketed.alias("v"), placed(listed, small).alias("s")
     match = (
         (F.col("v.bucket") == F.col("s.bucket"))

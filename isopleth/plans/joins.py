@@ -47,7 +47,10 @@ def split_join(fact: DataFrame, lookup: DataFrame, on: list[str], how: str) -> D
     over that number, so their lookup rows are broadcast and their rows stay where
     they are. Rows with a missing key match nothing and stay too. Adaptive execution
     alone would not do: it goes by compressed bytes, and equal rows compress to little.
+    The fact is written once, so that whatever made it runs once and the counting reads
+    the key columns only.
     """
+    fact = settled(fact, "fact")
     keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
     counts = fact.filter(keyed).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     most = counts.filter(F.col("_n") > HOT_ROWS).orderBy(F.col("_n").desc()).limit(BROADCAST_ROWS)

@@ -56,6 +56,22 @@ def test_sampling_many_grids(large, spark):
     assert got == want
 
 
+def test_hot_buckets_of_many_colormaps(large, spark, monkeypatch):
+    """More bins than are broadcast: the bucket lookup equals the interval join."""
+    rows = [(f"m{k}", i, 100 * k + i, i * i / 3 - k, (i * i + 2 * i) / 3 - k) for k in range(4) for i in range(12)]
+    cmap = spark.createDataFrame(rows, "colormap_id string, pos int, rgb_key int, lo double, hi double")
+    hot = F.when(F.col("id") % 3 == 0, F.lit("m1")).otherwise(F.concat(F.lit("m"), F.col("id") % 5))
+    v = F.when(F.col("id") % 3 == 0, F.lit(2.5)).when(F.col("id") % 17 != 0, F.col("id") / 3 - 9)
+    px = spark.range(300).select("id", hot.alias("colormap_id"), v.alias("value"))
+    want = colormap.forward(px, cmap)
+    monkeypatch.setattr(colormap, "FORWARD_ROWS", 3)
+    got = colormap.forward(px, cmap)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan
+    assert got.count() == want.count() == 300 and got.filter("rgb_key IS NOT NULL").count() > 200
+    assert got.exceptAll(want).count() == 0
+
+
 def test_large_colormaps_and_probes(large, spark):
     cmap = spark.range(20).select(F.lit("m").alias("colormap_id"), F.col("id").alias("pos"), F.col("id").alias("rgb_key"), F.col("id").cast("double").alias("lo"), (F.col("id") + 1).cast("double").alias("hi"))
     px = spark.range(100).select(F.lit("m").alias("colormap_id"), F.lit(0).alias("r"), F.lit(0).alias("g"), F.when(F.col("id") < 60, F.lit(7)).otherwise(F.col("id") % 30).alias("b"), F.lit(255).alias("a"))
