@@ -323,3 +323,31 @@ SELECT 'grid' AS dataset, unnest(['bounds', 'dlon', 'dlat', 'cells']) AS "check"
 def dq_grid(spark, sf_dir):
     dense = g.densify(g.bin_mean(observations(spark, sf_dir), FINE, "v"), FINE)
     return q.report(sinks.grid_document(dense, FINE, decimals=6, id="obs"), "grid", q.grid_geometry())
+
+
+@query("""
+WITH d AS (
+  SELECT max(l_linenumber) AS nx, count(*) AS n,
+         CASE WHEN l_orderkey % 11 = 5 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS north,
+         CASE WHEN l_orderkey % 7 = 3 THEN CAST(0.6 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS dlon
+  FROM lineitem GROUP BY l_orderkey
+), f AS (
+  SELECT [count(*) FILTER (WHERE nx <= 0 OR north <= 0), count(*) FILTER (WHERE abs(dlon - nx * CAST(0.5 AS DOUBLE) / nx) >= 0.0005),
+          count(*) FILTER (WHERE abs(1 - north) >= 0.0005), count(*) FILTER (WHERE n <> nx)] AS seen
+  FROM d
+)
+SELECT 'grids' AS dataset, unnest(['bounds', 'dlon', 'dlat', 'cells']) AS "check", CAST(unnest(seen) AS DOUBLE) AS observed,
+       CAST(0 AS DOUBLE) AS low, CAST(0 AS DOUBLE) AS high, unnest(seen) = 0 AS passed
+FROM f
+""")
+def dq_grid_faults(spark, sf_dir):
+    """Grid documents of one row each, an order's lines as cells; some with wrong steps, bounds or counts."""
+    key = F.col("l_orderkey")
+    docs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.max("l_linenumber").alias("nx"), F.collect_list("l_quantity").alias("values")
+    )
+    docs = docs.select(
+        "nx", F.lit(1).alias("ny"), "values", F.lit(0.0).alias("west"), (F.col("nx") * 0.5).alias("east"), F.lit(0.0).alias("south"),
+        F.when(key % 11 == 5, 0.0).otherwise(1.0).alias("north"), F.when(key % 7 == 3, 0.6).otherwise(0.5).alias("dlon"), F.lit(1.0).alias("dlat"),
+    )
+    return q.report(docs, "grids", q.grid_geometry())
