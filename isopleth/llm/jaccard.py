@@ -37,6 +37,8 @@ from .base import dropped, hash_filter, held, may_hold, own
 
 #: Sets of one part of a block.
 PART_ROWS = 256
+#: Rows whose sets a task makes before it passes them on.
+SLICE_ROWS = 512
 #: The filter of the sets that go on has bits in proportion to them, up to a fixed bound.
 BITS_PER_ROW = 16
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
@@ -195,7 +197,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], rule: Rule, whole: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    # Sets are about as large as their texts: a whole batch of them is never held at once.
+    for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
         rows = []
         for i, text_hash, body in zip(*(c.to_pylist() for c in batch.columns)):
             s = shingles(body, rule.words)
