@@ -40,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go."""
     items = table(spark, sf_dir, "benchmark")
-    found = decontaminate.contaminated(docs, "doc_id", "text", items, "item_id", "text")
+    found = decontaminate.contaminated(docs, "doc_id", "text", items, "item_id", "text", min_tokens=1)
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -2,7 +2,7 @@
 
 A mask names some of a run of tokens and ignores the others; its hash over a run is
 equal wherever the named tokens are, whatever stands between them. All runs of the test
-items are hashed under every mask, and all runs of the documents likewise. Documents
+items are hashed under the masks for their length, and all runs of the documents likewise. Documents
 drop runs that a Bloom filter of fixed size over the test hashes rules out, the rest is joined by
 hash. Around each hit the two texts are laid over each other and the best stretch of
 matching tokens is scored, substitutions counting against it.
@@ -11,7 +11,7 @@ matching tokens is scored, substitutions counting against it.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +21,29 @@ from xxhash import xxh3_64_intdigest
 
 from .base import hash_filter, held, may_hold
 
-#: The token positions each mask looks at. The first finds eight tokens in a row; the
-#: others skip positions, so that no single substitution in a run of twelve spoils all.
-MASKS = ("11111111", "110110110111", "111010011011", "101101101101")
+#: The token positions each mask looks at, by the fewest matches that they are for: every
+#: best stretch with so many matches, of any length, holds at least one of the masks.
+MASKS = {
+    12: ("10100100111", "100100010111", "1100011101", "1110111"),
+    8: ("10010111", "1010111"),
+    5: ("10111",),
+    4: ("10111", "1111"),
+    3: ("111",),
+    2: ("11",),
+    1: ("1",),
+}
 #: Tokens that must match, fewer for short items.
 MIN_MATCHED = 13
 MIN_SHARE = 0.8
+#: Items with fewer tokens are left out where the caller names no other bound.
+MIN_TOKENS = 4
 #: A substitution costs as much as so many matches gain.
 PENALTY = 2.0
 BITMAP_BITS = 1 << 24
 _CACHE = 200_000
 _WORD = re.compile(r"\w+")
+# An odd factor for each position under a mask.
+_FACTORS = np.array([xxh3_64_intdigest(bytes([j])) | 1 for j in range(64)], dtype=np.uint64)
 
 
 class Tokens(dict):
@@ -48,19 +60,20 @@ class Tokens(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def seeds(tokens: np.ndarray, masks=MASKS) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every run of ``tokens`` under every mask."""
-    hashes, starts = [], []
-    for number, mask in enumerate(masks):
+def seeds(tokens: np.ndarray, masks: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every run of ``tokens`` under every mask: the sum over the named
+    positions of token times the position's factor, modulo 2^64."""
+    hashes, starts, scaled = [], [], {}
+    for mask in masks:
         n = len(tokens) - len(mask) + 1
         if n <= 0:
             continue
-        h = np.full(n, number + 1, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for j, used in enumerate(mask):
-                if used == "1":
-                    h = (h ^ tokens[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(29)
+        h = np.zeros(n, dtype=np.uint64)
+        for j, used in enumerate(mask):
+            if used == "1":
+                if j not in scaled:
+                    scaled[j] = tokens * _FACTORS[j]
+                h += scaled[j][j : j + n]
         hashes.append(h)
         starts.append(np.arange(n, dtype=np.int32))
     if not hashes:
@@ -88,8 +101,13 @@ def needed(n_tokens: int, matched: int = MIN_MATCHED, share: float = MIN_SHARE)
     return min(matched, int(np.ceil(share * n_tokens)))
 
 
-def _seeded(df: DataFrame, ident: str, text: str):
-    """(id, text) rows with tokens, and hash and start of each seed."""
+def tier(n_tokens: int, matched: int = MIN_MATCHED, share: float = MIN_SHARE) -> int:
+    """The key in ``MASKS`` for an item: the highest that its needed matches reach."""
+    return max(k for k in MASKS if k <= max(1, needed(n_tokens, matched, share)))
+
+
+def _seeded(df: DataFrame, ident: str, text: str, matched: int, share: float, least: int):
+    """(id, text) rows of ``least`` tokens or more with tokens, hash and start of each seed, and tier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Tokens()
@@ -97,13 +115,16 @@ def _seeded(df: DataFrame, ident: str, text: str):
             rows = []
             for i, body in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = words.of(body)
-                h, s = seeds(tokens)
-                rows.append((i, tokens.view(np.int64), h.view(np.int64), s))
+                if len(tokens) >= max(1, least):
+                    level = tier(len(tokens), matched, share)
+                    h, s = seeds(tokens, MASKS[level])
+                    rows.append((i, tokens.view(np.int64), h.view(np.int64), s, level))
             if rows:
-                yield _table(rows)
+                *columns, levels = zip(*rows)
+                yield _table(zip(*columns)).append_column("tier", pa.array(levels, pa.int32()))
 
     return df.select(F.col(ident).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "id long, tokens array<long>, hashes array<long>, starts array<int>"
+        run, "id long, tokens array<long>, hashes array<long>, starts array<int>, tier int"
     )
 
 
@@ -118,19 +139,23 @@ def _table(rows) -> pa.RecordBatch:
 
 def contaminated(
     docs: DataFrame, doc_id: str, text: str, benchmark: DataFrame, item_id: str, item_text: str,
-    min_matched: int = MIN_MATCHED, min_share: float = MIN_SHARE, bits: int = BITMAP_BITS,
+    min_matched: int = MIN_MATCHED, min_share: float = MIN_SHARE, bits: int = BITMAP_BITS, min_tokens: int = MIN_TOKENS,
 ) -> DataFrame:
     """Pairs of document and test item that share a passage.
 
     Returns doc_id, item_id, doc_start, item_start (tokens), n_aligned and n_matched of
     the pair's best stretch: most matches, then fewest aligned tokens, then first. A pair
-    counts from ``min_matched`` matching tokens, or ``min_share`` of a shorter item.
+    counts from ``min_matched`` matching tokens, or ``min_share`` of a shorter item; every
+    such pair is found, as any stretch that counts holds a seed of its item's masks.
     Tokens are lower-cased runs of letters, digits and underscores. Missing and empty
-    texts, and items with fewer tokens than the shortest mask, match nothing. Rows without
+    texts, and items with fewer than ``min_tokens`` tokens, match nothing. Rows without
     id are left out; rows repeating an id are that document's texts, and its best counts.
     """
     spark = docs.sparkSession
-    test, _ = held(_seeded(benchmark.filter(F.col(item_id).isNotNull()), item_id, item_text), "test-seeds")
+    items = benchmark.filter(F.col(item_id).isNotNull())
+    test, _ = held(_seeded(items, item_id, item_text, min_matched, min_share, min_tokens), "test-seeds")
+    # Documents are looked at under the masks that some item has, each once.
+    masks = sorted({m for r in test.select("tier").distinct().collect() for m in MASKS[r.tier]})
     shared = spark.sparkContext.broadcast(hash_filter(test.select(F.explode("hashes").alias("h")), bits))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +164,7 @@ def contaminated(
             rows = []
             for i, body in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = words.of(body)
-                h, s = seeds(tokens)
+                h, s = seeds(tokens, masks)
                 hit = may_hold(seen, h)
                 if hit.any():
                     rows.append((i, tokens.view(np.int64), h[hit].view(np.int64), s[hit]))

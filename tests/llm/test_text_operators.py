@@ -164,6 +164,48 @@ def test_decontamination(spark, docs):
     assert decontaminate.contaminated(docs([]), "doc_id", "text", bench, "item_id", "text").count() == 0
 
 
+def test_every_short_pattern_that_counts_holds_a_seed():
+    item = np.random.default_rng(1).integers(0, 2**63, 13).astype(np.uint64)
+    for n in range(1, 14):
+        masks = decontaminate.MASKS[decontaminate.tier(n)]
+        asked = set(zip(*(x.tolist() for x in decontaminate.seeds(item[:n], masks))))
+        for bits in range(1 << n):
+            same = np.array([bits >> i & 1 for i in range(n)], bool)
+            if decontaminate.stretch(same)[2] >= decontaminate.needed(n):
+                told = zip(*(x.tolist() for x in decontaminate.seeds(np.where(same, item[:n], ~item[:n]), masks)))
+                assert not asked.isdisjoint(told), (n, f"{bits:0{n}b}")
+
+
+@pytest.mark.parametrize("least", decontaminate.MASKS)
+def test_every_long_pattern_that_counts_holds_a_seed(least):
+    # The score of a best stretch walks from 0 to its top, up by 1 and down by 2, and meets the top
+    # only at the end. Tops above ``least`` end in a walk to ``least`` that has enough matches.
+    masks = [(len(m), int(m, 2)) for m in decontaminate.MASKS[least]]
+    for top in range(1, least + 1):
+        seen, todo = set(), [(0, 0, 0)]
+        while todo:
+            last, score, n = todo.pop()
+            for b in (0, 1):
+                at = ((last << 1 | b) & (1 << 12) - 1, score + (1 if b else -2), min(least, n + b))
+                if at in seen or not 0 <= at[1] <= top or any(at[0] & m == m for _, m in masks):
+                    continue
+                assert at[1:] != (top, least), "a stretch without any seed"
+                if at[1] < top:
+                    seen.add(at)
+                    todo.append(at)
+
+
+def test_decontamination_with_many_substitutions(spark, docs):
+    rng = random.Random(18)
+    items = {p: words(rng, 39, 10**6) for p in (4, 5)} | {n: words(rng, 10, 10**6) for n in (6, 7)} | {n: words(rng, n - 10, 10**6) for n in range(11, 18)}
+    items[20] = items[11][:1] * 2
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    spoilt = {i: [f"x{k}" if i < 8 and k % (i if i < 6 else 5) == (i - 1 if i < 6 else 4 if i == 6 else 9) else w for k, w in enumerate(t)] for i, t in items.items()}
+    rows = [(i, " ".join(words(rng, 20, 10**6) + t + words(rng, 20, 10**6))) for i, t in spoilt.items()]
+    got = decontaminate.contaminated(docs(rows), "doc_id", "text", bench, "item_id", "text", min_tokens=1).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in items} | {(20, 11)}
+
+
 def test_template_language():
     page = chat.compiled("{% if 'a' == 'b' %}no{% else %}{{ 'x' ~ 'y' | upper }}{% endif %}{% for m in messages %}[{{ m.text }}]{% endfor %}")
     assert "".join(page([{"text": "1"}, {"text": "2"}]).parts) == "xY[1][2]"
