@@ -149,11 +149,14 @@ def contaminated(
     such pair is found, as any stretch that counts holds a seed of its item's masks.
     Tokens are lower-cased runs of letters, digits and underscores. Missing and empty
     texts, and items with fewer than ``min_tokens`` tokens, match nothing. Rows without
-    id are left out; rows repeating an id are that document's texts, and its best counts.
+    id are left out; rows repeating an id are that document's or item's texts, each is laid
+    over each, and the best counts.
     """
     spark = docs.sparkSession
     items = benchmark.filter(F.col(item_id).isNotNull())
-    test, _ = held(_seeded(items, item_id, item_text, min_matched, min_share, min_tokens), "test-seeds")
+    # A number for each text, as an id may have several; the same text twice is one.
+    test = _seeded(items, item_id, item_text, min_matched, min_share, min_tokens).withColumn("text", F.xxhash64("id", "tokens"))
+    test, _ = held(test.dropDuplicates(["id", "text"]), "test-seeds")
     # Documents are looked at under the masks that some item has, each once.
     masks = sorted({m for r in test.select("tier").distinct().collect() for m in MASKS[r.tier]})
     shared = spark.sparkContext.broadcast(hash_filter(test.select(F.explode("hashes").alias("h")), bits))
@@ -177,10 +180,10 @@ def contaminated(
     suspects, path = held(suspects.withColumn("row", F.xxhash64("id", "tokens")), "suspects")
     pairs = F.explode(F.arrays_zip("hashes", "starts")).alias("s")
     ours = suspects.select("id", "row", pairs).select("id", "row", F.col("s.hashes").alias("h"), F.col("s.starts").alias("at"))
-    theirs = test.select(F.col("id").alias("item"), pairs).select("item", F.col("s.hashes").alias("h"), F.col("s.starts").alias("item_at"))
-    hits = ours.join(theirs, "h").groupBy("id", "row", "item").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
+    theirs = test.select(F.col("id").alias("item"), "text", pairs).select("item", "text", F.col("s.hashes").alias("h"), F.col("s.starts").alias("item_at"))
+    hits = ours.join(theirs, "h").groupBy("id", "row", "item", "text").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
     laid = hits.join(suspects.select("id", "row", "tokens").dropDuplicates(["id", "row"]), ["id", "row"]).join(
-        test.groupBy(F.col("id").alias("item")).agg(F.max_by("tokens", F.size("tokens")).alias("item_tokens")), "item"
+        test.select(F.col("id").alias("item"), "text", F.col("tokens").alias("item_tokens")), ["item", "text"]
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -206,6 +206,15 @@ def test_decontamination_with_many_substitutions(spark, docs):
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in items} | {(20, 11)}
 
 
+def test_decontamination_of_items_with_many_texts(spark, docs):
+    rng = random.Random(19)
+    question, answer = words(rng, 20, 10**6), words(rng, 50, 10**6)
+    bench = spark.createDataFrame([(0, " ".join(t)) for t in (question, answer, question)], "item_id long, text string")
+    rows = [(1, " ".join(words(rng, 30, 10**6) + question)), (2, " ".join(answer)), (3, " ".join(question + answer)), (4, " ".join(words(rng, 60, 10**6)))]
+    got = decontaminate.contaminated(docs(rows), "doc_id", "text", bench, "item_id", "text").collect()
+    assert {(r.doc_id, r.doc_start, r.item_start, r.n_aligned, r.n_matched) for r in got} == {(1, 30, 0, 20, 20), (2, 0, 0, 50, 50), (3, 20, 0, 50, 50)}
+
+
 def test_template_language():
     page = chat.compiled("{% if 'a' == 'b' %}no{% else %}{{ 'x' ~ 'y' | upper }}{% endif %}{% for m in messages %}[{{ m.text }}]{% endfor %}")
     assert "".join(page([{"text": "1"}, {"text": "2"}]).parts) == "xY[1][2]"
