@@ -2,8 +2,8 @@
 
 One classifier sees the text's content (hashed words and shares of kinds of characters), the
 other what is known about the page (source, language, size, layout). Both are fitted on a
-bounded sample of labelled rows. Then, over some rounds, each marks the rows of a bounded
-pool without labels that it is surest of, and the other learns from them. Held-back
+bounded sample of labelled rows. Then, over some rounds, each scores all rows without
+labels and marks those that it is surest of, and the other learns from them. Held-back
 labelled rows calibrate both views; a document's score is the mean of its calibrated
 log-odds, weighted by how well each view does on those rows.
 """
@@ -11,7 +11,7 @@ log-odds, weighted by how well each view does on those rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,11 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-#: Bounds on what the classifiers are fitted on, by order of a hash of the id.
+from .base import dropped, held
+
+#: Bound on the labelled rows the classifiers are fitted on, by order of a hash of the id.
 SAMPLE_ROWS = 6_000
-POOL_ROWS = 6_000
 ROUNDS = 5
-#: Rows of the pool that each view marks for the other in a round, by label.
+#: Unlabelled rows, of all there are, that each view marks for the other in a round, by label.
 MARKED = 200
 #: A view marks nothing that it is less sure of.
 SURE = 0.9
@@ -136,29 +137,28 @@ def _curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(max(a, 0.0)), float(b), float(max(0.0, area - 0.5)) ** 2
 
 
-def co_train(labelled: tuple, y: np.ndarray, pool: tuple, rounds: int = ROUNDS, marked: int = MARKED) -> Model:
-    """The two views' matrices of labelled and pool rows to a calibrated model."""
+def co_train(labelled: tuple, y: np.ndarray, mark: Callable | None, rounds: int = ROUNDS) -> Model:
+    """The two views' matrices of labelled rows to a calibrated model.
+
+    ``mark`` takes both views' weights and returns what each view marks: both matrices of
+    these rows, and their labels.
+    """
     fit_rows = np.arange(len(y)) % 4 != 3
     if len(np.unique(y[fit_rows])) < 2 or len(np.unique(y[~fit_rows])) < 2:
         fit_rows = np.ones(len(y), bool)
-    told = [([], []), ([], [])]
-    free = [np.ones(len(pool[0]), bool), np.ones(len(pool[0]), bool)]
+    told = [([v[fit_rows]], [y[fit_rows]]) for v in labelled]
     weights = [None, None]
     for at in range(rounds + 1):
         for view in (0, 1):
-            rows, marks = told[view]
-            x = np.concatenate([labelled[view][fit_rows], pool[view][rows]]) if rows else labelled[view][fit_rows]
-            weights[view] = _logistic(x, np.concatenate([y[fit_rows], marks]).astype(np.float32))
-        if at == rounds or not len(pool[0]):
+            weights[view] = _logistic(np.concatenate(told[view][0]), np.concatenate(told[view][1]).astype(np.float32))
+        if at == rounds or mark is None:
             break
-        for view in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(_odds(pool[view], weights[view]), -30, 30)))
-            for label, sure in ((1, p), (0, 1 - p)):
-                some = np.flatnonzero(free[1 - view] & (sure >= SURE))
-                some = some[np.argsort(-sure[some], kind="stable")][:marked]
-                free[1 - view][some] = False
-                told[1 - view][0].extend(some.tolist())
-                told[1 - view][1].extend([label] * len(some))
+        marks = mark(weights)
+        if not any(len(labels) for _, labels in marks):
+            break
+        for view, (rows, labels) in enumerate(marks):
+            told[1 - view][0].append(rows[1 - view])
+            told[1 - view][1].append(labels)
     test = ~fit_rows if (~fit_rows).any() else fit_rows
     curves = [_curve(_odds(labelled[v][test], weights[v]), y[test]) for v in (0, 1)]
     return Model(weights[0], weights[1], *curves, prior=float(y.mean()))
@@ -184,11 +184,80 @@ def _view(df: DataFrame, text: str, source: str, lang: str) -> list[Column]:
     return [F.col(c).cast("string").alias(a) for c, a in ((source, "source"), (lang, "lang"), (text, "text"))]
 
 
+def _sparse(columns: list, buckets: Buckets) -> tuple[list[bytes], list[bytes]]:
+    """Places and values of each row's features that aren't 0, the page's behind the content's."""
+    places, values = [], []
+    for at in range(0, len(columns[0]), 256):
+        for row in np.hstack(_rows([c[at : at + 256] for c in columns], buckets)).astype(np.float16):
+            place = np.flatnonzero(row)
+            places.append(place.astype(np.uint16).tobytes())
+            values.append(row[place].tobytes())
+    return places, values
+
+
+def _dense(places: list[bytes], values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros((len(places), CONTENT + PAGE), np.float32)
+    for row, place, value in zip(out, places, values):
+        row[np.frombuffer(place, np.uint16)] = np.frombuffer(value, np.float16)
+    return out[:, :CONTENT], out[:, CONTENT:]
+
+
+_PLACED = "id long, mark long, places binary, data binary"
+
+
+def _marker(rows: DataFrame, marked: int) -> Callable:
+    """For ``co_train``: per view and label the ``marked`` surest of all ``rows``, each marked
+    once by a view. Equal ones go by id; a row repeated whole counts once."""
+    taken: tuple[set, set] = (set(), set())
+
+    def mark(weights: list[np.ndarray]) -> list:
+        shared = rows.sparkSession.sparkContext.broadcast((weights, taken))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (first, second), gone = shared.value
+            factors = (np.append(first[:-1], np.zeros(PAGE)), np.append(np.zeros(CONTENT), second[:-1]))
+            best: dict[tuple[int, int], dict] = {(view, label): {} for view in (0, 1) for label in (0, 1)}
+            for batch in batches:
+                ids, marks, places, data = (batch[c].to_pylist() for c in ("id", "mark", "places", "data"))
+                row = np.repeat(np.arange(len(ids)), [len(p) // 2 for p in places])
+                at, value = np.frombuffer(b"".join(places), np.uint16), np.frombuffer(b"".join(data), np.float16).astype(np.float64)
+                for (view, label), kept in best.items():
+                    z = np.bincount(row, value * factors[view][at], minlength=len(ids)) + (first, second)[view][-1]
+                    sure = z if label else -z
+                    least = kept[next(reversed(kept))][0] if len(kept) == marked else np.log(SURE / (1 - SURE))
+                    some = np.flatnonzero(sure >= least)
+                    new = {(ids[k], marks[k]): (float(sure[k]), places[k], data[k]) for k in some.tolist() if (ids[k], marks[k]) not in gone[view]}
+                    if new:
+                        order = sorted((kept | new).items(), key=lambda r: (-r[1][0], r[0]))[:marked]
+                        kept.clear()
+                        kept.update(order)
+            out = [(*key, sure, *row, place, value) for key, kept in best.items() for row, (sure, place, value) in kept.items()]
+            if out:
+                kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["view", "label", "sure", "id", "mark", "places", "data"])
+
+        found = rows.mapInArrow(run, f"view int, label int, sure double, {_PLACED}").dropDuplicates(["view", "label", "id", "mark"])
+        found, path = held(found, "surest")
+        out = []
+        for view in (0, 1):
+            got = []
+            for label in (1, 0):
+                some = found.filter((F.col("view") == view) & (F.col("label") == label))
+                got += some.orderBy(F.col("sure").desc(), "id", "mark").limit(marked).collect()
+            taken[view].update((r.id, r.mark) for r in got)
+            out.append((_dense([r.places for r in got], [r.data for r in got]), np.array([r.label for r in got], int)))
+        dropped(found, path)
+        shared.unpersist()
+        return out
+
+    return mark
+
+
 def fit(
     docs: DataFrame, doc_id: str, text: str, source: str, lang: str, labels: DataFrame, label_id: str, label: str,
-    learn: Column | None = None, sample_rows: int = SAMPLE_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS,
+    learn: Column | None = None, sample_rows: int = SAMPLE_ROWS, marked: int = MARKED, rounds: int = ROUNDS,
 ) -> Model | float:
-    """Learn from bounded samples of labelled and of other rows.
+    """Learn from a bounded sample of labelled rows, and of all other rows from the surest.
 
     ``learn`` (over ``docs``) says which rows may be learnt from. Labels other than 0 and
     1 and labels without a document are left out; an id with both counts as 1. With
@@ -197,33 +266,33 @@ def fit(
     may = F.col(doc_id).isNotNull() & (F.lit(True) if learn is None else learn)
     ids = docs.filter(may).select(F.col(doc_id).cast("long").alias("id"))
     known = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(label_id).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    marked = ids.distinct().join(known, "id", "left")
+    known, known_path = held(known, "quality-labels")
     order = [F.xxhash64("id"), F.col("id")]
-    some = marked.filter("y IS NOT NULL").orderBy(*order).limit(sample_rows)
-    others = marked.filter("y IS NULL").orderBy(*order).limit(pool_rows)
-    # Both parts are bounded, so they go to every executor and no text is shuffled.
-    picked = F.broadcast(some.unionByName(others))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), *_view(docs, text, source, lang)).join(picked, "id")
+    # Bounded, so it goes to every executor and no text is shuffled.
+    picked = F.broadcast(ids.distinct().join(known, "id").orderBy(*order).limit(sample_rows))
+    seen = docs.select(F.col(doc_id).cast("long").alias("id"), *_view(docs, text, source, lang), may.alias("may"))
+    seen = seen.withColumn("mark", F.xxhash64("source", "lang", "text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            first, second = _rows([batch[c].to_pylist() for c in ("source", "lang", "text")], buckets)
-            both = [pa.array([r.astype(np.float16).tobytes() for r in m], pa.binary()) for m in (first, second)]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], *both], ["id", "y", "content", "page"])
+            if batch.num_rows:
+                both = _sparse([batch[c].to_pylist() for c in ("source", "lang", "text")], buckets)
+                kept = [batch["id"], batch["mark"], *(pa.array(c, pa.binary()) for c in both)]
+                yield pa.RecordBatch.from_arrays(kept, ["id", "mark", "places", "data"])
 
     # Rows repeating an id don't widen the sample.
-    got = rows.mapInArrow(features, "id long, y int, content binary, page binary").limit(sample_rows + pool_rows).toArrow()
-    got = got.sort_by("id")
-    y = np.array([-1 if v is None else v for v in got["y"].to_pylist()])
-    if len(np.unique(y[y >= 0])) < 2:
-        return float(y[y >= 0].mean()) if (y >= 0).any() else 0.0
-    views = [
-        np.frombuffer(b"".join(got[c].to_pylist()), dtype=np.float16).reshape(len(y), -1).astype(np.float32) for c in ("content", "page")
-    ]
-    return co_train(tuple(v[y >= 0] for v in views), y[y >= 0], tuple(v[y < 0] for v in views), rounds)
+    got = seen.join(picked.select("id"), "id").mapInArrow(features, _PLACED).limit(sample_rows).join(picked, "id").toArrow()
+    got = got.sort_by([("id", "ascending"), ("mark", "ascending")])
+    y = np.array(got["y"].to_pylist())
+    if len(np.unique(y)) < 2:
+        return float(y.mean()) if len(y) else 0.0
+    # Features, not texts, are what may be shuffled here if there are very many labels.
+    others, path = held(seen.filter("may").mapInArrow(features, _PLACED).join(known.select("id"), "id", "left_anti"), "unlabelled")
+    model = co_train(_dense(got["places"].to_pylist(), got["data"].to_pylist()), y, _marker(others, marked), rounds)
+    dropped(others, path)
+    dropped(known, known_path)
+    return model
 
 
 def score(docs: DataFrame, text: str, source: str, lang: str, model: Model | float, name: str = "quality") -> DataFrame:

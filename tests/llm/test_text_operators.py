@@ -328,6 +328,27 @@ def test_quality_learns_and_handles_odd_rows(spark, docs):
     assert quality.fit(docs([]), "doc_id", "text", "source", "lang", labels.limit(0), "doc_id", "quality") == 0.0
 
 
+def test_quality_marks_the_surest_of_all_rows(spark):
+    buckets = quality.Buckets()
+    texts = ["bad junk spam"] * 3 + ["fine prose here"] * 3 + [f"word{i}" for i in range(300)] + ["best"]
+    places, data = quality._sparse([[None] * len(texts), [None] * len(texts), texts], buckets)
+    rows = spark.createDataFrame([(i, 7, p, d) for i, (p, d) in enumerate(zip(places, data))] + [(306, 7, places[-1], data[-1])], quality._PLACED).repartition(5)
+    first, second = np.zeros(quality.CONTENT + 1), np.zeros(quality.PAGE + 1)
+    x = quality._dense(places, data)[0]
+    np.testing.assert_allclose(x[0], quality.content(texts[0], buckets), atol=2e-3)
+    first[:-1] = 30 * x[-1] + 9 * x[3] - 9 * x[0]
+    first[quality.WORD_BUCKETS : -1] = 0
+    z = x @ first[:-1]
+    mark = quality._marker(rows, 3)
+    for at in (0, 3):
+        (mats, labels), (_, none) = mark([first, second])
+        high = sorted((i for i in range(len(z)) if z[i] >= np.log(9)), key=lambda i: (-round(z[i], 4), i))[at : at + 3]
+        low = sorted((i for i in range(len(z)) if z[i] <= -np.log(9)), key=lambda i: (round(z[i], 4), i))[at : at + 3]
+        assert labels.tolist() == [1] * len(high) + [0] * len(low) and not len(none)
+        np.testing.assert_array_equal(mats[0], x[high + low])
+    assert 306 not in high
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
