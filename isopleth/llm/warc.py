@@ -52,19 +52,20 @@ def leaves(records: DataFrame, file: str, number: str, record: str) -> DataFrame
     """(file, number, offset, length, hash) of each record of (file, number, bytes) rows.
 
     ``number`` is the record's place in its file, from 0; gaps are records that are not
-    there. Where a place is taken twice, the smaller hash counts. Rows without file or
-    number are left out, a missing record is an empty one. ``offset`` sums the lengths
-    before the record.
+    there. Where a place is taken more than once, its one leaf covers all records there: the
+    lengths are summed and the hash is that of the sorted hex hashes, one after the other.
+    Rows without file or number are left out, a missing record is an empty one. ``offset``
+    sums the lengths before the place.
     """
     size = F.octet_length(F.coalesce(F.col(record), F.lit(b""))).cast("long")
     digest = hex_digest(F.coalesce(F.col(record), F.lit(b"")))
     rows = records.filter(F.col(file).isNotNull() & F.col(number).isNotNull()).select(
         F.col(file).alias("file"), F.col(number).cast("long").alias("number"), digest.alias("hash"), size.alias("length")
     )
-    one = rows.groupBy("file", "number").agg(F.min(F.struct("hash", "length")).alias("r"))
+    one = rows.groupBy("file", "number").agg(F.sort_array(F.collect_list("hash")).alias("all"), F.sum("length").alias("length"))
+    one = one.withColumn("hash", F.when(F.size("all") == 1, F.col("all")[0]).otherwise(hex_digest(F.concat_ws("", "all"))))
     before = Window.partitionBy("file").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    flat = one.select("file", "number", "r.hash", "r.length")
-    return flat.select("file", "number", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "hash")
+    return one.select("file", "number", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "hash")
 
 
 def tree(records: DataFrame, depth: int, fan_out: int = FAN_OUT) -> Tree:

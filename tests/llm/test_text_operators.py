@@ -254,6 +254,19 @@ def test_merkle_audit(spark):
     assert warc.audit(empty, empty, 4).count() == 0
 
 
+def test_merkle_audit_of_places_taken_more_than_once(spark):
+    good = [(0, n, f"{n}-{k}".encode()) for n in range(40) for k in range(3)] + [(0, 8, b"8-0")]
+    schema, depth = "file long, number long, record binary", warc.depth_for(64, 4)
+    made = lambda rows: warc.tree(warc.leaves(spark.createDataFrame(rows, schema), "file", "number", "record"), depth, 4)
+    # One of several is hurt, is gone, is there once less or once more.
+    bad = [(f, n, b"#" if (n, r) in {(k, f"{k}-{j}".encode()) for k, j in ((1, 0), (2, 1), (3, 2))} else r) for f, n, r in good if r != b"5-1"]
+    bad.remove((0, 8, b"8-0"))
+    got = warc.audit(made(good), made(bad[::-1] + [(0, 9, b"9-2")]), 4).collect()
+    assert {(r.number, r.kind) for r in got} == {(n, "changed") for n in (1, 2, 3, 5, 8, 9)}
+    assert all(r.offset == sum(len(x) for _, m, x in good if m < r.number) for r in got)
+    assert warc.audit(made(good), made(good[::-1]), 4).count() == 0
+
+
 def test_segments_against_definition():
     rng = random.Random(2)
     for _ in range(200):
