@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isopleth.llm import decontaminate, jaccard, line_dedup, toxicity
-from isopleth.llm.base import held, learnable, own
+from isopleth.llm.base import held, learnable, own, row_key
 from isopleth.llm.queries import encoded, table
 
 
@@ -33,15 +33,16 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked on five-word shingles at a similarity of 0.8 the first stays."""
-    return jaccard.keep_one(docs, "doc_id", "text", jaccard.Rule(words=5, percent=80))
+    """Of rows linked on five-word shingles at a similarity of 0.8 the first stays, those without id last."""
+    return jaccard.keep_one(docs, "doc_id", "text", jaccard.Rule(words=5, percent=80), nameless=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
-    items = table(spark, sf_dir, "benchmark")
-    found = decontaminate.contaminated(docs, "doc_id", "text", items, "item_id", "text", min_tokens=1)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold a passage of a benchmark item go, each by its own text, with or without id."""
+    items, key = table(spark, sf_dir, "benchmark"), own(docs, "key")
+    marked = docs.withColumn(key, row_key("doc_id", "text"))
+    found = decontaminate.contaminated(marked, key, "text", items, "item_id", "text", min_tokens=1)
+    return marked.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .base import dropped, hash_filter, held, may_hold, own
+from .base import dropped, hash_filter, held, may_hold, own, row_key
 
 #: Sets of one part of a block.
 PART_ROWS = 256
@@ -338,15 +338,21 @@ def link_components(df: DataFrame, doc_id: str, text: str, rule: Rule = Rule(),
     )
 
 
-def keep_one(df: DataFrame, doc_id: str, text: str, rule: Rule = Rule(), part_rows: int = PART_ROWS) -> DataFrame:  # noqa: B008
+def keep_one(
+    df: DataFrame, doc_id: str, text: str, rule: Rule = Rule(), part_rows: int = PART_ROWS, nameless: bool = False,  # noqa: B008
+) -> DataFrame:
     """``df`` with one row of each group of linked documents: the smallest id's.
 
-    Of rows repeating both id and text one stays. Rows without id all stay, as they link with
-    nothing. Columns are those of ``df``.
+    Rows are told apart by ``row_key``, so that each links by its own text. Of rows repeating
+    both id and text one stays. Rows without id all stay, or with ``nameless`` link like
+    others, and one stays only where no linked row has an id. Columns are those of ``df``.
     """
-    linked = link_components(df, doc_id, text, rule, part_rows)
-    ident, text_hash = own(df, "id"), own(df, "hash")
-    stay = linked.filter("component_id = doc_id").select(F.col("doc_id").alias(ident), F.col("text_hash").alias(text_hash)).distinct()
-    marked = df.withColumns({ident: F.col(doc_id).cast("long"), text_hash: F.xxhash64(F.col(text).cast("string"))})
-    kept = marked.join(stay, [ident, text_hash], "left_semi").dropDuplicates([ident, text_hash])
-    return kept.unionByName(marked.filter(F.col(ident).isNull())).select(*df.columns)
+    key, ident, group = own(df, "key"), own(df, "id"), own(df, "group")
+    every = df.withColumn(key, row_key(doc_id, text))
+    marked = every if nameless else every.filter(F.col(doc_id).isNotNull())
+    linked = link_components(marked, key, text, rule, part_rows).select(F.col("doc_id").alias(key), F.col("component_id").alias(group))
+    named, _ = held(linked.distinct().join(marked.select(key, F.col(doc_id).cast("long").alias(ident)).distinct(), key), "grouped")
+    first = F.min(F.struct(F.col(ident).isNull().alias("none"), ident, key)).alias("first")
+    stay = named.groupBy(group).agg(first).select(f"first.{key}")
+    kept = marked.join(stay, key, "left_semi").dropDuplicates([key])
+    return (kept if nameless else kept.unionByName(every.filter(F.col(doc_id).isNull()))).select(*df.columns)

@@ -341,6 +341,25 @@ def test_quality_learns_and_handles_odd_rows(spark, docs):
     assert quality.fit(docs([]), "doc_id", "text", "source", "lang", labels.limit(0), "doc_id", "quality") == 0.0
 
 
+def test_rows_without_id_and_repeated_ids_in_the_pipeline_s_stages(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    a, b, c, d = (words(rng, 60, 10**6) for _ in range(4))
+    near = lambda t: " ".join(t[:59] + ["other"])
+    a, b, c, d, *close = (*map(" ".join, (a, b, c, d)), *map(near, (a, b, c, d)))
+    # Copies without id; two linked texts under one smallest id; one id in two groups; ids before none.
+    rows = [(None, a), (None, a), (None, close[0]), (1, b), (1, close[1]), (2, b), (3, c), (3, d), (4, c), (5, close[3]), (None, close[2]), (6, None), (None, "")]
+    left = corpus_pipeline.drop_near_duplicates(spark, docs(rows, CLASH), "").select("doc_id", "text").collect()
+    got = {(r.doc_id, r.text) for r in left}
+    assert len(left) == len(got) == 6 and got - {(None, a), (None, close[0]), (1, b), (1, close[1])} == {(3, c), (3, d), (6, None), (None, "")}
+    assert len([i for i, _ in got if i == 1]) == 1
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first().text
+    odd = [(None, f"{a} {item}"), (None, a), (7, f"{b} {item}"), (7, b), (None, None)]
+    kept = corpus_pipeline.drop_contaminated(spark, docs(odd), "/root/testdata/sf0.001").collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(None, a), (7, b), (None, None)}
+
+
 def test_quality_marks_the_surest_of_all_rows(spark):
     buckets = quality.Buckets()
     texts = ["bad junk spam"] * 3 + ["fine prose here"] * 3 + [f"word{i}" for i in range(300)] + ["best"]
