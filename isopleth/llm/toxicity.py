@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .base import own
+from .base import dropped, held, own
 
 #: At most so many labelled rows, by order of a hash of their id, are learnt from.
 SAMPLE_ROWS = 20_000
 #: At most so many features, by significance in the sample, get a score.
 FEATURES = 20_000
+#: Sampled rows that agree on so many smallest hashes are taken for copies of each other.
+KIN = 4
 #: Letters of the beginnings that rare words fall back to, longest first.
 STEMS = (6, 4)
 #: Weight of the prior against the labelled rows of a class.
@@ -46,6 +48,8 @@ THRESHOLD = 0.7
 
 WORD = re.compile(r"\w+")
 _CACHE = 200_000
+# Odd factors, as multiplying by one orders 64-bit hashes anew.
+_ORDERS = np.array([xxh3_64_intdigest(bytes([k])) | 1 for k in range(KIN)], dtype=np.uint64)
 #: Positive scores are counted by tenths, up to the last bin.
 _BINS = 160
 
@@ -184,38 +188,46 @@ def probability(weight: float, model: Model) -> float:
     return float(0.998 * np.interp(x, model.at, model.chance) + 0.002 * x / (1 + x))
 
 
+def kinship(text: str | None) -> bytes:
+    """The smallest of the hashes of three words in a row under each of ``KIN`` orders. Two
+    texts have one of them in common with a chance of their similarity, all of them
+    only if they are copies or nearly so."""
+    words = WORD.findall((text or "").lower())
+    runs = set(zip(words, words[1:], words[2:])) if len(words) > 2 else [words]
+    hashes = np.array([xxh3_64_intdigest(" ".join(r).encode()) for r in runs], dtype=np.uint64)
+    return b"".join((hashes * factor).min().tobytes() for factor in _ORDERS)
+
+
 def _kinship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The smallest hash of three words in a row: copies and near copies mostly share it."""
     for batch in batches:
-        kin = []
-        for body in batch["text"].to_pylist():
-            words = WORD.findall((body or "").lower())
-            runs = zip(words, words[1:], words[2:]) if len(words) > 2 else [words]
-            kin.append(min(xxh3_64_intdigest(" ".join(r).encode()) for r in runs) - (1 << 63))
-        yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], batch["same"], pa.array(kin, pa.int64())], ["id", "y", "same", "kin"])
+        kin = pa.array([kinship(body) for body in batch["text"].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], batch["same"], kin], ["id", "y", "same", "kin"])
 
 
 def fit(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, label: str, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from a bounded sample of ``labels``; corpus counts cover all ``docs``.
 
     Labels other than 0 and 1, and labels without a document, are left out. Of sampled rows
-    that are copies of each other, or nearly so, one counts. Without rows of both labels nothing can be learnt: every
+    that are copies of each other, or nearly so, one counts, with its own label: the smallest id
+    of those with label 1, else the smallest. A row repeated whole counts once. Without rows of both labels nothing can be learnt: every
     score is then the share of label 1 among the sampled rows, 0 without any.
     """
     # Bounded by sample_rows, so it goes to every executor and no text is shuffled.
     sample = F.broadcast(sampled(labels, label_id, label, sample_rows))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    kin = rows.join(sample, "id").select("id", "y", F.xxhash64("text").alias("same"), "text").mapInArrow(_kinship, "id long, y int, same long, kin long")
-    first = F.min_by(F.struct("id", "same"), F.struct("id", "same")).alias("r")
+    kin = rows.join(sample, "id").select("id", "y", F.xxhash64("text").alias("same"), "text").mapInArrow(_kinship, "id long, y int, same long, kin binary")
+    first = F.min(F.struct((-F.col("y")).alias("not_y"), "id", "same")).alias("r")
     # Rows repeating an id could be many; as many as were sampled are enough.
-    chosen = kin.groupBy("kin").agg(F.max("y").alias("y"), first).select("r.id", "r.same", "y").limit(sample_rows)
+    chosen = kin.groupBy("kin").agg(first).select("r.id", "r.same", (-F.col("r.not_y")).alias("y")).limit(sample_rows)
     told = {(r["id"], r["same"]): r["y"] for r in chosen.collect()}
     n_rows = (sum(told.values()), len(told) - sum(told.values()))
     if 0 in n_rows:
         return Model({}, 1.0, 0.0, [0.0], [n_rows[0] / max(1, len(told))])
     spark = docs.sparkSession
     picked = spark.createDataFrame([(i, h, y) for (i, h), y in told.items()], "id long, same long, y int")
-    learnt = rows.withColumn("same", F.xxhash64("text")).join(F.broadcast(picked), ["id", "same"]).select("text", "y")
+    learnt = rows.withColumn("same", F.xxhash64("text")).join(F.broadcast(picked), ["id", "same"])
+    # Only the sample's texts are dealt out by key, and a row repeated whole goes once.
+    learnt, learnt_path = held(learnt.dropDuplicates(["id", "same"]).select("text", "y"), "learnt")
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,6 +290,7 @@ def fit(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: st
                 )
 
     seen = learnt.mapInArrow(best, "y int, n long, tops array<double>, bins binary").limit(sample_rows).toArrow().to_pylist()
+    dropped(learnt, learnt_path)
     clean = [r for r in seen if not r["y"] and r["n"]]
     bins = sum((np.frombuffer(r["bins"], np.int32).astype(np.float64) for r in clean), np.zeros(_BINS))
     toxic = sum((np.frombuffer(r["bins"], np.int32).astype(np.float64) for r in seen if r["y"]), np.zeros(_BINS))

@@ -300,6 +300,20 @@ def test_toxicity_learns_and_handles_odd_rows(spark, docs):
     assert toxicity.score(docs([]), "text", model).count() == 0
 
 
+def test_toxicity_counts_copies_once_and_similar_rows_each(spark, docs):
+    rng = random.Random(31)
+    hot = words(rng, 30, 10**6)
+    similar = [" ".join(words(rng, 60, 10**6) + hot) for _ in range(60)]
+    copies = [toxicity.kinship(" ".join(t.split())) for t in similar]
+    assert len(set(copies)) == 60 and toxicity.kinship(similar[0] + "  ") == copies[0]
+    rows = [(i, " ".join(words(rng, 60) + (["awful", "vileness"] if i % 5 == 0 else []) + words(rng, 20))) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    fitted = [toxicity.fit(docs(t), "doc_id", "text", labels, "doc_id", "toxic") for t in (rows, rows + rows[:60] * 9)]
+    # Repeated rows change how common a word is in all documents, and nothing else.
+    assert fitted[0].chance == fitted[1].chance and all(np.isfinite(list(m.weights.values())).all() for m in fitted)
+    assert fitted[0].weights.keys() == fitted[1].weights.keys()
+
+
 def test_language_learns_and_handles_odd_rows(spark, docs):
     rng = random.Random(6)
     kinds = {"aa": ["ba", "bo", "bu"], "cc": ["xik", "zek", "qex"]}
