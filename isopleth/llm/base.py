@@ -20,14 +20,15 @@ def own(df: DataFrame, label: str) -> str:
     return name
 
 
-def held(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """``df`` written to the shared scratch folder and read again, and its path.
+def held(df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` written to the shared scratch folder and read again, and its path. ``by``
+    names a column with few values, one folder for each.
 
     This cuts the lineage: whatever reads the result survives the loss of any executor
     without computing ``df`` again.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*([by] if by else [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
