@@ -1,11 +1,11 @@
 """Ranked lexical search by pipelined term partitioning.
 
-Documents are indexed in one scan: each task packs the postings of the wanted terms of at
-most ``BLOCK_DOCS`` documents into one row. The terms are dealt to ``OWNERS`` owners, the
-rarest to the first and the most frequent to the last. Bundles of items then visit one
-owner after the other: a bundle carries, per block of documents, its sparse accumulators,
-a cogroup brings them together with the owner's postings of that block, and the integer
-contributions are added.
+A first scan counts documents, terms and the frequencies of the items' terms. The terms are
+dealt to ``OWNERS`` owners, the rarest to the first and the most frequent to the last, and a
+second scan gives each owner its postings, packed by blocks of documents and already worth
+their integer contributions. Bundles of items then visit one owner after the other: a bundle
+carries, per block of documents, its sparse accumulators, a cogroup brings them together with
+the owner's postings of that block, and the contributions are added.
 
 After every stage each item knows a score that its last hit must reach, and what the
 owners still ahead can add at most. An accumulator that can't reach it any more is left
@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from ..plans.ordered import ordered, running_sum
 from .base import dropped, held
 
-#: A block is closed at so many documents or postings, so a task holds bounded arrays.
-BLOCK_DOCS, BLOCK_POSTINGS = 2048, 1 << 20
+#: A block is closed at so many documents or postings, so rows and arrays stay small.
+BLOCK_DOCS, BLOCK_POSTINGS = 512, 1 << 16
 #: Weight of the items of a bundle, and of those searched for in one round; an item weighs
 #: as much as it has distinct terms, ``ITEM_WEIGHT`` at least. A round's terms are shipped
 #: to the tasks, its bound keeps them small; more items take more rounds.
@@ -48,10 +48,6 @@ def terms(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-def _pack(values, kind) -> bytes:
-    return np.asarray(values, kind).tobytes()
-
-
 def _binary(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
@@ -80,76 +76,35 @@ def item_terms(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return items.select("no", F.col(text).cast("string").alias("text")).mapInArrow(count, "no long, term binary, times long")
 
 
-_BLOCK = "block long, docs array<long>, sizes binary, term binary, slot binary, tf binary, n_docs long, n_terms long"
-
-
-def index(docs: DataFrame, doc_id: str, text: str, wanted: dict[bytes, int]) -> DataFrame:
-    """Blocks of documents with the packed postings of the wanted terms, sorted by term.
-
-    ``n_docs`` and ``n_terms`` count every document with a term and all its terms, wanted
-    or not. Documents of a block are sorted by id, missing ones last.
-    """
+def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.spark_partition_id().alias("part"))
 
-    def build(batches):
-        part, made = None, 0
-
-        def block():
-            order = sorted(range(len(found)), key=lambda i: _LAST if found[i][0] is None else found[i][0])
-            term = np.concatenate([np.fromiter(found[i][2], np.int32, len(found[i][2])) for i in order] or [[]]).astype(np.int32)
-            tf = np.concatenate([np.fromiter(found[i][2].values(), np.int64, len(found[i][2])) for i in order] or [[]]).astype(np.int64)
-            slot = np.repeat(np.arange(len(order), dtype=np.int32), [len(found[i][2]) for i in order])
-            by_term = np.argsort(term, kind="stable")
-            row = {
-                "block": [(part << 33) + made], "docs": [[found[i][0] for i in order]], "sizes": [_pack([found[i][1] for i in order], np.int64)],
-                "term": [_pack(term[by_term], np.int32)], "slot": [_pack(slot[by_term], np.int32)], "tf": [_pack(tf[by_term], np.int64)],
-                "n_docs": [n_docs], "n_terms": [n_terms],
-            }
-            types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types)], list(row))
-
-        found, postings, n_docs, n_terms = [], 0, 0, 0
-        for batch in batches:
-            part = batch.column(2)[0].as_py() if batch.num_rows else part
-            for ident, body in _texts([batch]):
-                if not (words := terms(body)):
-                    continue
-                n_docs += 1
-                n_terms += len(words)
-                hits = {at: n for word, n in Counter(words).items() if (at := wanted.get(word)) is not None}
-                if hits:
-                    found.append((ident, len(words), hits))
-                    postings += len(hits)
-                if len(found) == BLOCK_DOCS or postings >= BLOCK_POSTINGS:
-                    yield block()
-                    made += 1
-                    found, postings, n_docs, n_terms = [], 0, 0, 0
-        if n_docs:
-            yield block()
 
-    ident = F.col(doc_id).cast("long").alias("id")
-    return docs.select(ident, F.col(text).cast("string").alias("text"), F.spark_partition_id().alias("part")).mapInArrow(build, _BLOCK)
+#: The number under which the counts of all documents and terms come.
+_ALL = -1
 
 
-def _term_counts(blocks: DataFrame) -> DataFrame:
-    """term, df and the largest tf; each task adds up its own blocks first."""
+def counted(docs: DataFrame, doc_id: str, text: str, wanted: dict[bytes, int]) -> DataFrame:
+    """df and the largest tf of the wanted terms; under ``_ALL`` the documents with a term,
+    and in ``terms`` all terms of those, wanted or not. Each task adds up its own rows first."""
 
     def count(batches):
-        df, most = Counter(), {}
-        for batch in batches:
-            for packed, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                term, tf = np.frombuffer(packed, np.int32), np.frombuffer(counts, np.int64)
-                if not len(term):
-                    continue
-                heads = np.flatnonzero(np.diff(term, prepend=-1))
-                for t, n, m in zip(term[heads].tolist(), np.diff(np.append(heads, len(term))).tolist(), np.maximum.reduceat(tf, heads).tolist()):
-                    df[t] += n
-                    most[t] = max(m, most.get(t, 0))
-        if df:
-            columns = [pa.array(df, pa.int32()), pa.array(df.values(), pa.int64()), pa.array([most[t] for t in df], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "df", "most"])
-
-    local = blocks.select("term", "tf").mapInArrow(count, "term int, df long, most long")
-    return local.groupBy("term").agg(F.sum("df").alias("df"), F.max("most").alias("most"))
+        df, most, n_docs, n_terms = Counter(), {}, 0, 0
+        for _, body in _texts(batches):
+            if not (words := terms(body)):
+                continue
+            n_docs += 1
+            n_terms += len(words)
+            for word, n in Counter(words).items():
+                if (at := wanted.get(word)) is not None:
+                    df[at] += 1
+                    if n > most.get(at, 0):
+                        most[at] = n
+        rows = [(t, n, most[t], 0) for t, n in df.items()] + [(_ALL, n_docs, 0, n_terms)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.int64()] * 3))], ["term", "df", "most", "terms"])
+
+    local = _scan(docs, doc_id, text).mapInArrow(count, "term int, df long, most long, terms long")
+    return local.groupBy("term").agg(F.sum("df").alias("df"), F.max("most").alias("most"), F.sum("terms").alias("terms"))
 
 
 @dataclass(frozen=True)
@@ -176,40 +131,73 @@ def contribution(weight: int, tf: int, m: int) -> int:
     return weight * ((1_000_000_000 * tf) // (1000 * tf + 12 * m))
 
 
-def _planned(pairs: dict, counts: pa.Table, n_terms_wanted: int, n_docs: int, n_terms: int) -> Round:
-    df, most = np.zeros(n_terms_wanted, np.int64), np.ones(n_terms_wanted, np.int64)
-    df[counts["term"].to_numpy()] = counts["df"].to_numpy()
-    most[counts["term"].to_numpy()] = counts["most"].to_numpy()
+def planned(pairs: dict, counts: pa.Table, n_wanted: int) -> Round:
+    """Weights and owners of the terms from ``counted``."""
+    df, most, n_docs, n_terms = np.zeros(n_wanted, np.int64), np.ones(n_wanted, np.int64), 0, 0
+    for term, n, largest, total in zip(*(counts[c].to_pylist() for c in ("term", "df", "most", "terms"))):
+        if term == _ALL:
+            n_docs, n_terms = n, total
+        else:
+            df[term], most[term] = n, largest
     weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * d + 1))) for d in df.tolist()], np.int64)
     order = np.argsort(df, kind="stable")
     share = np.cumsum(df[order]) / max(1, df.sum())
-    owner = np.empty(n_terms_wanted, np.int64)
+    owner = np.empty(n_wanted, np.int64)
     owner[order] = np.searchsorted(OWNERS[:-1], share, side="left")
     best = np.array([contribution(w, t, 75) for w, t in zip(weight.tolist(), most.tolist())], np.int64)
     return Round(pairs, weight, owner, best, n_docs, n_terms)
 
 
-def _owned(blocks: DataFrame, plan: Round) -> DataFrame:
-    """The index dealt to the owners: per owner, bundle and block the contributions of every posting."""
-    wanted = {b: np.unique([t for _, t, _ in rows]) for b, rows in plan.pairs.items()}
+_OWNED = "owner int, bundle long, block long, docs array<long>, term binary, slot binary, gain binary"
+_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+#: The owner whose rows list the documents of the blocks.
+_NOBODY = -1
+
+
+def postings(docs: DataFrame, doc_id: str, text: str, wanted: dict[bytes, int], plan: Round) -> DataFrame:
+    """Per owner, bundle and block the contributions of every posting, sorted by term; and per
+    bundle and block its documents, by id and missing ones last. Documents without a wanted
+    term are in no block."""
+    bundles = {b: np.unique([t for _, t, _ in rows]) for b, rows in plan.pairs.items()}
+
+    def block(number, found):
+        found.sort(key=lambda f: _LAST if f[0] is None else f[0])
+        sizes = [len(hits) for *_, hits in found]
+        term = np.concatenate([np.fromiter(hits, np.int32, len(hits)) for *_, hits in found])
+        tf = np.concatenate([np.fromiter(hits.values(), np.int64, len(hits)) for *_, hits in found])
+        slot = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
+        order = np.argsort(term, kind="stable")
+        term, slot, tf = term[order], slot[order], tf[order]
+        m = np.array([75 + 25 * n * plan.n_docs // plan.n_terms for _, n, _ in found], np.int64)
+        gain = plan.weight[term] * ((1_000_000_000 * tf) // (1000 * tf + 12 * m[slot]))
+        for bundle, mine in bundles.items():
+            here = np.isin(term, mine)
+            rows = [(_NOBODY, bundle, number, [f[0] for f in found], None, None, None)] if here.any() else []
+            for stage in range(len(OWNERS)):
+                kept = here & (plan.owner[term] == stage)
+                if kept.any():
+                    rows.append((stage, bundle, number, None, term[kept].tobytes(), slot[kept].tobytes(), gain[kept].tobytes()))
+            if rows:
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)]
+                yield pa.RecordBatch.from_arrays(columns, ["owner", "bundle", "block", "docs", "term", "slot", "gain"])
 
-    def deal(batches):
+    def build(batches):
+        found, held_now, made, part = [], 0, 0, 0
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                term, slot, tf = np.frombuffer(row["term"], np.int32), np.frombuffer(row["slot"], np.int32), np.frombuffer(row["tf"], np.int64)
-                m = np.array([75 + 25 * n * plan.n_docs // plan.n_terms for n in np.frombuffer(row["sizes"], np.int64).tolist()], np.int64)
-                gain = plan.weight[term] * ((1_000_000_000 * tf) // (1000 * tf + 12 * m[slot]))
-                for bundle, mine in wanted.items():
-                    here = np.isin(term, mine)
-                    for stage in range(len(OWNERS)):
-                        kept = here & (plan.owner[term] == stage)
-                        if kept.any():
-                            columns = [pa.array([x]) for x in (stage, bundle, row["block"], term[kept].tobytes(), slot[kept].tobytes(), gain[kept].tobytes())]
-                            columns[:3] = [c.cast(k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64()))]
-                            yield pa.RecordBatch.from_arrays(columns, ["owner", "bundle", "block", "term", "slot", "gain"])
-
-    return blocks.select("block", "sizes", "term", "slot", "tf").mapInArrow(deal, "owner int, bundle long, block long, term binary, slot binary, gain binary")
+            part = batch.column(2)[0].as_py() if batch.num_rows else part
+            for ident, body in _texts([batch]):
+                words = terms(body)
+                hits = {at: n for word, n in Counter(words).items() if (at := wanted.get(word)) is not None}
+                if hits:
+                    found.append((ident, len(words), hits))
+                    held_now += len(hits)
+                if len(found) == BLOCK_DOCS or held_now >= BLOCK_POSTINGS:
+                    yield from block((part << 33) + made, found)
+                    found, held_now, made = [], 0, made + 1
+        if found:
+            yield from block((part << 33) + made, found)
+
+    return _scan(docs, doc_id, text).mapInArrow(build, _OWNED)
 
 
 _CARRIED = "bundle long, block long, docs array<long>, item binary, slot binary, score binary, tops array<struct<item: long, doc_id: long, score: long>>"
@@ -219,7 +207,7 @@ _ARROW = pa.schema([
 ])
 
 
-def _visit(carried: DataFrame, postings: DataFrame, plan: Round, stage: int, floor: dict[int, int], hits: int) -> DataFrame:
+def _visit(carried: DataFrame, owned: DataFrame, plan: Round, stage: int, floor: dict[int, int], hits: int) -> DataFrame:
     """The bundles after this owner has added its contributions.
 
     ``floor`` is the score of each item's last hit so far; accumulators that can't reach
@@ -265,7 +253,7 @@ def _visit(carried: DataFrame, postings: DataFrame, plan: Round, stage: int, flo
         return pa.Table.from_pylist([row | dict(zip(("item", "slot", "score"), packed)) | {"tops": tops}], _ARROW)
 
     keys = ("bundle", "block")
-    return carried.groupBy(*keys).cogroup(postings.groupBy(*keys)).applyInArrow(add, _CARRIED)
+    return carried.groupBy(*keys).cogroup(owned.groupBy(*keys)).applyInArrow(add, _CARRIED)
 
 
 def _best(carried: DataFrame, hits: int) -> DataFrame:
@@ -282,15 +270,14 @@ def _search(spark: SparkSession, docs: DataFrame, doc_id: str, text: str, pairs:
     by_bundle: dict[int, list] = {}
     for bundle, no, term, times in zip(*(pairs[c].to_pylist() for c in ("bundle", "no", "term", "times"))):
         by_bundle.setdefault(bundle, []).append((no, wanted.setdefault(term, len(wanted)), times))
-    blocks, index_path = held(index(docs, doc_id, text, wanted), "index")
-    n_docs, n_terms = blocks.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
-    plan = _planned(by_bundle, _term_counts(blocks).toArrow(), len(wanted), n_docs, n_terms)
-    owned, owned_path = held(_owned(blocks, plan), "owned", by="owner")
-    bundles = F.explode(F.array(*[F.lit(b).cast("long") for b in by_bundle]))
-    none, paths, floor = F.lit(b""), [index_path], {}
-    carried = blocks.select(bundles.alias("bundle"), "block", "docs", none.alias("item"), none.alias("slot"), none.alias("score"))
+    counts = counted(docs, doc_id, text, wanted).toArrow()
+    plan = planned(by_bundle, counts, len(wanted))
+    owned, owned_path = held(postings(docs, doc_id, text, wanted, plan), "postings", by="owner")
+    none, paths, floor = F.lit(b""), [], {}
+    blocks = owned.filter(F.col("owner") == _NOBODY)
+    carried = blocks.select("bundle", "block", "docs", none.alias("item"), none.alias("slot"), none.alias("score"))
     for stage in range(len(OWNERS)):
-        carried, path = held(_visit(carried, owned.filter(F.col("owner") == stage), plan, stage, floor, hits), "accumulators")
+        carried, path = held(_visit(carried, owned.filter(F.col("owner") == stage).drop("docs"), plan, stage, floor, hits), "accumulators")
         if stage + 1 < len(OWNERS):
             last = _best(carried, hits).filter(F.col("rank") == hits).select("item", "score").toArrow()
             floor = dict(zip(last["item"].to_pylist(), last["score"].to_pylist()))

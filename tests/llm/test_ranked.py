@@ -71,8 +71,9 @@ def test_pruning_leaves_accumulators_out(spark, docs):
     items = [(1, "rare1 rare3 common"), (2, "common")]
     assert found(spark, docs(rows), items, 3) == brute(rows, items, 3)
     wanted = {b"rare1": 0, b"rare3": 1, b"common": 2}
-    blocks = ranked.index(docs(rows), "doc_id", "text", wanted)
-    plan = ranked._planned({0: [(0, 0, 1), (0, 1, 1), (0, 2, 1)]}, ranked._term_counts(blocks).toArrow(), 3, 400, 2000)
+    counts = ranked.counted(docs(rows), "doc_id", "text", wanted).toArrow()
+    plan = ranked.planned({0: [(0, 0, 1), (0, 1, 1), (0, 2, 1)]}, counts, 3)
+    assert plan.n_docs == 400 and plan.n_terms == sum(len(split(t)) for _, t in rows)
     assert plan.owner.tolist()[2] == 3 and plan.ahead(2)[0] == int(plan.best[2])
     assert plan.weight[0] > plan.weight[2]
 
