@@ -30,7 +30,7 @@ from ..plans.ordered import ordered, running_sum
 from .base import dropped, held
 
 #: A block is closed at so many documents or postings, so rows and arrays stay small.
-BLOCK_DOCS, BLOCK_POSTINGS = 512, 1 << 16
+BLOCK_DOCS, BLOCK_POSTINGS = 1024, 1 << 17
 #: Weight of the items of a bundle, and of those searched for in one round; an item weighs
 #: as much as it has distinct terms, ``ITEM_WEIGHT`` at least. A round's terms are shipped
 #: to the tasks, its bound keeps them small; more items take more rounds.
@@ -214,43 +214,49 @@ def _visit(carried: DataFrame, owned: DataFrame, plan: Round, stage: int, floor:
     it with what this and the later owners can add are left out.
     """
     ahead = plan.ahead(stage - 1)
-    mine: dict[int, dict[int, list]] = {}
+    known = {}
     for bundle, rows in plan.pairs.items():
-        lists = mine.setdefault(bundle, {})
-        for item, term, times in sorted(rows):
-            lists.setdefault(item, [])
-            if plan.owner[term] == stage:
-                lists[item].append((term, times))
+        items = np.unique([item for item, _, _ in rows])
+        mine = np.array([(item, term, times) for item, term, times in rows if plan.owner[term] == stage], np.int64).reshape(-1, 3)
+        rest = np.array([ahead[item] for item in items.tolist()], np.int64)[:, None]
+        least = np.array([floor.get(item, 0) for item in items.tolist()], np.int64)[:, None]
+        known[bundle] = items, np.searchsorted(items, mine[:, 0]), mine[:, 1], mine[:, 2], rest, least
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _ARROW.empty_table()
-        row = left.to_pylist()[0]
-        items = mine[row["bundle"]]
-        numbers = np.array(list(items), np.int64)
-        scores = np.zeros((len(items), len(row["docs"])), np.int64)
-        old = np.frombuffer(row["item"], np.int64), np.frombuffer(row["slot"], np.int32), np.frombuffer(row["score"], np.int64)
-        scores[np.searchsorted(numbers, old[0]), old[1]] = old[2]
-        # One row at most: postings of this bundle and block.
-        term, slot, gain = (np.frombuffer(right[c][0].as_py() if right.num_rows else b"", k) for c, k in (("term", np.int32), ("slot", np.int32), ("gain", np.int64)))
-        tops, kept = [], []
-        for line, (item, wanted) in zip(scores, items.items()):
-            least, rest = floor.get(item, 0), ahead[item]
-            line[line + rest < least] = 0
-            alive = line > 0 if rest < least else None
-            for t, times in wanted:
-                a, b = np.searchsorted(term, (t, t + 1))
-                if a < b:
-                    line[slot[a:b]] += times * (gain[a:b] if alive is None else gain[a:b] * alive[slot[a:b]])
-            at = np.flatnonzero(line)
-            if not len(at):
-                continue
-            kept.append((np.full(len(at), item, np.int64), at.astype(np.int32), line[at]))
-            # Slots are in order of ids, so a stable sort settles ties.
-            for i in at[np.argsort(-line[at], kind="stable")[:hits]].tolist():
-                tops.append({"item": item, "doc_id": row["docs"][i], "score": int(line[i])})
-        packed = [b"".join(x[k].tobytes() for x in kept) for k in range(3)]
-        return pa.Table.from_pylist([row | dict(zip(("item", "slot", "score"), packed)) | {"tops": tops}], _ARROW)
+        # One row at most on either side: the accumulators and the postings of this bundle and block.
+        items, of, wanted, times, rest, least = known[left["bundle"][0].as_py()]
+        docs = left["docs"].combine_chunks().flatten()
+        item, slot, score = (np.frombuffer(left[c][0].as_py(), k) for c, k in (("item", np.int64), ("slot", np.int32), ("score", np.int64)))
+        scores = np.zeros((len(items), len(docs)), np.int64)
+        scores[np.searchsorted(items, item), slot] = score
+        scores[scores + rest < least] = 0
+        if right.num_rows:
+            term, slot, gain = (np.frombuffer(right[c][0].as_py(), k) for c, k in (("term", np.int32), ("slot", np.int32), ("gain", np.int64)))
+            first, last = np.searchsorted(term, wanted, side="left"), np.searchsorted(term, wanted, side="right")
+            n = last - first
+            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            cell = np.repeat(of, n) * len(docs) + slot[at]
+            alive = ((scores > 0) | (rest >= least)).ravel()[cell]
+            np.add.at(scores.reshape(-1), cell[alive], (gain[at] * np.repeat(times, n))[alive])
+        line, slot = np.nonzero(scores)
+        score = scores[line, slot]
+        # The floor is reached by as many documents as there are hits, so the best are among these.
+        near = score >= least[line, 0]
+        # Slots are in order of ids and settle ties.
+        order = np.lexsort((slot[near], -score[near], line[near]))
+        top_line, top_slot, top_score = line[near][order], slot[near][order], score[near][order]
+        rank = np.arange(len(order)) - np.searchsorted(top_line, top_line)
+        top = rank < hits
+        tops = pa.StructArray.from_arrays(
+            [pa.array(items[top_line[top]]), docs.take(pa.array(top_slot[top])), pa.array(top_score[top])], ["item", "doc_id", "score"]
+        )
+        columns = {
+            "bundle": left["bundle"], "block": left["block"], "docs": left["docs"], "item": [items[line].tobytes()],
+            "slot": [slot.astype(np.int32).tobytes()], "score": [score.tobytes()], "tops": pa.ListArray.from_arrays(pa.array([0, len(tops)], pa.int32()), tops),
+        }
+        return pa.table([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns.values(), _ARROW)], schema=_ARROW)
 
     keys = ("bundle", "block")
     return carried.groupBy(*keys).cogroup(owned.groupBy(*keys)).applyInArrow(add, _CARRIED)
