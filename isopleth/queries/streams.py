@@ -38,7 +38,7 @@ def stream_cells(spark, sf_dir):
     path = scratch_path(spark, "cells")
     stream = event_stream(spark, sf_dir).withColumn("at", utc("ts"))
     means = cell_means(stream, COARSE, "at", "v", "1 day", "1 hour")
-    cells = CellTable(f"{path}/table").run(means, f"{path}/checkpoint")
+    cells = CellTable(f"{path}/table", "1 hour").run(means, f"{path}/checkpoint")
     return cells.select(
         utc_date("window.start").alias("day"), "ix", "iy", rounded("value", 9).alias("value"), "n"
     )
