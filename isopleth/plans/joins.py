@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 
-# A broadcast copy lives on every executor; lookup rows here are a few numbers wide.
+# A broadcast copy lives on every executor, so both its rows and its bytes are bounded.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
-# Keys with more rows than this on the large side are joined apart from the others.
-HOT_ROWS = 10_000_000
+# A key with more rows than this, and with more than a thousandth of all of them, is hot.
+HOT_ROWS = 1_000_000
+HOT_SHARE = 0.001
+
+# What the sketch of a table's keys tracks and reports, and over how many parts a hot key is spread.
+SKETCH_ITEMS, SKETCH_KEYS = 16_384, 1_000
+SALTS = 64
 
 
 def settled(lookup: DataFrame, label: str = "lookup") -> DataFrame:
@@ -29,10 +36,23 @@ def settled(lookup: DataFrame, label: str = "lookup") -> DataFrame:
     return lookup.sparkSession.read.parquet(path)
 
 
-def within(lookup: DataFrame, rows: int | None = None) -> bool:
-    """Whether the lookup has at most ``rows`` rows; reads no more than that."""
+def _weight(field: T.StructField) -> Column:
+    """Bytes a value takes in a broadcast row, about: 8 for its place, and what lies behind it."""
+    kind = field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(field.name), F.lit(0)) + 8
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0)) + 8
+    return F.lit(8)
+
+
+def within(lookup: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
+    """Whether the lookup has at most ``rows`` rows and ``size`` bytes; reads no more rows than that."""
     rows = BROADCAST_ROWS if rows is None else rows
-    return lookup.limit(rows + 1).count() <= rows
+    size = BROADCAST_BYTES if size is None else size
+    row = reduce(lambda a, b: a + b, [_weight(f) for f in lookup.schema], F.lit(16))
+    n, weight = lookup.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(row.cast("long"))).first()
+    return n <= rows and (weight or 0) <= size
 
 
 def placed(lookup: DataFrame, small: bool) -> DataFrame:
@@ -40,29 +60,41 @@ def placed(lookup: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(lookup) if small else settled(lookup)
 
 
-def split_join(fact: DataFrame, lookup: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Shuffle join to a large lookup that keeps hot keys out of the shuffle.
+def key_hash(on: list[str]) -> Column:
+    """One number per join key, for the sketch and the salt only."""
+    return F.xxhash64(*on)
+
+
+def hot_keys(fact: DataFrame, on: list[str]) -> list[int]:
+    """Hashes of the keys that hold more rows than one task should get.
 
-    Keys above ``HOT_ROWS`` are counted out first. There are few of them, at most rows
-    over that number, so their lookup rows are broadcast and their rows stay where
-    they are. Rows with a missing key match nothing and stay too. Adaptive execution
-    alone would not do: it goes by compressed bytes, and equal rows compress to little.
-    The fact is written once, so that whatever made it runs once and the counting reads
-    the key columns only.
+    A heavy-hitter sketch of the key columns, which is as large as ``SKETCH_ITEMS`` whatever
+    the table's size. Its counts are estimates; a wrong one makes a join slower, not wrong.
     """
-    fact = settled(fact, "fact")
     keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
-    counts = fact.filter(keyed).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    most = counts.filter(F.col("_n") > HOT_ROWS).orderBy(F.col("_n").desc()).limit(BROADCAST_ROWS)
-    hot = F.broadcast(settled(most.select(*on), "hot-keys"))
-    cold = fact.filter(keyed).join(hot, on, "left_anti").join(lookup, on, how)
-    in_place = fact.join(hot, on, "left_semi").join(F.broadcast(lookup.join(hot, on, "left_semi")), on, how)
-    parts = cold.unionByName(in_place)
-    if how == "inner":
-        return parts
-    added = [f for f in lookup.schema.fields if f.name not in on]
-    keyless = fact.filter(~keyed).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in added])
-    return parts.unionByName(keyless)
+    sketch = F.call_function("approx_top_k", key_hash(on), F.lit(SKETCH_KEYS), F.lit(SKETCH_ITEMS))
+    n, top = fact.filter(keyed).agg(F.count(F.lit(1)), sketch).first()
+    return [item["item"] for item in top or [] if item["count"] > max(HOT_ROWS, HOT_SHARE * n)]
+
+
+def salted_join(fact: DataFrame, lookup: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Shuffle join to a large lookup with unique keys that spreads hot keys.
+
+    Rows of a hot key go to one of ``SALTS`` parts by the task that reads them, and the few
+    lookup rows of hot keys are listed under every part; all others have part 0. Rows with
+    a missing key match nothing and are spread as well. The fact is scanned once, besides
+    its key columns for the sketch, and written nowhere.
+    """
+    salt, hot = "_salt", hot_keys(fact, on)
+    spread = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    if hot:
+        spread = spread | key_hash(on).isin(hot)
+        parts = F.when(key_hash(on).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        listed = lookup.withColumn(salt, F.explode(parts))
+    else:
+        listed = lookup.withColumn(salt, F.lit(0))
+    dealt = fact.withColumn(salt, F.when(spread, F.spark_partition_id() % SALTS).otherwise(0))
+    return dealt.join(listed, [*on, salt], how).drop(salt)
 
 
 def lookup_join(
@@ -70,13 +102,13 @@ def lookup_join(
 ) -> DataFrame:
     """Left or inner equi-join of a large table to a lookup with unique keys.
 
-    ``bound`` is a proven limit on the lookup's rows; without one, or with a large one,
-    the lookup is written out and counted. Small lookups are broadcast and the large
-    side is not shuffled; others go to ``split_join``.
+    ``bound`` is a proven limit on the rows of a lookup of plain numbers; without one, or with
+    a large one, the lookup is written out and measured. Small lookups are broadcast and the
+    large side is not shuffled; others go to ``salted_join``.
     """
     if bound is not None and bound <= BROADCAST_ROWS:
         return fact.join(F.broadcast(lookup), on, how)
     lookup = settled(lookup)
     if within(lookup):
         return fact.join(F.broadcast(lookup), on, how)
-    return split_join(fact, lookup, on, how)
+    return salted_join(fact, lookup, on, how)

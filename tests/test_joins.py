@@ -12,9 +12,9 @@ from isopleth.plans import joins
 
 @pytest.fixture
 def large(monkeypatch):
-    """Every lookup counts as large, and a key with more than five rows as hot."""
+    """Every lookup counts as large, and a key with more than twenty rows as hot."""
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 2)
-    monkeypatch.setattr(joins, "HOT_ROWS", 5)
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +26,7 @@ def sides(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_split_join_equals_the_plain_join(large, sides, how):
+def test_salted_join_equals_the_plain_join(large, sides, how):
     fact, lookup = sides
     got = joins.lookup_join(fact, lookup, ["k", "s"], how)
     want = fact.join(lookup, ["k", "s"], how).select(got.columns)
@@ -34,10 +34,36 @@ def test_split_join_equals_the_plain_join(large, sides, how):
     assert got.exceptAll(want).count() == 0
 
 
-def test_hot_keys_are_not_shuffled(large, sides):
+def test_one_scan_of_the_fact_and_no_copy(large, sides, spark, tmp_path):
+    """The join scans the fact once; the sketch reads its key columns only."""
     fact, lookup = sides
-    plan = joins.lookup_join(fact, lookup, ["k", "s"], "left")._jdf.queryExecution().optimizedPlan().toString()
-    assert "Union" in plan and "LeftAnti" in plan and "LeftSemi" in plan
+    fact.withColumn("wide", F.lit("x")).repartition(7).write.parquet(str(tmp_path / "fact"))
+    stored = spark.read.parquet(str(tmp_path / "fact"))
+    before = {p for p in tmp_path.rglob("*")}
+    out = joins.lookup_join(stored, lookup, ["k", "s"], "left")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("wide#") >= 1 and sum("Relation" in line and "wide#" in line for line in plan.splitlines()) == 1
+    assert "Union" not in plan and "_salt" in plan
+    assert {p for p in tmp_path.rglob("*")} == before
+
+
+def test_the_sketch_finds_hot_keys_and_spreads_them(large, sides, monkeypatch):
+    fact, lookup = sides
+    hot = joins.hot_keys(fact, ["k", "s"])
+    counted = fact.dropna(subset=["k", "s"]).groupBy("k", "s").count().withColumn("h", joins.key_hash(["k", "s"]))
+    assert sorted(hot) == sorted(r["h"] for r in counted.filter("count > 20").collect()) and hot
+    assert joins.hot_keys(fact.limit(0), ["k", "s"]) == []
+    monkeypatch.setattr(joins, "SALTS", 4)
+    plan = joins.salted_join(fact.repartition(8), lookup, ["k", "s"], "left")._jdf.queryExecution().optimizedPlan().toString()
+    assert "SPARK_PARTITION_ID() % 4" in plan
+
+
+def test_broadcast_goes_by_bytes_too(spark, monkeypatch):
+    notes = spark.range(100).select("id", F.repeat(F.lit("é"), 1000).alias("note"), F.array("id").alias("more"))
+    assert joins.within(notes)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 100_000)
+    assert not joins.within(notes) and joins.within(notes.drop("note")) and not joins.within(notes.drop("note"), rows=99)
+    assert joins.within(notes.limit(0))
 
 
 def test_sampling_many_grids(large, spark):
@@ -67,7 +93,7 @@ def test_hot_buckets_of_many_colormaps(large, spark, monkeypatch):
     monkeypatch.setattr(colormap, "FORWARD_ROWS", 3)
     got = colormap.forward(px, cmap)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftAnti" in plan
+    assert "_salt" in plan
     assert got.count() == want.count() == 300 and got.filter("rgb_key IS NOT NULL").count() > 200
     assert got.exceptAll(want).count() == 0
 
