@@ -8,11 +8,15 @@ next is computed on one summary row per (series, chunk).
 
 The chunk number comes from a sampled range partitioning, so the tagged rows are
 written once to the shared scratch folder; every later step reads that table and
-sees the same numbers even when tasks are rerun.
+sees the same numbers even when tasks are rerun. The table is bucketed by chunk, so
+the windows find their rows together and shuffle nothing. Only the first and the
+last series of a chunk can go on in another one: at most two summary rows a chunk
+are passed on, and they are broadcast.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,11 +61,18 @@ class Ordered:
         return Window.partitionBy(*self.series).orderBy(CHUNK)
 
     def summary(self, *aggregates: Column) -> DataFrame:
-        return self.rows.groupBy(*self._group).agg(*aggregates)
+        """One row per chunk for each series that may go on beyond it: its first and its last."""
+        parts = self.rows.groupBy(*self._group).agg(*aggregates)
+        if not self.series:
+            return parts
+        chunk = Window.partitionBy(CHUNK)
+        ends = parts.withColumn("_first", F.min(SERIES).over(chunk)).withColumn("_last_one", F.max(SERIES).over(chunk))
+        return ends.filter(F.col(SERIES).eqNullSafe(F.col("_first")) | F.col(SERIES).eqNullSafe(F.col("_last_one"))).drop("_first", "_last_one")
 
     def join_summary(self, rows: DataFrame, summary: DataFrame) -> DataFrame:
-        """Rows with what reaches their chunk from the others."""
-        return rows.join(summary, self._group, "inner")
+        """Rows with what reaches their chunk from the others, missing where nothing does. At
+        most two summary rows a chunk, and there are no more chunks than tasks."""
+        return rows.join(F.broadcast(summary), self._group, "left")
 
     def newest(self, value: Column) -> Column:
         """Aggregate: the value on the last row, by order, where it is not null."""
@@ -74,15 +85,20 @@ class Ordered:
 def ordered(df: DataFrame, series: list[str], order: list[str]) -> Ordered:
     """Tag rows with chunk numbers. Ends ``order`` with a unique column to split ties.
 
-    Runs a job: the tagged rows are written.
+    Runs a job: the tagged rows are written, as a table of the session's catalog, since only
+    those tell Spark how they are bucketed.
     """
-    path = scratch_path(df.sparkSession, "ordered")
+    spark = df.sparkSession
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"isopleth_ordered_{uuid.uuid4().hex}"
     (
         df.repartitionByRange(*[F.col(c) for c in (*series, *order)])
         .withColumn(CHUNK, F.spark_partition_id())
-        .write.parquet(path)
+        .write.bucketBy(buckets, CHUNK)
+        .sortBy(CHUNK, *series, *order)
+        .option("path", scratch_path(spark, "ordered"))
+        .saveAsTable(name)
     )
-    rows = df.sparkSession.read.parquet(path)
+    rows = spark.table(name)
     if series:
         rows = rows.withColumn(SERIES, F.struct(*series))
     return Ordered(rows, (SERIES,) if series else (), tuple(order))

@@ -88,6 +88,37 @@ def test_only_summaries_meet_in_one_task(many_chunks, rows):
             assert rowwise and all(f"{o.CHUNK}#" in line.split("windowspecdefinition(")[1].split("ASC")[0] for line in rowwise)
 
 
+def shuffles_of_rows(df):
+    """Exchanges that aren't on the way to a broadcast, with the lines under which they stand."""
+    out, above = [], []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [(d, text) for d, text in above if d < depth]
+        if " Exchange " in f" {line.strip(' :+-')} " and not any("BroadcastExchange" in text for _, text in above):
+            out.append(line.strip())
+        above.append((depth, line))
+    return out
+
+
+def test_rows_are_not_shuffled_again(many_chunks, rows):
+    """Above the scan of the tagged table only summary rows move."""
+    for series in (["series"], []):
+        tagged = o.ordered(frame(many_chunks, rows), series, ["t", "id"])
+        for out in (o.row_numbers(tagged), o.running_sum(tagged, F.col("id"), "total"), o.previous(tagged, F.col("v"), "p"), o.neighbours(tagged, F.col("v"), "b", "a")):
+            assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+            assert shuffles_of_rows(out) == []
+        assert len(shuffles_of_rows(tagged.rows.groupBy("v").count())) == 1
+
+
+def test_two_summary_rows_a_chunk(many_chunks):
+    """A thousand short series: only those at the ends of chunks can go on in another one."""
+    df = many_chunks.range(4000).select((F.col("id") % 1000).alias("s"), "id")
+    tagged = o.ordered(df, ["s"], ["id"])
+    chunks = tagged.rows.select(o.CHUNK).distinct().count()
+    assert chunks > 3 and tagged.summary(F.count(F.lit(1)).alias("n")).count() <= 2 * chunks
+    assert o.row_numbers(tagged).filter("rn <> (id - s) / 1000 + 1").count() == 0
+
+
 def test_block_of_missing_samples_is_missing(both_ways):
     df = both_ways.createDataFrame([("a", i, None) for i in range(4)], "series string, t long, v double")
     got = s.block_mean(df.withColumn("id", F.col("t")), ["series"], "t", "id", ["v"], step=2).collect()
