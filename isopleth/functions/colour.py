@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .missing import col
+from .missing import col, finite
 
 # The two sides of the difference scale, its dead zone, opacity
 # floor and ceiling.
@@ -38,6 +38,12 @@ MEAN_ALPHA = 235
 # Rate scale in metres per year, and the area above which an
 # inventory entry counts as large (square kilometres).
 RATE_SCALE = 1.5
+# Colours of a rate. Grey without data; with thinning red, green and blue start
+# at the first number and fall by the second; else one blue. The opacity grows with the rate.
+RATE_NODATA, RATE_NODATA_ALPHA = (107, 114, 128), 0.35
+RATE_THINNING = ((0.95, 0.0), (0.75, 0.6), (0.15, 0.0))
+RATE_STABLE = (0.22, 0.55, 0.95)
+RATE_FLOOR, RATE_ALPHA = 0.1, (0.55, 0.4)
 LARGE_AREA_KM2 = 50
 
 
@@ -73,9 +79,9 @@ def _rgba(r, g, b, a) -> Column:
 
 
 def ramp_colour(name: str, t: Column) -> Column:
-    """Colour of a share of the range; a missing share is not painted."""
+    """Colour of a share of the range; a share that is missing or not finite is not painted."""
     r, g, b = _piecewise(RAMPS.get(name, RAMPS["precip"]), clamp(t, 0, 1))
-    return _rgba(*[F.when(t.isNotNull(), c).otherwise(F.lit(0)) for c in (r, g, b, F.lit(GRID_ALPHA))])
+    return _rgba(*[F.when(finite(t), c).otherwise(F.lit(0)) for c in (r, g, b, F.lit(GRID_ALPHA))])
 
 
 def spread_colour(spread: Column | str) -> Column:
@@ -88,12 +94,17 @@ def spread_colour(spread: Column | str) -> Column:
     return _rgba(*[F.when(visible, c).otherwise(zero) for c in (r, g, b, alpha)])
 
 
+def _real(d: Column | str) -> Column:
+    return F.when(finite(d), col(d))
+
+
 def _scale(scale: float | Column) -> Column:
     return scale if isinstance(scale, Column) else F.lit(float(scale))
 
 
 def delta_direction(d: Column | str, scale: float | Column = DELTA_RANGE) -> Column:
-    d, scale = col(d), _scale(scale)
+    """Which way a difference goes; null if it is missing or not finite."""
+    d, scale = _real(d), _scale(scale)
     return (
         F.when(F.abs(d) < scale * DELTA_DEAD_ZONE, F.lit("none"))
         .when(d > 0, F.lit("increase"))
@@ -102,7 +113,8 @@ def delta_direction(d: Column | str, scale: float | Column = DELTA_RANGE) -> Col
 
 
 def delta_colour(d: Column | str, scale: float | Column = DELTA_RANGE) -> Column:
-    d, scale = col(d), _scale(scale)
+    """Two-sided colour of a difference; one that is missing or not finite is not painted."""
+    d, scale = _real(d), _scale(scale)
     t = clamp(d / scale, -1, 1)
     hidden = d.isNull() | (F.abs(d) < scale * DELTA_DEAD_ZONE)
     alpha = half_up(F.least(F.lit(1.0), F.abs(t) + DELTA_ALPHA_FLOOR) * DELTA_ALPHA)
@@ -123,20 +135,15 @@ def rate_class(rate: Column | str) -> Column:
 def rate_colour(rate: Column | str) -> Column:
     """Fractional RGBA: grey for no data, yellow to red with thinning, blue otherwise."""
     rate = col(rate)
-    strength = F.least(F.lit(1.0), F.abs(clamp(rate / RATE_SCALE, -1, 1)) + 0.1)
+    strength = F.least(F.lit(1.0), F.abs(clamp(rate / RATE_SCALE, -1, 1)) + RATE_FLOOR)
     share = F.least(F.lit(1.0), -rate / RATE_SCALE)
     missing, thinning = rate.isNull(), rate < 0
-
-    def pick(nodata: float, thin: Column, stable: float) -> Column:
-        return F.when(missing, F.lit(nodata)).when(thinning, thin).otherwise(F.lit(stable))
-
-    alpha = F.when(missing, F.lit(0.35)).otherwise(F.lit(0.55) + F.lit(0.4) * strength)
-    return _rgba(
-        pick(107 / 255, F.lit(0.95), 0.22),
-        pick(114 / 255, F.lit(0.75) - F.lit(0.6) * share, 0.55),
-        pick(128 / 255, F.lit(0.15), 0.95),
-        alpha,
-    )
+    channels = [
+        F.when(missing, F.lit(nodata / 255)).when(thinning, F.lit(start) - F.lit(fall) * share).otherwise(F.lit(stable))
+        for nodata, (start, fall), stable in zip(RATE_NODATA, RATE_THINNING, RATE_STABLE)
+    ]
+    least, more = RATE_ALPHA
+    return _rgba(*channels, F.when(missing, F.lit(RATE_NODATA_ALPHA)).otherwise(F.lit(least) + F.lit(more) * strength))
 
 
 def extent_class(area: Column | str) -> Column:

@@ -53,7 +53,7 @@ CLIMATOLOGIES = {
 
 def _write(df: DataFrame, out: str, snapshot: str, **envelope) -> DataFrame:
     sinks.write_snapshot(df, out, snapshot, **envelope)
-    return df.sparkSession.read.parquet(f"{out}/data")
+    return sinks.read_snapshot(df.sparkSession, out)[0]
 
 
 def emitters(spark: SparkSession, pages, out: str, snapshot: str, year: int, n: int = 1000, lines: bool = False) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import compare_date_value, sample_date_values
+from ..functions.dates import compare_date, compare_date_value, sample_date_values
 from ..functions.missing import col, finite
-from ..plans.joins import settled, split_join, within
+from ..plans.joins import lookup_join, salted_join, settled, within
 
 
 def on_dates(df: DataFrame, dates: list[dt.date], day: str = "day", time: str | None = None) -> DataFrame:
@@ -168,4 +169,54 @@ def probe(points: DataFrame, obs: DataFrame, keys: list[str], field) -> DataFram
     pixels = field(wanted)
     if small:
         return points.join(F.broadcast(pixels), keys, "left")
-    return split_join(points, settled(pixels, "pixels"), keys, "left")
+    return salted_join(points, settled(pixels, "pixels"), keys, "left")
+
+
+def _exact(total: Column | str) -> Column:
+    """A day's total to twelve decimals, so that running sums and their differences are exact."""
+    return col(total).cast("decimal(28,12)")
+
+
+def probe_dated(
+    points: DataFrame, obs: DataFrame, keys: list[str], value: str, end: str, days: int, years: int = 0, day: str = "day"
+) -> DataFrame:
+    """The mean of the ``days`` days up to each point's own date ``end``, on the point's pixel.
+
+    ``value`` and ``n`` are null and 0 where the pixel has no observation in the window. With
+    ``years``, ``past`` and ``n_past`` are those of the same window so many years earlier and
+    ``delta`` is the difference, null unless both have data. Points without a pixel or a date
+    keep nulls.
+
+    Observations of the requested pixels become one total a day, totals become running sums
+    beside the asked dates, and a window is the difference between two of those: its length
+    and the number of dates cost nothing. Points that share pixel and date are asked once,
+    so a pixel has at most a few rows for each day there is.
+    """
+    dates = {"value": F.col(end)} | ({"past": compare_date(F.col(end), years)} if years else {})
+    known = [col(c).isNotNull() for c in (*keys, end)]
+    asked = settled(points.filter(reduce(lambda a, b: a & b, known)).select(*keys, end).distinct(), "asked")
+    wanted = asked.select(*keys).distinct()
+    near = obs.join(F.broadcast(wanted) if within(wanted) else wanted, keys, "left_semi")
+    daily = near.filter(finite(value)).groupBy(*keys, day).agg(_exact(F.sum(value)).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    marks = [
+        F.struct(F.lit(name).alias("name"), F.lit(sign).alias("sign"), F.date_sub(at, 0 if sign > 0 else days).alias("at"))
+        for name, at in dates.items() for sign in (1, -1)
+    ]
+    asks = asked.select(*keys, end, F.explode(F.array(*marks)).alias("_m")).select(*keys, F.col("_m.at").alias("_at"), end, "_m.name", "_m.sign")
+    facts = daily.select(*keys, F.col(day).alias("_at"), "_s", "_n")
+    # Facts of a day come before the marks that ask for it.
+    upto = Window.partitionBy(*keys).orderBy("_at", F.col("sign").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    run = facts.unionByName(asks, allowMissingColumns=True).select(
+        *keys, end, "name", "sign", F.sum("_s").over(upto).cast("decimal(36,12)").alias("_s"), F.sum("_n").over(upto).alias("_n")
+    ).filter(F.col("sign").isNotNull())
+    # One row each for the last day of a window and for the day before it.
+    at = lambda c, name, sign: F.coalesce(F.max(F.when((F.col("name") == name) & (F.col("sign") == sign), F.col(c))), F.lit(0))
+    window = lambda c, name: at(c, name, 1) - at(c, name, -1)
+    sums = run.groupBy(*keys, end).agg(
+        *[f for name in dates for f in (window("_s", name).alias(f"_s_{name}"), window("_n", name).cast("long").alias(f"_n_{name}"))]
+    )
+    mean = lambda name: (F.col(f"_s_{name}").cast("double") / F.when(F.col(f"_n_{name}") > 0, F.col(f"_n_{name}")))
+    out = [mean("value").alias("value"), F.col("_n_value").alias("n")]
+    if years:
+        out += [mean("past").alias("past"), F.col("_n_past").alias("n_past"), (mean("value") - mean("past")).alias("delta")]
+    return lookup_join(points, sums.select(*keys, end, *out), [*keys, end], "left")

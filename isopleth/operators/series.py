@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import wrap_lon
+from ..functions.geo import located, wrap_lon
 from ..functions.missing import col, finite
 from ..plans.joins import lookup_join
 from ..plans.ordered import neighbours, ordered, row_numbers, running_sum
@@ -246,13 +246,14 @@ def state_vector(df: DataFrame, channel: str, time: str, value: str, channels: l
 
 
 def fingerprint(df: DataFrame, time: str, lon: str, lat: str, value: str, box) -> DataFrame:
-    """Area-weighted mean inside a box minus the area-weighted mean everywhere, per month."""
+    """Area-weighted mean inside a box minus the area-weighted mean everywhere, per month, of
+    the rows with a place and a value. Longitudes wrap."""
     west, south, east, north = box
     x = wrap_lon(lon)
     across = (x >= west) & (x < east) if west <= east else (x >= west) | (x < east)
     inside = across & (col(lat) >= south) & (col(lat) < north)
     w = F.cos(F.radians(lat))
-    real = df.filter(finite(value))
+    real = located(df, lon, lat).filter(finite(value))
     wv = w * col(value)
     out = real.groupBy(F.trunc(time, "MM").alias("month")).agg(
         (F.sum(F.when(inside, wv)) / F.sum(F.when(inside, w))).alias("box"), (F.sum(wv) / F.sum(w)).alias("globe")

@@ -7,7 +7,7 @@ from .base import QUERIES, SQL
 
 
 def load_all() -> None:
-    from . import calendar, catalog, colours, dashboards, ensembles, grids, layers, points, quality, rolling, series, sources, streams, tiles, views  # noqa: F401
+    from . import calendar, catalog, colours, dashboards, ensembles, grids, layers, missing, points, quality, rolling, series, sources, streams, tiles, views  # noqa: F401
 
 
 __all__ = ["QUERIES", "SQL", "load_all"]

@@ -26,7 +26,7 @@ ens AS (
 
 
 def _ensemble(spark, sf_dir, extra=(), size=SIZE):
-    obs = pixelled(observations(spark, sf_dir), size=size)
+    obs = pixelled(observations(spark, sf_dir), size=size, known=True)
     return en.ensemble(obs, [*extra, *PIXEL], MEMBERS, "v")
 
 

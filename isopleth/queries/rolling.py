@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour
 from ..functions.dates import compare_date_value, sample_date_values
-from ..functions.geo import pixel_x, pixel_y, tile_x, tile_y
+from ..functions.geo import located, pixel_x, pixel_y, tile_x, tile_y
 from ..functions.missing import rounded
 from ..operators import rolling
 from .base import d, observations, query, table, with_obs
@@ -19,9 +19,11 @@ PIXEL = ["x", "y", "px", "py"]
 SIZE = 16
 
 
-def pixelled(df, z: int = 0, size: int = SIZE):
-    placed = df.withColumn("x", tile_x("lon", z)).withColumn("y", tile_y("lat", z))
-    return placed.withColumn("px", pixel_x("lon", "x", z, size)).withColumn("py", pixel_y("lat", "y", z, size))
+def pixelled(df, z: int = 0, size: int = SIZE, known: bool = False):
+    """Rows with their pixel. ``known`` leaves out rows without a place first."""
+    df = located(df) if known else df
+    placed = df.withColumn("x", tile_x("lon", z, known)).withColumn("y", tile_y("lat", z, known))
+    return placed.withColumn("px", pixel_x("lon", "x", z, size, known)).withColumn("py", pixel_y("lat", "y", z, size, known))
 
 
 def pixel_sql(source: str, name: str, columns: str, size: int = SIZE) -> str:
@@ -51,7 +53,7 @@ SELECT x, y, px, py, round(avg(v), 9) AS value, count(v) AS n FROM pixels
 WHERE v IS NOT NULL AND day IN ({dates_sql(WINDOW_DATES)}) GROUP BY x, y, px, py""")
 )
 def window_mean(spark, sf_dir):
-    obs = pixelled(observations(spark, sf_dir))
+    obs = pixelled(observations(spark, sf_dir), known=True)
     out = rolling.window_mean(obs, PIXEL, "v", END, 30, time="ts")
     return out.select(*PIXEL, rounded("value", 9).alias("value"), "n")
 
@@ -63,7 +65,7 @@ SELECT x, y, px, py, day, round(sum(s) OVER w / sum(n) OVER w, 9) AS value, CAST
 FROM daily WINDOW w AS (PARTITION BY x, y, px, py ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)""")
 )
 def window_exact(spark, sf_dir):
-    out = rolling.rolling_mean(pixelled(observations(spark, sf_dir)), PIXEL, "v", 7)
+    out = rolling.rolling_mean(pixelled(observations(spark, sf_dir), known=True), PIXEL, "v", 7)
     return out.select(*PIXEL, "day", rounded("value", 9).alias("value"), "n")
 
 
@@ -156,7 +158,7 @@ FROM asked LEFT JOIN field USING (x, y, px, py)""")
 )
 def point_probe(spark, sf_dir):
     points = pixelled(probe_points(spark, sf_dir)).select("c_custkey", *PIXEL)
-    obs = pixelled(observations(spark, sf_dir))
+    obs = pixelled(observations(spark, sf_dir), known=True)
     out = rolling.probe(points, obs, PIXEL, lambda o: rolling.window_mean(o, PIXEL, "v", END, 30, time="ts"))
     return out.select(
         "c_custkey", rounded("value", 9).alias("value"), "n", F.col("value").isNull().alias("no_data"),
@@ -181,6 +183,35 @@ def point_probe_delta(spark, sf_dir):
     """The change against the year before under each point; every other day is taken as one of the year before."""
     points = pixelled(probe_points(spark, sf_dir)).select("c_custkey", *PIXEL)
     back = F.when(F.dayofmonth("day") % 2 == 0, F.col("day")).otherwise(F.add_months("day", -12))
-    obs = pixelled(observations(spark, sf_dir)).withColumn("day", back)
+    obs = pixelled(observations(spark, sf_dir), known=True).withColumn("day", back)
     out = rolling.probe(points, obs, PIXEL, lambda o: rolling.window_delta(o, PIXEL, "v", PROBE_END, 1, 10))
     return out.select("c_custkey", rounded("delta", 9).alias("delta"), F.col("delta").isNull().alias("no_data"))
+
+
+DATED_SQL = "DATE '1997-01-01' + CAST(c_custkey % 365 AS INTEGER)"
+
+
+@query(f"""
+WITH o AS (SELECT o_custkey % 50 AS cell, CAST(o_orderdate AS DATE) AS day, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
+asked AS (
+  SELECT c_custkey, CASE WHEN c_custkey % 17 <> 3 THEN c_custkey % 60 END AS cell, CASE WHEN c_custkey % 19 <> 3 THEN CAST({DATED_SQL} AS DATE) END AS till FROM customer
+), ends AS (
+  SELECT DISTINCT cell, till, make_date(year(till) - 1, month(till), CASE WHEN month(till) = 2 AND day(till) = 29 THEN 28 ELSE day(till) END) AS before FROM asked
+), field AS (
+  SELECT e.cell, e.till, CAST(sum(CASE WHEN day > e.till - 45 AND day <= e.till THEN cents END) AS DOUBLE) AS s, count(CASE WHEN day > e.till - 45 AND day <= e.till THEN 1 END) AS n,
+         CAST(sum(CASE WHEN day > e.before - 45 AND day <= e.before THEN cents END) AS DOUBLE) AS s_past, count(CASE WHEN day > e.before - 45 AND day <= e.before THEN 1 END) AS n_past
+  FROM ends e LEFT JOIN o ON o.cell = e.cell AND ((day > e.till - 45 AND day <= e.till) OR (day > e.before - 45 AND day <= e.before))
+  WHERE e.cell IS NOT NULL AND e.till IS NOT NULL GROUP BY e.cell, e.till
+)
+SELECT c_custkey, asked.till AS day, round(s / n / 100, 6) AS value, n, round(s_past / n_past / 100, 6) AS past, n_past, round((s / n - s_past / n_past) / 100, 6) AS delta
+FROM asked LEFT JOIN field ON field.cell = asked.cell AND field.till = asked.till
+""")
+def point_probe_dated(spark, sf_dir):
+    """45 days up to a date of each customer's own, and the same days a year before; some lack the date or the cell."""
+    key = F.col("c_custkey")
+    points = table(spark, sf_dir, "customer").select(
+        key, F.when(key % 17 != 3, key % 60).alias("cell"), F.when(key % 19 != 3, F.date_add(F.lit("1997-01-01").cast("date"), (key % 365).cast("int"))).alias("till")
+    )
+    out = rolling.probe_dated(points, order_cells(spark, sf_dir), ["cell"], "cents", "till", 45, years=1)
+    part = lambda c: rounded(F.col(c) / 100, 6).alias(c)
+    return out.select(key, F.col("till").alias("day"), part("value"), "n", part("past"), "n_past", part("delta"))

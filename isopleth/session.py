@@ -37,12 +37,37 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly under a path; none if there is no such path."""
+    files, place = _at(spark, path)
+    if not files.exists(place):
+        return []
+    return [s.getPath().getName() for s in files.listStatus(place) if s.isDirectory()]
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more; nothing happens if there is none."""
     files, place = _at(spark, path)
     files.delete(place, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file; None if there is none."""
+    return "\n".join(r[0] for r in spark.read.text(path).collect()) if exists(spark, path) else None
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small text file in place of another at once, by a rename that overwrites."""
+    jvm, (files, place) = spark._jvm, _at(spark, path)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = files.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(draft, place, overwrite)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 

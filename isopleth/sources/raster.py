@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.colour import pack_rgb
 from ..functions.missing import finite
+from .lines import numbered
 
 ENTRY = "_rgb string, _transparent string, _value string"
 
@@ -26,7 +27,7 @@ def read_colormaps(spark: SparkSession, path, colormap_id: str | None = None) ->
     raw = spark.read.format("xml").option("rowTag", "ColorMapEntry").schema(ENTRY).load(path)
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.xml$", "")
     own = F.col(colormap_id) if colormap_id else name
-    entries = raw.select(own.alias("colormap_id"), F.monotonically_increasing_id().alias("pos"), "_rgb", "_transparent", "_value")
+    entries = numbered(raw.select(own.alias("colormap_id"), "_rgb", "_transparent", "_value", "_metadata"), "pos")
 
     inner = F.regexp_replace(F.trim("_value"), r"^[\[(]|[\])]$", "")
     sides = F.split(inner, ",")
@@ -55,34 +56,26 @@ def read_tiles(spark: SparkSession, path) -> DataFrame:
 
     Partition columns such as layer, date, z, x and y come from the directory names,
     so a filter on them skips files. Unreadable files are dropped. Decoded bytes
-    arrive blue first; images without an alpha channel are opaque. Bytes are cut into
-    image rows before pixels, so that no pixel row carries the image.
+    arrive blue first; images without an alpha channel are opaque. Pixels are listed by
+    number and their bytes read in compiled code, which passes the image on by reference.
     """
     images = spark.read.format("image").option("dropInvalid", True).load(path)
     keys = [c for c in images.columns if c != "image"]
     width, channels, data = F.col("image.width"), F.col("image.nChannels"), F.col("image.data")
-    stride = width * channels
-    line = F.transform(
-        F.sequence(F.lit(0), F.col("image.height") - 1),
-        lambda y: F.struct(y.alias("py"), F.substring(data, y * stride + 1, stride).alias("bytes")),
-    )
-    rows = images.select(*keys, width.alias("_w"), channels.alias("_c"), F.explode(line).alias("l")).select(
-        *keys, "_w", "_c", "l.py", "l.bytes"
-    )
-
-    def byte(x: Column, k: int) -> Column:
-        cut = F.substring(F.col("bytes"), x * F.col("_c") + (k + 1), F.lit(1))
-        return F.conv(F.hex(cut), 16, 10).cast("int")
-
-    def pixel(x: Column) -> Column:
-        grey = F.col("_c") == 1
-        return F.struct(
-            x.alias("px"),
-            F.when(grey, byte(x, 0)).otherwise(byte(x, 2)).alias("r"),
-            F.when(grey, byte(x, 0)).otherwise(byte(x, 1)).alias("g"),
-            byte(x, 0).alias("b"),
-            F.when(F.col("_c") == 4, byte(x, 3)).otherwise(F.lit(255)).alias("a"),
-        )
-
-    pixels = F.transform(F.sequence(F.lit(0), F.col("_w") - 1), pixel)
-    return rows.select(*keys, "py", F.explode(pixels).alias("p")).select(*keys, "p.px", "py", "p.r", "p.g", "p.b", "p.a")
+    cut = images.select(
+        *keys, width.alias("_w"), channels.alias("_c"), data.alias("_data"),
+        F.explode(F.sequence(F.lit(0), width * F.col("image.height") - 1)).alias("_i"),
+    )
+    at = F.substring("_data", F.col("_i") * F.col("_c") + 1, F.col("_c"))
+    # Up to four bytes as one number, the first of them highest.
+    px, py = (F.col("_i") % F.col("_w")).alias("px"), F.expr("CAST(_i div _w AS INT)").alias("py")
+    pixel = cut.select(*keys, px, py, "_c", F.conv(F.hex(at), 16, 10).cast("long").alias("_p"))
+    byte = lambda k: F.shiftright("_p", 8 * k).bitwiseAND(F.lit(255)).cast("int")
+    deep, grey = F.col("_c") == 4, F.col("_c") == 1
+    return pixel.select(
+        *keys, "px", "py",
+        F.when(deep, byte(1)).otherwise(byte(0)).alias("r"),
+        F.when(deep, byte(2)).when(grey, byte(0)).otherwise(byte(1)).alias("g"),
+        F.when(deep, byte(3)).when(grey, byte(0)).otherwise(byte(2)).alias("b"),
+        F.when(deep, byte(0)).otherwise(F.lit(255)).alias("a"),
+    )

@@ -2,27 +2,55 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import Grid
 from ..functions.missing import rounded
+from ..session import discard, folders, read_text, replace_text
 
 # A JSON document is one row of one task, so only results of known size become one.
 DOCUMENT_ROWS = 1_000_000
 
 
+# The file that names the version in force; versions older than the one before it go.
+MANIFEST = "current.txt"
+
+
 def write_snapshot(df: DataFrame, path: str, snapshot: str, **envelope: str) -> None:
-    """Data as Parquet under ``data`` and a one-row envelope under ``meta``; replaces
-    what was there. ``snapshot`` is the date the data stand for."""
-    df.write.mode("overwrite").parquet(f"{path}/data")
+    """Data as Parquet and a one-row envelope, published together.
+
+    Both are written to a folder of their own first; then the manifest, which names that
+    folder, is replaced by a rename. A reader sees the old snapshot or the new one, never data
+    of one with the envelope of the other, and a write that dies leaves the old one in force.
+    The version before stays for those still reading it. ``snapshot`` is the date the data
+    stand for.
+    """
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    folder = f"{path}/versions/{version}"
+    df.write.parquet(f"{folder}/data")
     row = {"snapshot": snapshot, **envelope}
-    meta = df.sparkSession.range(1).select(*[F.lit(str(v)).alias(k) for k, v in row.items()])
-    meta.write.mode("overwrite").json(f"{path}/meta")
+    spark.range(1).select(*[F.lit(str(v)).alias(k) for k, v in row.items()]).write.json(f"{folder}/meta")
+    before = _versions(spark, path)[:1]
+    replace_text(spark, f"{path}/{MANIFEST}", "\n".join([version, *before]))
+    for old in set(folders(spark, f"{path}/versions")) - {version, *before}:
+        discard(spark, f"{path}/versions/{old}")
+
+
+def _versions(spark, path: str) -> list[str]:
+    """The version in force and the one before it."""
+    text = read_text(spark, f"{path}/{MANIFEST}")
+    return text.split("\n") if text else []
 
 
 def read_snapshot(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/data"), spark.read.json(f"{path}/meta")
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no snapshot has been published at {path}")
+    folder = f"{path}/versions/{versions[0]}"
+    return spark.read.parquet(f"{folder}/data"), spark.read.json(f"{folder}/meta")
 
 
 def parallel_arrays(df: DataFrame, order: str, columns: list[str], rows: int = DOCUMENT_ROWS) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.missing import number, rounded
+from ..functions.geo import interleaved
+from ..functions.missing import finite, number, rounded
 from ..operators.points import keep_parsed
+from .lines import numbered
 
 # Positions of the mean columns in the sea-level budget sheet.
 BUDGET_COLUMNS = {
@@ -47,14 +49,14 @@ def read_budget_sheet(spark: SparkSession, path) -> DataFrame:
 def read_missions(spark: SparkSession, path) -> DataFrame:
     """Decimal year and the last non-blank mission column; any number of missions.
 
-    Comments, the header and rows without a value are skipped. ``position`` keeps the
-    order of the lines, since missions can share a time.
+    Comments, the header and rows without a value are skipped. ``position`` is the number
+    of the line over all files, since missions can share a time.
     """
-    lines = spark.read.text(path).filter(~F.col("value").startswith("#"))
+    lines = numbered(spark.read.text(path), "position").filter(~F.col("value").startswith("#"))
     fields = F.split("value", ",")
     filled = F.filter(F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(1))), lambda x: F.trim(x) != "")
     parsed = lines.select(
-        F.monotonically_increasing_id().alias("position"),
+        "position",
         rounded(number(F.get(fields, F.lit(0))), 3).alias("t"),
         rounded(number(F.try_element_at(filled, F.lit(-1))), 1).alias("v"),
     )
@@ -89,27 +91,59 @@ def read_rates(spark: SparkSession, path, key: str = "rgi_id", period: str = RAT
     return spark.read.parquet(path).filter(F.col("period") == period).select(key, "dhdt")
 
 
-def write_cube(field: DataFrame, path: str, dataset: str, time: str = "time", cell: tuple[str, ...] = ()) -> None:
+# How finely a cube's rows are put in order of place, and how many bytes a row group has.
+CLUSTER_BITS = 10
+ROW_GROUP_BYTES = 16 << 20
+
+
+def _share(c: str, low: float, high: float) -> Column:
+    """A number of CLUSTER_BITS bits for a coordinate; missing ones come first."""
+    steps = 1 << CLUSTER_BITS
+    place = F.floor((F.col(c) - F.lit(float(low))) / F.lit(float(high - low)) * steps).cast("long")
+    return F.when(finite(c), F.greatest(F.lit(0).cast("long"), F.least(F.lit(steps - 1).cast("long"), place))).otherwise(F.lit(0).cast("long"))
+
+
+def write_cube(
+    field: DataFrame, path: str, dataset: str, time: str = "time", cell: tuple[str, ...] = (),
+    place: tuple[str, str] | None = None, row_group: int = ROW_GROUP_BYTES,
+) -> None:
     """Field cells in long form, partitioned by dataset and year.
 
-    Rows are ranged by time and cell, so a crowded year spreads over files of similar
-    size and each file covers a short span of times. The written years of the dataset
-    replace what was there, so a rerun repeats no row; others stay.
+    With ``place``, the names of longitude and latitude, rows are ranged and sorted along a
+    space-filling curve over the globe and then by time, so a row group covers a small box
+    and a box skips most of them; else they are ranged by time and cell. Either way a crowded
+    year spreads over files of similar size. The written years of the dataset replace what
+    was there, so a rerun repeats no row; others stay.
     """
+    rows = field.withColumn("dataset", F.lit(dataset)).withColumn("year", F.year(time))
+    if place is None:
+        dealt = rows.repartitionByRange("year", time, *cell)
+    else:
+        curve = interleaved(_share(place[0], -180, 180), _share(place[1], -90, 90))
+        by = ["year", "_curve", time, *cell]
+        dealt = rows.withColumn("_curve", curve).repartitionByRange(*by).sortWithinPartitions(*by).drop("_curve")
     (
-        field.withColumn("dataset", F.lit(dataset))
-        .withColumn("year", F.year(time))
-        .repartitionByRange("year", time, *cell)
-        .write.mode("overwrite")
+        dealt.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("parquet.block.size", row_group)
         .partitionBy("dataset", "year")
         .parquet(path)
     )
 
 
-def read_cube(spark: SparkSession, path: str, dataset: str, years: tuple[int, int] | None = None) -> DataFrame:
-    """One dataset of a cube; years are a half-open range and prune partitions."""
+def read_cube(
+    spark: SparkSession, path: str, dataset: str, years: tuple[int, int] | None = None,
+    box: tuple[float, float, float, float] | None = None, place: tuple[str, str] = ("lon", "lat"),
+) -> DataFrame:
+    """One dataset of a cube. Years are a half-open range and prune partitions; ``box`` is
+    west, south, east, north, half-open too, and skips the row groups outside it. A box whose
+    west is above its east crosses the date line."""
     cube = spark.read.parquet(path).filter(F.col("dataset") == dataset)
     if years is not None:
         cube = cube.filter((F.col("year") >= years[0]) & (F.col("year") < years[1]))
+    if box is not None:
+        west, south, east, north = map(float, box)
+        lon, lat = map(F.col, place)
+        beside = ((lon >= west) & (lon < east)) if west <= east else ((lon >= west) | (lon < east))
+        cube = cube.filter(beside & (lat >= south) & (lat < north))
     return cube

@@ -20,7 +20,7 @@ def test_tiles(spark):
     lon, nan = F.lit(190.0), F.lit(float("nan"))
     assert one(spark, geo.tile_x(lon, 3), geo.geo_tile_x(lon, 3)) == one(spark, geo.tile_x(F.lit(-170.0), 3), geo.geo_tile_x(F.lit(-170.0), 3))
     assert one(spark, geo.geo_tile_x(F.lit(180.0), 3)) == (15,)
-    for missing in (null("double"), nan):
+    for missing in (null("double"), nan, F.lit(float("inf")), F.lit(float("-inf"))):
         got = one(
             spark, geo.tile_x(missing, 3), geo.tile_y(missing, 3), geo.geo_tile_x(missing, 3), geo.geo_tile_y(missing, 3),
             geo.pixel_x(missing, F.lit(0), 3), geo.pixel_y(missing, F.lit(0), 3),
@@ -29,14 +29,27 @@ def test_tiles(spark):
 
 
 def test_density_leaves_out_rows_without_a_place(spark):
-    df = spark.createDataFrame([(1, 10.0, 10.0), (1, None, 10.0), (1, 10.0, None), (1, 370.0, 10.0)], "k long, lon double, lat double")
+    inf = float("inf")
+    rows = [(1, 10.0, 10.0), (1, None, 10.0), (1, 10.0, None), (1, 370.0, 10.0), (1, inf, 10.0), (1, -inf, 10.0), (1, 10.0, inf), (1, 10.0, -inf), (1, inf - inf, 10.0)]
+    df = spark.createDataFrame(rows, "k long, lon double, lat double")
     assert [r["n"] for r in points.density(df, 4, ["k"]).collect()] == [2]
 
 
+def test_known_places_need_no_null_filter(spark):
+    """Clamps of known places are never null, so a join on them copies no formula into a filter."""
+    df = spark.createDataFrame([(10.0, 10.0), (float("nan"), 10.0)], "lon double, lat double")
+    known = geo.located(df).select(geo.tile_x("lon", 3, known=True).alias("x"), geo.pixel_x("lon", F.lit(0), 3, known=True).alias("px"))
+    assert [f.nullable for f in known.schema] == [False, False] and known.count() == 1
+    assert df.select(geo.tile_x("lon", 3).alias("x")).filter("x is null").count() == 1
+
+
 def test_colours(spark):
     hidden = (0, 0, 0, 0)
     got = one(spark, colour.ramp_colour("precip", null("double")), colour.delta_colour(null("double")), colour.delta_direction(null("double")))
     assert tuple(got[0]) == hidden and tuple(got[1])[3] == 0 and got[2] is None
+    for odd in (F.lit(float("nan")), F.lit(float("inf"))):
+        got = one(spark, colour.ramp_colour("precip", odd), colour.delta_colour(odd), colour.delta_direction(odd))
+        assert tuple(got[0]) == tuple(got[1]) == hidden and got[2] is None
 
 
 def test_dates(spark):

@@ -7,9 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from isopleth.functions import dates
+from isopleth.functions import dates, geo
 from isopleth.functions.geo import Grid
 from isopleth.operators import catalog, colormap, ensemble, grid, points, quality, rolling, series
+from isopleth.plans import joins
 
 D = dt.date
 WORLD = Grid(-180.0, -90.0, 180.0, 90.0, 36, 18)
@@ -273,6 +274,93 @@ def test_top_is_taken_after_incomplete_rows_are_dropped(spark):
     assert [r["id"] for r in second] == [2]
 
 
+def test_newest_rows_without_a_sort(spark, monkeypatch):
+    """Ties, missing times, ties and keys; hashed while the keys are few, else sorted, with one result."""
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [
+        ("a", t(1), 5, 1.0, "x"), ("a", t(3), 9, 2.0, "y"), ("a", t(3), 4, None, "z"), ("a", None, 1, 9.0, "n"), ("a", t(3), None, 8.0, "m"),
+        ("b", None, 7, 3.0, "x"), ("b", None, 6, 4.0, "y"), (None, t(2), 2, 5.0, "x"), (None, t(1), 1, 6.0, "y"), ("c", t(1), None, 7.0, None),
+    ]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id long, v double, s string")
+    want = {"a": (t(3), 4, None, "z"), "b": (None, 6, 4.0, "y"), None: (t(2), 2, 5.0, "x"), "c": (t(1), None, 7.0, None)}
+    got = points.newest_rows(df, ["k"], "ts", "id", ["id", "v", "s"])
+    assert {r["k"]: tuple(r)[1:] for r in got.collect()} == want
+    plan = points.newest_rows(df, ["k"], "ts", "id", ["id", "v"])._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "BroadcastHashJoin" in plan
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 2)
+    many = points.newest_rows(df, ["k"], "ts", "id", ["id", "v", "s"])
+    assert {r["k"]: tuple(r)[1:] for r in many.collect()} == want
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_latest_position_plan(spark):
+    df = spark.range(50).select((F.col("id") % 7).alias("pf"), F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("ts"), "id", F.rand(1).alias("lon"), F.rand(2).alias("lat"))
+    plan = points.latest_positions(df, "pf", "ts", "id", "lon", "lat")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "HashAggregate" in plan
+
+
+def test_pyramid_shuffles_the_finest_cells_once(spark, many_chunks):
+    """What is shuffled is the finest level and the few cells half way up."""
+    finest = spark.range(20_000).select(
+        (F.col("id") % 3).alias("taxon"), F.pmod(F.xxhash64("id"), F.lit(128)).alias("x"), F.pmod(F.hash("id"), F.lit(64)).cast("long").alias("y")
+    ).groupBy("taxon", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    finest = joins.settled(finest, "finest")
+    levels = points.pyramid(finest, 6, ["taxon"])
+    plan = levels._jdf.queryExecution().executedPlan().toString()
+    repartitions = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line]
+    others = [line for line in plan.splitlines() if " Exchange hashpartitioning" in line and "REPARTITION_BY_COL" not in line]
+    assert repartitions and all("_under" in line for line in repartitions) and len(others) == 1
+    half = levels.filter("z = 3").count()
+    assert finest.count() + half <= 1.4 * finest.count()
+    up = 3
+    want = finest.groupBy("taxon", F.shiftright("x", up).alias("x"), F.shiftright("y", up).alias("y")).agg(F.sum("n").alias("n"))
+    assert levels.filter(F.col("z") == 6 - up).select("taxon", "x", "y", "n").exceptAll(want).count() == 0
+    assert levels.filter("z = 0").agg(F.sum("n")).first()[0] == 20_000
+    only = points.pyramid(finest.limit(0), 0, ["taxon"])
+    assert only.columns == ["taxon", "z", "x", "y", "n"] and only.count() == 0
+
+
+def test_interleaved_keys(spark):
+    cells = spark.createDataFrame([(0, 0), (1, 0), (0, 1), (5, 9), (2**31 - 1, 2**30), (123456789, 987654321)], "x long, y long")
+    key = geo.interleaved("x", "y")
+    x, y = geo.cell_of("k")
+    got = cells.withColumn("k", key).select("*", x.alias("x2"), y.alias("y2"))
+    assert got.filter("x <> x2 OR y <> y2").count() == 0
+    assert [r["k"] for r in got.limit(4).collect()] == [0, 1, 2, 0b10010011]
+    up = cells.select((geo.interleaved(F.shiftright("x", 1), F.shiftright("y", 1)) == F.shiftright(key, 2)).alias("same"))
+    assert up.filter("NOT same").count() == 0
+
+
+@pytest.mark.parametrize("years", [0, 1])
+def test_dated_probes_against_brute_force(spark, years):
+    rng = random.Random(8)
+    start = D(2023, 2, 20)
+    obs = [(rng.randrange(4), start + dt.timedelta(days=rng.randrange(800)), rng.choice([None, float("nan"), rng.uniform(-5, 5), rng.uniform(-5, 5)])) for _ in range(900)]
+    asked = [(i, rng.choice([0, 1, 2, 3, 9, None]), rng.choice([None, D(2024, 2, 29), start + dt.timedelta(days=rng.randrange(900))])) for i in range(200)]
+    asked += [(500 + i, 1, D(2024, 3, 1)) for i in range(50)]
+    got = rolling.probe_dated(
+        spark.createDataFrame(asked, "id long, pix long, till date"), spark.createDataFrame(obs, "pix long, day date, v double"), ["pix"], "v", "till", 30, years
+    )
+
+    def window(pix, end):
+        inside = [v for p, d, v in obs if p == pix and v is not None and v == v and dt.timedelta(0) <= end - d < dt.timedelta(days=30)]
+        return (sum(inside) / len(inside) if inside else None), len(inside)
+
+    seen = {r["id"]: r for r in got.collect()}
+    assert len(seen) == len(asked)
+    for ident, pix, end in asked:
+        r = seen[ident]
+        if pix is None or end is None:
+            assert r["value"] is None and r["n"] is None
+            continue
+        value, n = window(pix, end)
+        assert r["n"] == n and r["value"] == (None if value is None else pytest.approx(value, abs=1e-9))
+        if years:
+            past, n_past = window(pix, D(end.year - 1, end.month, 28 if (end.month, end.day) == (2, 29) else end.day))
+            assert r["n_past"] == n_past
+            assert r["delta"] == (None if value is None or past is None else pytest.approx(value - past, abs=1e-9))
+
+
 def test_pyramid_levels_agree(obs):
     at = obs.withColumn("taxon", F.lit(1)).filter(F.abs("lon") <= 180)
     finest = points.density(at, 5, ["taxon"])

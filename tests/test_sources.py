@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from isopleth.functions.geo import Grid
 from isopleth.operators import colormap, grid
 from isopleth.sources import documents, raster, sinks, tables
+from isopleth.sources.lines import numbered
 
 D = dt.date
 
@@ -225,15 +226,110 @@ def test_tiles_to_values(spark, tmp_path):
     ]
 
 
+def test_tiles_in_compiled_code(spark, tmp_path):
+    """All byte values, with and without alpha; the pixels are cut inside whole-stage code."""
+    (tmp_path / "t").mkdir()
+    pixels = [((7 * i) % 256, (11 * i + 1) % 256, (13 * i + 2) % 256, (17 * i + 3) % 256) for i in range(40 * 30)]
+    (tmp_path / "t" / "a.png").write_bytes(png(40, 30, pixels))
+    df = raster.read_tiles(spark, str(tmp_path / "t"))
+    got = {(r["px"], r["py"]): (r["r"], r["g"], r["b"], r["a"]) for r in df.collect()}
+    assert got == {(i % 40, i // 40): p for i, p in enumerate(pixels)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "*(1) Generate explode(sequence" in plan
+
+
 def test_snapshot(spark, tmp_path):
     path = str(tmp_path / "snap")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_snapshot(spark, path)
     sinks.write_snapshot(spark.range(3), path, "2024-01-30", units="mm", source="s")
     data, meta = sinks.read_snapshot(spark, path)
     assert data.count() == 3 and meta.first().asDict() == {"snapshot": "2024-01-30", "units": "mm", "source": "s"}
 
 
-def test_small_results_as_arrays(spark):
-    df = spark.createDataFrame([(2, 1.5, "b"), (1, None, "a")], "o int, v double, n string")
-    assert tuple(sinks.parallel_arrays(df, "o", ["v", "n"]).first()) == ([None, 1.5], ["a", "b"])
-    with pytest.raises(ValueError):
-        sinks.parallel_arrays(spark.range(5).withColumnRenamed("id", "o"), "o", ["o"], rows=4)
+def test_a_write_that_dies_leaves_the_old_snapshot(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "snap")
+    sinks.write_snapshot(spark.range(3), path, "2024-01-30")
+    read = lambda: (lambda data, meta: (data.count(), meta.first()["snapshot"]))(*sinks.read_snapshot(spark, path))
+    # Between data and envelope.
+    with pytest.raises(Exception, match="no_such_column"):
+        sinks.write_snapshot(spark.range(5).withColumn("x", F.expr("raise_error('no_such_column')")), path, "2024-01-31")
+    assert read() == (3, "2024-01-30")
+    # Between envelope and manifest.
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "replace_text", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            sinks.write_snapshot(spark.range(6), path, "2024-02-01")
+    assert read() == (3, "2024-01-30")
+    # A reader of the version before goes on; the one before that and the dead ones are gone.
+    reader, _ = sinks.read_snapshot(spark, path)
+    sinks.write_snapshot(spark.range(7), path, "2024-02-02")
+    assert read() == (7, "2024-02-02") and reader.count() == 3
+    sinks.write_snapshot(spark.range(8), path, "2024-02-03")
+    assert read() == (8, "2024-02-03") and len(list((tmp_path / "snap" / "versions").iterdir())) == 2
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "64b", "spark.sql.files.openCostInBytes": "0b", "spark.sql.files.minPartitionNum": "20"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k in keys:
+        spark.conf.unset(k)
+
+
+def test_line_numbers_over_files_and_splits(spark, tmp_path, tiny_splits):
+    files = {"b.txt": [f"b{i}-" + "x" * (i % 23) for i in range(60)], "a.txt": [f"a{i}" for i in range(31)], "c.txt": []}
+    for name, lines in files.items():
+        (tmp_path / name).write_text("\n".join(lines) + ("\n" if lines else ""))
+    want = dict(enumerate(files["a.txt"] + files["b.txt"]))
+    for order in (["a.txt", "b.txt", "c.txt"], ["c.txt", "b.txt", "a.txt"]):
+        scan = spark.read.text([str(tmp_path / n) for n in order])
+        assert scan.rdd.getNumPartitions() > 3
+        got = numbered(scan, "n")
+        assert {r["n"]: r["value"] for r in got.collect()} == want and got.columns == ["value", "n"]
+
+
+def test_missions_of_two_files_keep_their_order(spark, tmp_path, tiny_splits):
+    (tmp_path / "1.csv").write_text("# note\nyear,A,B\n" + "".join(f"1993.0,{i},\n" for i in range(40)))
+    (tmp_path / "2.csv").write_text("".join(f"1993.0,,{100 + i}\n" for i in range(40)))
+    paths = [str(tmp_path / "1.csv"), str(tmp_path / "2.csv")]
+    first, second = (tables.read_missions(spark, p).orderBy("position").collect() for p in (paths, paths[::-1]))
+    assert first == second and [r["v"] for r in first] == [*map(float, range(40)), *map(float, range(100, 140))]
+    assert first[0]["position"] == 2
+
+
+def test_colormap_ties_go_by_the_place_in_the_file(spark, tmp_path, tiny_splits):
+    entry = '<ColorMapEntry rgb="1,2,3" transparent="false" value="[{},{})" />'
+    body = "\n".join(entry.format(0, i) for i in range(1, 40))
+    put(tmp_path, "m.xml", f"<ColorMaps><ColorMap><Entries>\n{body}\n</Entries></ColorMap></ColorMaps>")
+    rows = raster.read_colormaps(spark, str(tmp_path / "m.xml")).orderBy("pos").collect()
+    assert [r["hi"] for r in rows] == [float(i) for i in range(1, 40)] and [r["pos"] for r in rows] == list(range(39))
+
+
+def test_a_box_of_a_cube_skips_row_groups(spark, tmp_path):
+    """A 10-degree box over a year reads less than a tenth of the row groups."""
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "cube")
+    field = spark.range(90 * 180 * 24).select(
+        F.expr("make_date(2001, 1 + CAST(id DIV 16200 AS INT) % 12, 1 + 14 * CAST(id DIV 194400 AS INT))").alias("time"),
+        (F.col("id") % 180 * 2 - 179).cast("double").alias("lon"), (F.expr("id DIV 180") % 90 * 2 - 89).cast("double").alias("lat"), F.rand(3).alias("v"),
+    )
+    tables.write_cube(field, path, "sst", place=("lon", "lat"), row_group=64 << 10)
+    groups = hit = 0
+    for file in tmp_path.rglob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        at = {meta.schema.column(c).name: c for c in range(meta.num_columns)}
+        for i in range(meta.num_row_groups):
+            span = {n: meta.row_group(i).column(at[n]).statistics for n in ("lon", "lat")}
+            groups += 1
+            hit += span["lon"].max >= 10 and span["lon"].min < 20 and span["lat"].max >= 40 and span["lat"].min < 50
+    assert groups > 60 and hit < groups / 10
+    got = tables.read_cube(spark, path, "sst", (2001, 2002), (10, 40, 20, 50))
+    assert got.count() == 5 * 5 * 24 and "PushedFilters" in got._jdf.queryExecution().toString()
+    assert tables.read_cube(spark, path, "sst", box=(170, -10, -170, 10)).select("lon").distinct().count() == 10
+    odd = spark.createDataFrame([(D(2001, 1, 1), None, float("nan")), (D(2001, 1, 1), float("inf"), 95.0)], "time date, lon double, lat double")
+    tables.write_cube(odd, path, "odd", place=("lon", "lat"))
+    assert tables.read_cube(spark, path, "odd").count() == 2
