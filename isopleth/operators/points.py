@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.geo import cell_of, geo_tile_x, geo_tile_y, interleaved, located
 from ..functions.missing import col, finite, nan_to_null, rounded
-from ..plans.joins import lookup_join, settled, within
+from ..plans.joins import lookup_join, within
 from ..plans.ordered import ordered, row_numbers
 
 TONNES_PER_MEGATONNE = 1e6
@@ -31,13 +31,13 @@ def latest_per_key(df: DataFrame, keys: list[str], time: str, tiebreak: str, kee
 def newest_rows(df: DataFrame, keys: list[str], time: str, tiebreak: str, keep: list[str]) -> DataFrame:
     """The rows of ``latest_per_key`` from hash aggregates, which neither sort nor spill rows.
 
-    The newest time of every key is found first, on two columns, and written. While there are
-    few enough keys to broadcast it picks the rows out of the table, one or a few per key, and
-    only those are compared by ``tiebreak``. More keys take the one sorted aggregate. Runs a job.
+    While there are few enough keys to broadcast, the newest time of each, found on two columns,
+    picks the rows out of the table, one or a few per key, and only those are compared by
+    ``tiebreak``. More keys take the one sorted aggregate. Runs a job that counts the keys.
     """
-    last = settled(df.groupBy(*keys).agg(F.max(time).alias("_newest")), "newest")
-    if not within(last):
+    if not within(df.select(*keys).distinct()):
         return latest_per_key(df, keys, time, tiebreak, keep)
+    last = df.groupBy(*keys).agg(F.max(time).alias("_newest"))
     named = last.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_newest")
     same = [col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)] + [col(time).eqNullSafe(F.col("_newest"))]
     rows = df.join(F.broadcast(named), reduce(lambda a, b: a & b, same))
