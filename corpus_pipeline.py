@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isopleth.llm import decontaminate, jaccard, line_dedup, toxicity
-from isopleth.llm.base import held, learnable, own, row_key
+from isopleth.llm.base import BLANKS, held, learnable, own, row_key
 from isopleth.llm.queries import encoded, table
 
 
@@ -24,9 +24,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has go; every document stays, with its new length."""
+    """Lines that an earlier document has go, and each text has its new length.
+
+    A document that this leaves without anything but white space had no line of its own: it is
+    a copy of earlier documents, whole or in parts, and goes too, as the stages behind it could
+    only see an empty text. Documents without text to begin with stay.
+    """
     kept, changed = own(docs, "kept"), F.col("n_dropped") > 0
     out = line_dedup.drop_repeated_lines(docs, "doc_id", "text", kept)
+    out = out.filter(~(changed & (F.translate(kept, BLANKS, "") == "")))
     length = F.length(kept).cast(docs.schema["n_chars"].dataType)
     out = out.withColumns({"text": F.when(changed, F.col(kept)).otherwise(F.col("text")), "n_chars": F.when(changed, length).otherwise(F.col("n_chars"))})
     return out.select(*docs.columns)
