@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,15 @@ def held(df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame, s
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+#: Rows of an Arrow batch whose texts are Python objects at the same time.
+SLICE = 512
+
+
+def sliced(batch, rows: int = SLICE):
+    """An Arrow batch or array cut into parts, so a task holds few texts twice."""
+    return (batch.slice(start, rows) for start in range(0, len(batch) if isinstance(batch, pa.Array) else batch.num_rows, rows))
+
+
 def row_key(doc_id: str, text: str) -> Column:
     """A 64-bit digest of a row's id and text that tells missing ones from any value."""
     ident, body = F.col(doc_id).cast("long"), F.col(text).cast("string")

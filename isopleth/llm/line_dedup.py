@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .base import BLANKS, held, own
+from .base import BLANKS, held, own, sliced
 
 MIN_POINTS = 10
 BITS_PER_LINE = 16
@@ -69,7 +69,7 @@ def twice_filter(lines: DataFrame, bits: int, points: int) -> np.ndarray:
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # A row's own repeats count once.
-            rows = [probes(distinct_keys(t, points), bits) for t in batch.column(0).to_pylist()]
+            rows = [probes(distinct_keys(t, points), bits) for part in sliced(batch) for t in part.column(0).to_pylist()]
             # Several keys of a row may share a bit; they are marked as often as they occur.
             flat = np.sort(np.concatenate([r.ravel() for r in rows])) if rows else np.empty(0, np.uint64)
             if not len(flat):
@@ -141,7 +141,7 @@ def drop_repeated_lines(
     shared = spark.sparkContext.broadcast(twice_filter(lines, filter_bits(n_lines or 0), min_points))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             ids, marks, keys = [], [], []
             for ident, mark, body in zip(*(c.to_pylist() for c in batch.columns)):
                 mine = distinct_keys(body, min_points)
@@ -167,12 +167,16 @@ def drop_repeated_lines(
 
     @F.arrow_udf("struct<kept: string, n_lines: long, n_dropped: long>")
     def without(texts: pa.Array, losts: pa.Array) -> pa.Array:
-        rows = []
-        for body, lose in zip(texts.to_pylist(), losts.to_pylist()):
-            parts, lose = (body or "").split("\n"), set(lose or ())
-            stay = [p for p, k in zip(parts, line_keys(body)) if k not in lose] if lose else parts
-            rows.append({"kept": "\n".join(stay), "n_lines": len(parts), "n_dropped": len(parts) - len(stay)})
-        return pa.array(rows, pa.struct([("kept", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())]))
+        kind = pa.struct([("kept", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
+        made = []
+        for some, gone in zip(sliced(texts), sliced(losts)):
+            rows = []
+            for body, lose in zip(some.to_pylist(), gone.to_pylist()):
+                parts, lose = (body or "").split("\n"), set(lose or ())
+                stay = [p for p, k in zip(parts, line_keys(body)) if k not in lose] if lose else parts
+                rows.append({"kept": "\n".join(stay), "n_lines": len(parts), "n_dropped": len(parts) - len(stay)})
+            made.append(pa.array(rows, kind))
+        return pa.concat_arrays(made) if made else pa.array([], kind)
 
     joined = joined.withColumn(made, without(F.col(text).cast("string"), F.col(gone)))
     return joined.select(

@@ -1,13 +1,13 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 A token's score is its log-odds between the two labels, in documents, under Dirichlet
-priors proportional to how many of all documents have it. Rare words fall back to their
-first letters. Where the odds aren't significant the score is nothing, and a small drift
-is taken from every token. A linear-time scan finds all maximal-scoring segments of a
+priors proportional to how many of all documents have it, drawn towards nothing by what is
+uncertain about it. It has either sign. Rare words fall back to their first letters, and a
+drift is taken from every token. A linear-time scan finds all maximal-scoring segments of a
 text. Segments are judged by the extreme-value law of such scores (scale from the
 distribution of scores in clean rows, location from their best segments), several
 together by the law of their sum, and the resulting evidence is mapped to a probability
-on the labelled sample.
+on the labelled sample, each row of which is scored by weights learnt from the others.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .base import dropped, held, own
+from .base import dropped, held, own, sliced
 
 #: At most so many labelled rows, by order of a hash of their id, are learnt from.
 SAMPLE_ROWS = 20_000
@@ -34,14 +34,16 @@ FEATURES = 20_000
 KIN = 4
 #: Letters of the beginnings that rare words fall back to, longest first.
 STEMS = (6, 4)
-#: Weight of the prior against the labelled rows of a class.
-PRIOR = 0.1
-#: Features whose log-odds are below this, or below so many standard errors, say nothing:
-#: a language or topic with more toxic rows than others must not speak for itself.
-LEAST_ODDS = 2.5
-LEAST_Z = 3.0
-#: Taken from every token, so that segments end where nothing speaks for them.
-DRIFT = 0.25
+#: Documents that the prior of either class stands for.
+PRIOR = 100.0
+#: Standard errors by which log-odds are drawn towards 0: a language or topic with more
+#: toxic rows than others must not speak for itself.
+SHRINK = 1.0
+#: Taken from every token, so that segments end where nothing speaks for them. These three were
+#: chosen by five-fold cross-validation inside the rows one may learn from.
+DRIFT = 1.0
+#: Parts of the sample; a row's evidence, to calibrate on, comes from weights of the others.
+PARTS = 3
 #: A passage is reported if its expected number in clean text of this length is below.
 SIGNIFICANT = 0.05
 THRESHOLD = 0.7
@@ -50,8 +52,8 @@ WORD = re.compile(r"\w+")
 _CACHE = 200_000
 # Odd factors, as multiplying by one orders 64-bit hashes anew.
 _ORDERS = np.array([xxh3_64_intdigest(bytes([k])) | 1 for k in range(KIN)], dtype=np.uint64)
-#: Positive scores are counted by tenths, up to the last bin.
-_BINS = 160
+#: Scores are counted in steps of _STEP from _LOW on; those outside fall into the end bins.
+_STEP, _LOW, _BINS = 0.05, -8.0, 480
 
 
 def features(word: str) -> list[str]:
@@ -75,7 +77,7 @@ class Scores(dict):
         if len(self) >= _CACHE:
             self.clear()
         known = (self.weights[f] for f in features(word) if f in self.weights)
-        score = self[word] = max(next(known, 0.0), 0.0) - DRIFT
+        score = self[word] = next(known, 0.0) - DRIFT
         return score
 
     def of(self, text: str | None) -> np.ndarray:
@@ -93,16 +95,12 @@ class Model:
     chance: list[float]
 
 
-def segments(positions: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first, last, score), in order, in linear time.
-
-    ``positions`` are the tokens with positive scores; every other token scores ``-drift``.
-    """
+def segments(values: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments (first, last, score), in order, in linear time."""
     first, last, left, right, before = [], [], [], [], []
-    total, at = 0.0, 0
-    for p, s in zip(positions, scores):
-        total -= drift * (p - at)
-        lo, lo_at, total, at = total, p, total + s, p + 1
+    sums = np.concatenate(([0.0], np.cumsum(values))).tolist()
+    for p in np.flatnonzero(values > 0).tolist():
+        lo, lo_at, total = sums[p], p, sums[p + 1]
         while True:
             j = len(left) - 1
             while j >= 0 and left[j] >= lo:
@@ -134,8 +132,7 @@ def evidence(found: list[tuple[int, int, float]], n_tokens: int, scale: float, l
 
 def _read(text: str | None, scores: Scores, model: Model):
     values = scores.of(text)
-    at = np.flatnonzero(values > 0)
-    found = segments(at.tolist(), values[at].tolist(), DRIFT) if len(at) else []
+    found = segments(values)
     return values, found, evidence(found, len(values), model.scale, model.location)
 
 
@@ -147,18 +144,21 @@ def sampled(labels: DataFrame, doc_id: str, label: str, rows: int) -> DataFrame:
 
 def _log_odds(n: np.ndarray, pos: np.ndarray, neg: np.ndarray, rows: tuple[int, int, int]) -> np.ndarray:
     """Of documents with a feature; ``rows`` are all, positive and negative documents."""
-    share = (n + 0.5) / (rows[0] + 1)
-    a, b = PRIOR * rows[1] * share, PRIOR * rows[2] * share
-    p, q = (pos + a) / (rows[1] * (1 + PRIOR)), (neg + b) / (rows[2] * (1 + PRIOR))
+    prior = PRIOR * (n + 0.5) / (rows[0] + 1)
+    p, q = (pos + prior) / (rows[1] + PRIOR), (neg + prior) / (rows[2] + PRIOR)
     odds = np.log(p / np.maximum(1 - p, 1e-6)) - np.log(q / np.maximum(1 - q, 1e-6))
-    least = np.maximum(LEAST_ODDS, LEAST_Z * np.sqrt(1 / (pos + a) + 1 / (neg + b)))
-    return np.where(np.abs(odds) >= least, odds, 0.0)
+    doubt = SHRINK * np.sqrt(1 / (pos + prior) + 1 / (neg + prior))
+    return np.sign(odds) * np.maximum(np.abs(odds) - doubt, 0.0)
+
 
+def _binned(values: np.ndarray) -> np.ndarray:
+    return np.bincount(np.clip(np.round((values - _LOW) / _STEP), 0, _BINS - 1).astype(int), minlength=_BINS)
 
-def _scale(counts: np.ndarray, tokens: float) -> float:
+
+def _scale(counts: np.ndarray) -> float:
     """The positive root of sum(share * exp(root * score)) = 1 over binned scores."""
-    scores, share = np.arange(_BINS) / 10, counts / tokens
-    total = lambda x: float((share * np.exp(x * scores)).sum()) + (1 - share.sum()) * math.exp(-x * DRIFT)
+    scores, share = _LOW + np.arange(_BINS) * _STEP, counts / max(1.0, counts.sum())
+    total = lambda x: float((share * np.exp(x * scores)).sum())
     low, high = 1e-6, 1.0
     while total(high) < 1 and high < 16:
         high *= 2
@@ -200,7 +200,7 @@ def kinship(text: str | None) -> bytes:
 
 def _kinship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kin = pa.array([kinship(body) for body in batch["text"].to_pylist()], pa.binary())
+        kin = pa.array([kinship(body) for part in sliced(batch) for body in part["text"].to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], batch["same"], kin], ["id", "y", "same", "kin"])
 
 
@@ -218,7 +218,8 @@ def fit(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: st
     kin = rows.join(sample, "id").select("id", "y", F.xxhash64("text").alias("same"), "text").mapInArrow(_kinship, "id long, y int, same long, kin binary")
     first = F.min(F.struct((-F.col("y")).alias("not_y"), "id", "same")).alias("r")
     # Rows repeating an id could be many; as many as were sampled are enough.
-    chosen = kin.groupBy("kin").agg(first).select("r.id", "r.same", (-F.col("r.not_y")).alias("y")).limit(sample_rows)
+    chosen = kin.groupBy("kin").agg(first).select("r.id", "r.same", (-F.col("r.not_y")).alias("y"))
+    chosen = chosen.orderBy(F.xxhash64("id", "same"), "id", "same").limit(sample_rows)
     told = {(r["id"], r["same"]): r["y"] for r in chosen.collect()}
     n_rows = (sum(told.values()), len(told) - sum(told.values()))
     if 0 in n_rows:
@@ -226,22 +227,28 @@ def fit(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: st
     spark = docs.sparkSession
     picked = spark.createDataFrame([(i, h, y) for (i, h), y in told.items()], "id long, same long, y int")
     learnt = rows.withColumn("same", F.xxhash64("text")).join(F.broadcast(picked), ["id", "same"])
+    part = F.pmod(F.hash("id", "same"), F.lit(PARTS)).cast("int").alias("part")
     # Only the sample's texts are dealt out by key, and a row repeated whole goes once.
-    learnt, learnt_path = held(learnt.dropDuplicates(["id", "same"]).select("text", "y"), "learnt")
+    learnt, learnt_path = held(learnt.dropDuplicates(["id", "same"]).select("text", "y", part), "learnt")
+    sizes = {(r["part"], r["y"]): r["count"] for r in learnt.groupBy("part", "y").count().collect()}
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = (Counter(), Counter())
-            for body, y in zip(*(c.to_pylist() for c in batch.columns)):
-                counts[y].update(found_in(body))
-            names = list(counts[0].keys() | counts[1].keys())
+            counts = [Counter() for _ in range(2 * PARTS)]
+            for some in sliced(batch):
+                for body, y, at in zip(*(c.to_pylist() for c in some.columns)):
+                    counts[2 * at + y].update(found_in(body))
+            names = list(set().union(*counts))
             numbers = [pa.array([c[f] for f in names], pa.int64()) for c in counts]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *numbers], ["feature", "neg", "pos"])
-
-    sums = learnt.mapInArrow(tell, "feature string, neg long, pos long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    both = (F.col("pos") + F.col("neg")) / sum(n_rows)
-    z = (F.col("pos") / n_rows[0] - F.col("neg") / n_rows[1]) / F.sqrt(both * (1 - both + 1e-9) * (1 / n_rows[0] + 1 / n_rows[1]))
-    some = sums.filter(F.abs(z) >= LEAST_Z * 0.7).orderBy(F.abs(z).desc(), "feature").limit(FEATURES).toArrow().to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *numbers], ["feature", *classes])
+
+    # How many rows of each part have a feature, with label 0 and with label 1.
+    classes = [f"{y}{at}" for at in range(PARTS) for y in ("neg", "pos")]
+    sums = learnt.mapInArrow(tell, ", ".join(["feature string", *[f"{c} long" for c in classes]])).groupBy("feature").agg(*[F.sum(c).alias(c) for c in classes])
+    pos, neg = (sum(F.col(f"{y}{at}") for at in range(PARTS)) for y in ("pos", "neg"))
+    both = (pos + neg) / sum(n_rows)
+    z = (pos / n_rows[0] - neg / n_rows[1]) / F.sqrt(both * (1 - both + 1e-9) * (1 / n_rows[0] + 1 / n_rows[1]))
+    some = sums.orderBy(F.abs(z).desc(), "feature").limit(FEATURES).toArrow().to_pylist()
     names = spark.sparkContext.broadcast([r["feature"] for r in some])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +256,7 @@ def fit(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: st
         lists: dict[str, list[int]] = {}
         n, total = np.zeros(len(place), dtype=np.int64), 0
         for batch in batches:
-            for body in batch.column(0).to_pylist():
+            for body in (b for part in sliced(batch) for b in part.column(0).to_pylist()):
                 total += 1
                 seen = set()
                 for w in set(WORD.findall((body or "").lower())):
@@ -267,41 +274,53 @@ def fit(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: st
     counted = rows.select("text").mapInArrow(spread, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     everywhere = dict(zip(counted["place"].to_pylist(), counted["n"].to_pylist()))
     n = np.array([everywhere.get(k, 0) for k in range(len(some))], dtype=np.float64)
-    pos, neg = (np.array([r[c] for r in some], dtype=np.float64) for c in ("pos", "neg"))
-    odds = _log_odds(n, pos, neg, (everywhere.get(-1, 0), *n_rows))
-    # Features that don't say anything stay: a common word needn't fall back to its beginning.
-    model = Model({r["feature"]: float(o) for r, o in zip(some, odds)}, 1.0, 0.0, [0.0], [0.0])
-    weights = spark.sparkContext.broadcast(model.weights)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores, plain = Scores(weights.value), Model({}, 1.0, 0.0, [0.0], [0.0])
+    counts = np.array([[r[c] for c in classes] for r in some], dtype=np.float64).reshape(-1, PARTS, 2)
+    groups = np.array([[sizes.get((at, y), 0) for y in (0, 1)] for at in range(PARTS)])
+
+    def learnt_from(without: int | None) -> dict[str, float]:
+        """Weights by all parts of the sample but one. Features that don't say anything
+        stay: a common word needn't fall back to its beginning."""
+        here = [at for at in range(PARTS) if at != without]
+        (neg, pos), (n_neg, n_pos) = counts[:, here].sum(axis=1).T, groups[here].sum(axis=0)
+        odds = _log_odds(n, pos, neg, (everywhere.get(-1, 0), n_pos, n_neg))
+        return {r["feature"]: float(o) for r, o in zip(some, odds)}
+
+    model = Model(learnt_from(None), 1.0, 0.0, [0.0], [0.0])
+    apart = spark.sparkContext.broadcast([learnt_from(at) for at in range(PARTS)])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of clean rows: tokens, best segment, and all scores in bins."""
+        scores = [Scores(w) for w in apart.value]
+        bins, sizes, tops = np.zeros(_BINS, np.int64), [], []
         for batch in batches:
-            out = []
-            for body, y in zip(*(c.to_pylist() for c in batch.columns)):
-                values, found, _ = _read(body, scores, plain)
-                bins = np.bincount(np.minimum(values[values > 0] * 10, _BINS - 1).astype(int), minlength=_BINS)
-                # Enough for the law of sums of a few segments.
-                out.append((y, len(values), sorted((s for _, _, s in found), reverse=True)[:64], bins.astype(np.int32).tobytes()))
-            if out:
-                y, size, tops, bins = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(y, pa.int32()), pa.array(size, pa.int64()), pa.array(tops, pa.list_(pa.float64())), pa.array(bins, pa.binary())],
-                    ["y", "n", "tops", "bins"],
-                )
-
-    seen = learnt.mapInArrow(best, "y int, n long, tops array<double>, bins binary").limit(sample_rows).toArrow().to_pylist()
-    dropped(learnt, learnt_path)
-    clean = [r for r in seen if not r["y"] and r["n"]]
-    bins = sum((np.frombuffer(r["bins"], np.int32).astype(np.float64) for r in clean), np.zeros(_BINS))
-    toxic = sum((np.frombuffer(r["bins"], np.int32).astype(np.float64) for r in seen if r["y"]), np.zeros(_BINS))
-    # As the weights were learnt from these rows, they look cleaner than others would.
-    bins += PRIOR * toxic / max(1.0, toxic.sum()) * max(1, len(clean))
-    model.scale = _scale(bins, max(1.0, float(sum(r["n"] for r in clean))) + bins.sum())
-    normal = [model.scale * max(r["tops"], default=0.0) - math.log(r["n"]) for r in clean]
+            for body, at in ((b, k) for part in sliced(batch) for b, k in zip(part["text"].to_pylist(), part["part"].to_pylist())):
+                values = scores[at].of(body)
+                if len(values):
+                    bins += _binned(values)
+                    sizes.append(len(values))
+                    tops.append(max((s for *_, s in segments(values)), default=0.0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([bins.tobytes()], pa.binary()), pa.array([sizes], pa.list_(pa.int64())), pa.array([tops], pa.list_(pa.float64()))], ["bins", "n", "top"]
+        )
+
+    clean = learnt.filter("y = 0").mapInArrow(measure, "bins binary, n array<long>, top array<double>").toArrow().to_pylist()
+    model.scale = _scale(sum((np.frombuffer(r["bins"], np.int64) for r in clean), np.zeros(_BINS, np.int64)).astype(np.float64))
+    normal = [model.scale * top - math.log(size) for r in clean for top, size in zip(r["top"], r["n"])]
     # The mean of the extreme-value law lies Euler's constant above its location.
     model.location = (float(np.mean(normal)) if normal else 0.0) - 0.5772
-    x = np.array([math.log1p(evidence([(0, 0, s) for s in r["tops"]], r["n"], model.scale, model.location)) for r in seen])
-    model.at, model.chance = _calibrated(x, np.array([r["y"] for r in seen], dtype=float))
+    law = (model.scale, model.location)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = [Scores(w) for w in apart.value]
+        for batch in batches:
+            for part in sliced(batch):
+                values = [scores[at].of(body) for body, at in zip(part["text"].to_pylist(), part["part"].to_pylist())]
+                weights = [evidence(segments(v), len(v), *law) for v in values]
+                yield pa.RecordBatch.from_arrays([part["y"], pa.array(weights, pa.float64())], ["y", "weight"])
+
+    seen = learnt.mapInArrow(weigh, "y int, weight double").orderBy("weight", "y").toArrow()
+    dropped(learnt, learnt_path)
+    model.at, model.chance = _calibrated(np.log1p(seen["weight"].to_numpy()), seen["y"].to_numpy().astype(float))
     return model
 
 
@@ -319,13 +338,16 @@ def score(docs: DataFrame, text: str, model: Model, name: str = "toxicity") -> D
         m = Model(**shared.value)
         scores = Scores(m.weights)
         for batch in batches:
-            rows = []
-            for body in batch.to_pylist():
-                values, found, weight = _read(body, scores, m)
-                space = m.location + math.log(max(len(values), 1))
-                strong = [f for f in found if m.scale * f[2] - space > -math.log(SIGNIFICANT)]
-                rows.append({"score": probability(weight, m), "passages": _spans(body, strong)})
-            yield pa.array(rows, kind)
+            made = [pa.array([], kind)]
+            for part in sliced(batch):
+                rows = []
+                for body in part.to_pylist():
+                    values, found, weight = _read(body, scores, m)
+                    space = m.location + math.log(max(len(values), 1))
+                    strong = [f for f in found if m.scale * f[2] - space > -math.log(SIGNIFICANT)]
+                    rows.append({"score": probability(weight, m), "passages": _spans(body, strong)})
+                made.append(pa.array(rows, kind))
+            yield pa.concat_arrays(made)
 
     made = own(docs, "made")
     out = docs.drop(name, f"{name}_passages").withColumn(made, run(F.col(text).cast("string")))

@@ -270,8 +270,8 @@ def test_merkle_audit_of_places_taken_more_than_once(spark):
 def test_segments_against_definition():
     rng = random.Random(2)
     for _ in range(200):
-        values = [rng.choice([2.0, 0.7, -0.25, -0.25, -0.25]) for _ in range(rng.randrange(1, 14))]
-        at = [i for i, v in enumerate(values) if v > 0]
+        # Binary fractions, so that sums are exact and ties are ties; negative tokens of any weight.
+        values = [rng.choice([2.0, 0.75, 0.0, -0.25, -0.25, -1.5, rng.randrange(-64, 32) / 16]) for _ in range(rng.randrange(14))]
 
         def best(lo, hi):  # the recursion that defines all maximal segments
             sums = [(sum(values[a:b]), -(b - a), -a, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)]
@@ -280,7 +280,7 @@ def test_segments_against_definition():
             _, _, _, a, b = max(sums)
             return best(lo, a) + [(a, b - 1)] + best(b, hi)
 
-        got = toxicity.segments(at, [values[i] for i in at], 0.25)
+        got = toxicity.segments(np.array(values))
         assert [(a, b) for a, b, _ in got] == best(0, len(values))
 
 
@@ -395,6 +395,16 @@ def test_quality_marks_the_surest_of_all_rows(spark):
     assert 306 not in high
 
 
+def test_documents_that_line_dedup_empties_go(spark, docs):
+    import corpus_pipeline
+
+    one, two = "a line that is long enough", "another line that is long"
+    rows = [(1, f"{one}\n{two}"), (2, f"{one}\n{two}"), (3, f"{two}\n \n{one}\t"), (4, f"{one}\nx"), (5, f"{two}\nand one of its own"), (6, None), (7, ""), (8, " \n")]
+    left = corpus_pipeline.drop_shared_lines(spark, docs(rows), "").collect()
+    assert {r.doc_id: r.text for r in left} == {1: rows[0][1], 4: "x", 5: "and one of its own", 6: None, 7: "", 8: " \n"}
+    assert {r.doc_id: r.n_chars for r in left if r.n_chars is not None} == {4: 1, 5: 18}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
