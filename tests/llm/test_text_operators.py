@@ -41,16 +41,25 @@ def test_pieces_odd_rows(spark, docs):
     assert pieces.encode(docs([]), "text", "ids", MODEL).count() == 0
 
 
-def test_trie_against_a_dictionary_and_spills():
+@pytest.mark.parametrize("shared", [b"", b"p" * 5000])
+def test_trie_against_a_dictionary_and_spills(shared):
+    """Also texts that begin alike for long: one label holds that, and spills go by what lies behind it."""
     rng = random.Random(3)
-    keys = [bytes(rng.choices(b"abc", k=rng.randrange(12))) for _ in range(3000)]
-    want = {}
-    for limit in (1 << 30, 2_000):
-        trie, want = exact_dedup.SpillingTrie(limit), {}
+    keys = [shared + bytes(rng.choices(b"abc", k=rng.randrange(12))) for _ in range(3000)]
+    for limit in (None, 1 << 30, 20_000, 300):
+        trie, want = exact_dedup.Trie(limit), {}
         for i, k in enumerate(keys):
             trie.insert(k, (1, -(i % 7), i))
             want[k] = exact_dedup._merged(want[k], (1, -(i % 7), i)) if k in want else (1, -(i % 7), i)
-        assert bool(trie.files) == (limit < 10_000)
+            if limit == 20_000:
+                assert trie.root.weight <= limit and trie.files < 40
+        assert (trie.files > 0) == (limit is not None and limit < 1 << 30)
+        if limit is None and shared:
+            (only,) = trie.root.kids.values()
+            assert only.label == shared and len(only.kids) == 3
+            # All weights add up.
+            total = lambda n: (len(n.label) + exact_dedup._NODE_BYTES) * (n is not trie.root) + sum(map(total, (n.kids or {}).values()))
+            assert trie.root.weight == total(trie.root)
         got = list(trie.items())
         assert len(got) == len(want) and dict(got) == want
 
