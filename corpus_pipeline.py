@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isopleth.llm import decontaminate, jaccard, line_dedup, toxicity
-from isopleth.llm.base import BLANKS, held, learnable, own, row_key
+from isopleth.llm.base import BLANKS, held, learnable, own
 from isopleth.llm.queries import encoded, table
 
 
@@ -45,10 +45,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a passage of a benchmark item go, each by its own text, with or without id."""
-    items, key = table(spark, sf_dir, "benchmark"), own(docs, "key")
-    marked = docs.withColumn(key, row_key("doc_id", "text"))
-    found = decontaminate.contaminated(marked, key, "text", items, "item_id", "text", min_tokens=1)
-    return marked.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
+    items, number = table(spark, sf_dir, "benchmark"), own(docs, "number")
+    # Written, so that both scans see the same numbers.
+    marked, _ = held(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = decontaminate.contaminated(marked, number, "text", items, "item_id", "text", min_tokens=1)
+    return marked.join(found.select(F.col("doc_id").alias(number)).distinct(), number, "left_anti").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
