@@ -42,12 +42,6 @@ def sliced(batch, rows: int = SLICE):
     return (batch.slice(start, rows) for start in range(0, len(batch) if isinstance(batch, pa.Array) else batch.num_rows, rows))
 
 
-def row_key(doc_id: str, text: str) -> Column:
-    """A 64-bit digest of a row's id and text that tells missing ones from any value."""
-    ident, body = F.col(doc_id).cast("long"), F.col(text).cast("string")
-    return F.xxhash64(ident.isNull(), ident, body.isNull(), body)
-
-
 def dropped(df: DataFrame, path: str) -> None:
     """Delete an intermediate once nothing reads it any more."""
     spark = df.sparkSession

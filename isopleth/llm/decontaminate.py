@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .base import hash_filter, held, may_hold
+from .base import hash_filter, held, may_hold, sliced
 
 #: The token positions each mask looks at, by the fewest matches that they are for: every
 #: best stretch with so many matches, of any length, holds at least one of the masks.
@@ -163,7 +163,7 @@ def contaminated(
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Tokens(), shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             rows = []
             for i, body in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = words.of(body)
@@ -187,7 +187,7 @@ def contaminated(
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, 64)):
             out = []
             for r in batch.to_pylist():
                 doc, item = np.array(r["tokens"], np.int64), np.array(r["item_tokens"], np.int64)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .base import dropped, hash_filter, held, may_hold, own, row_key
+from .base import dropped, hash_filter, held, may_hold, own
 
 #: Sets of one part of a block.
 PART_ROWS = 256
@@ -216,7 +216,7 @@ _SIGNED = "id long, text_hash long, n long, key binary, hashes array<long>"
 
 
 def _survivors(signed: DataFrame, rule: Rule) -> DataFrame:
-    """Step 1: (key, id) of the classes that may have a link, with a row that has the text."""
+    """Step 1: (key, id, node) of the classes that may have a link: a row that has the text, and a number."""
     known = signed.filter("key IS NOT NULL AND id IS NOT NULL")
     node = F.xxhash64("key").alias("node")
     # Hashes that two classes have at least.
@@ -225,7 +225,8 @@ def _survivors(signed: DataFrame, rule: Rule) -> DataFrame:
     found, found_path = held(known.select("id", F.explode("hashes").alias("h")).join(shared, "h").groupBy("id").agg(F.count(F.lit(1)).alias("seen")), "seen")
     least = -F.floor(-F.lit(rule.percent) * F.col("n") / 100)
     left = known.select("id", "n", "key").join(found, "id").filter(F.col("seen") >= F.floor(least / 10) + 1)
-    chosen, _ = held(left.groupBy("key").agg(F.min("id").alias("id")), "survivors")
+    # Numbered, as hashes of very many classes would meet somewhere.
+    chosen, _ = held(left.groupBy("key").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "survivors")
     dropped(shared, path)
     dropped(found, found_path)
     return chosen
@@ -246,7 +247,7 @@ def _sets_of(rows: DataFrame, chosen: DataFrame, rule: Rule) -> DataFrame:
     marked = rows.filter("id IS NOT NULL").select("id", "text_hash", "text", F.xxhash64("id").alias("mark"))
     # The filter lets a few others through; the join is exact.
     whole = marked.mapInArrow(run, _SIGNED).join(chosen, ["id", "key"]).dropDuplicates(["key"])
-    return whole.select(F.xxhash64("key").alias("id"), "n", "hashes")
+    return whole.select(F.col("node").alias("id"), "n", "hashes")
 
 
 def _search(rule: Rule):
@@ -326,10 +327,11 @@ def link_components(df: DataFrame, doc_id: str, text: str, rule: Rule = Rule(),
     found, _ = held(components(_links(sets, rule, part_rows)), "components")
     dropped(sets, sets_path)
     classes = plain.filter("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("low"))
-    named = classes.withColumn("id", F.xxhash64("key")).join(found, "id", "left").withColumn("label", F.coalesce("component", "id"))
-    named, _ = held(named.select("key", "low", "label"), "named")
-    lowest, _ = held(named.groupBy("label").agg(F.min("low").alias("lowest")), "lowest")
-    named, _ = held(named.join(lowest, "label").select("key", "lowest"), "named")
+    # Classes without a link keep the smallest id of their own.
+    grouped = chosen.select("key", F.col("node").alias("id")).join(found, "id").select("key", F.col("component").alias("label"))
+    named, _ = held(classes.join(grouped, "key", "left"), "named")
+    lowest, _ = held(named.filter("label IS NOT NULL").groupBy("label").agg(F.min("low").alias("lowest")), "lowest")
+    named, _ = held(named.join(lowest, "label", "left").select("key", F.coalesce("lowest", "low").alias("lowest")), "named")
     return plain.join(named, "key", "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
@@ -343,16 +345,22 @@ def keep_one(
 ) -> DataFrame:
     """``df`` with one row of each group of linked documents: the smallest id's.
 
-    Rows are told apart by ``row_key``, so that each links by its own text. Of rows repeating
-    both id and text one stays. Rows without id all stay, or with ``nameless`` link like
-    others, and one stays only where no linked row has an id. Columns are those of ``df``.
+    Every row gets a number, so that each links by its own text. Of rows repeating both id and
+    text one stays. Rows without id all stay, or with ``nameless`` link like others, and one
+    stays only where no linked row has an id. Columns are those of ``df``.
     """
-    key, ident, group = own(df, "key"), own(df, "id"), own(df, "group")
-    every = df.withColumn(key, row_key(doc_id, text))
+    number, ident, group, size = (own(df, c) for c in ("number", "id", "group", "size"))
+    # Written, so that reruns see the same numbers; hashes of very many rows would meet somewhere.
+    every, _ = held(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
     marked = every if nameless else every.filter(F.col(doc_id).isNotNull())
-    linked = link_components(marked, key, text, rule, part_rows).select(F.col("doc_id").alias(key), F.col("component_id").alias(group))
-    named, _ = held(linked.distinct().join(marked.select(key, F.col(doc_id).cast("long").alias(ident)).distinct(), key), "grouped")
-    first = F.min(F.struct(F.col(ident).isNull().alias("none"), ident, key)).alias("first")
-    stay = named.groupBy(group).agg(first).select(f"first.{key}")
-    kept = marked.join(stay, key, "left_semi").dropDuplicates([key])
-    return (kept if nameless else kept.unionByName(every.filter(F.col(doc_id).isNull()))).select(*df.columns)
+    linked = link_components(marked, number, text, rule, part_rows).select(
+        F.col("doc_id").alias(number), F.col("component_id").alias(group), F.col("n_shingles").alias(size)
+    )
+    named, _ = held(linked.join(marked.select(number, F.col(doc_id).cast("long").alias(ident)), number), "grouped")
+    first = F.min(F.struct(F.col(ident).isNull().alias("none"), ident, number)).alias("first")
+    stay = named.groupBy(group).agg(first, F.max(size).alias(size)).select(f"first.{number}", size)
+    # Texts without words link with nothing: of those, repeats of id and text go here.
+    blank = F.col(size) == 0
+    once = {number: F.when(~blank, F.col(number)), ident: F.when(blank, F.col(doc_id)), group: F.when(blank, F.col(text))}
+    kept = marked.join(stay, number).withColumns(once).dropDuplicates(list(once)).select(*df.columns)
+    return kept if nameless else kept.unionByName(every.filter(F.col(doc_id).isNull()).select(*df.columns))
