@@ -14,11 +14,6 @@ from .missing import col
 # publication lag of the daily imagery in days.
 COMPARE_YEARS = (1, 2, 5, 10, 20)
 FIRST_DATE = "2000-01-01"
-PUBLICATION_LAG_DAYS = 2
-
-
-def latest_available(as_of: Column | str) -> Column:
-    return F.date_sub(col(as_of), PUBLICATION_LAG_DAYS)
 
 
 def add_days(d: Column | str, n) -> Column:

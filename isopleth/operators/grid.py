@@ -79,11 +79,8 @@ def climatology(
 
 def grid_from_axes(cells: DataFrame, lon: str = "lon", lat: str = "lat") -> Grid:
     """The grid whose cell centres are the distinct coordinates; one row reaches the driver."""
-    a = cells.agg(
-        F.min(lon), F.min(lat), F.max(lon), F.max(lat), F.count_distinct(lon)
-    ).first()
-    ny = cells.agg(F.count_distinct(lat)).first()[0]
-    return Grid.from_centres(a[0], a[1], a[2], a[3], a[4], ny)
+    axes = [F.min(lon), F.min(lat), F.max(lon), F.max(lat), F.count_distinct(lon), F.count_distinct(lat)]
+    return Grid.from_centres(*cells.agg(*axes).first())
 
 
 def grid_from_extent(cells: DataFrame, step: float, lon: str = "lon", lat: str = "lat") -> Grid:

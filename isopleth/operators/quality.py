@@ -142,6 +142,27 @@ def grid_geometry() -> list[Check]:
     ]
 
 
+def whole_grids(rows: DataFrame, key: str = "id") -> DataFrame:
+    """Documents of one grid row each, summed to one row per grid, for ``grid_sums``."""
+    off = lambda step, low, high, n: F.max(F.abs(F.col(step) - (F.col(high) - F.col(low)) / F.col(n))).alias(f"{step}_off")
+    return rows.groupBy(key).agg(
+        F.max("west").alias("west"), F.min("east").alias("east"), F.max("south").alias("south"), F.min("north").alias("north"),
+        off("dlon", "west", "east", "nx"), off("dlat", "south", "north", "ny"),
+        F.max(F.col("nx") * F.col("ny")).alias("cells"), F.sum(F.size("values")).alias("listed"), F.count_distinct("iy").alias("rows"), F.max("ny").alias("ny"),
+    )
+
+
+def grid_sums() -> list[Check]:
+    """For rows of ``whole_grids``: ordered bounds, steps that fit them in every grid row, and
+    every row and cell there once."""
+    return [
+        _none("bounds", (F.col("east") <= F.col("west")) | (F.col("north") <= F.col("south"))),
+        _none("dlon", F.col("dlon_off") >= GRID_TOLERANCE),
+        _none("dlat", F.col("dlat_off") >= GRID_TOLERANCE),
+        _none("cells", (F.col("listed") != F.col("cells")) | (F.col("rows") != F.col("ny"))),
+    ]
+
+
 def ordered_at(name: str, when: Column, greater: str, lesser: str) -> Check:
     """At the chosen time the one series exceeds the other."""
     met = F.count_if(when & (col(greater) > col(lesser)))

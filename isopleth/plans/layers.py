@@ -32,15 +32,7 @@ LAYERS = [
     ("nightlights", False, False, False, None, "2016-01-01", None, False, False, False, 7, None, None, None, None),
 ]
 
-# Bounds of the two regional grids (west, south, east, north).
-REGIONAL_BOUNDS = {
-    "eobs": (-40.375, 25.375, 75.375, 75.375),
-    "meteoswiss": (5.761, 45.689, 10.692, 47.882),
-}
-
-# The members of the surface-temperature ensemble, and the fewest
-# members a pixel needs.
-ENSEMBLE_MEMBERS = ("MUR (JPL)", "OISST (NOAA)", "GAMSSA (BoM)")
+# Fixed value: the fewest members a pixel of an ensemble needs.
 MIN_MEMBERS = 2
 
 # Datasets shown as points, and why the date does not change them.

@@ -317,12 +317,24 @@ def sink_grid_rows(spark, sf_dir):
 
 
 @query(
-    with_obs(DENSE_SQL + f""", f AS (SELECT count(*) AS n FROM dense)
-SELECT 'grid' AS dataset, unnest(['bounds', 'dlon', 'dlat', 'cells']) AS "check", CAST(0 AS DOUBLE) AS observed, CAST(0 AS DOUBLE) AS low, CAST(0 AS DOUBLE) AS high, n = {FINE.cells} AS passed FROM f""")
+    with_obs(DENSE_SQL + f""", grids AS (SELECT unnest(['whole', 'short', 'bent', 'twice']) AS id),
+listed AS (
+  SELECT id, iy, CASE WHEN id = 'twice' AND iy = 0 THEN 2 ELSE 1 END AS times, CASE WHEN id = 'bent' AND iy = 4 THEN {d(FINE.dlon + 0.25)} ELSE {d(FINE.dlon)} END AS dlon
+  FROM dense, grids WHERE NOT (id = 'short' AND iy % 50 = 7)
+), g AS (SELECT id, CAST(sum(times) AS BIGINT) AS n, max(abs(dlon - {d(FINE.dlon)})) AS off FROM listed GROUP BY id),
+f AS (SELECT [0, count(*) FILTER (WHERE off >= 0.0005), 0, count(*) FILTER (WHERE n <> {FINE.cells})] AS seen FROM g)
+SELECT 'grid' AS dataset, unnest(['bounds', 'dlon', 'dlat', 'cells']) AS "check", CAST(unnest(seen) AS DOUBLE) AS observed,
+       CAST(0 AS DOUBLE) AS low, CAST(0 AS DOUBLE) AS high, unnest(seen) = 0 AS passed
+FROM f""")
 )
 def dq_grid(spark, sf_dir):
+    """Four grids by rows: one whole, one that lacks rows, one with a row of another step, one with a row twice."""
     dense = g.densify(g.bin_mean(observations(spark, sf_dir), FINE, "v"), FINE)
-    return q.report(sinks.grid_document(dense, FINE, decimals=6, id="obs"), "grid", q.grid_geometry())
+    iy, ident = F.col("iy"), F.col("id")
+    rows = sinks.grid_rows(dense, FINE, decimals=6).withColumn("id", F.explode(F.array(*map(F.lit, ("whole", "short", "bent", "twice")))))
+    rows = rows.filter(~((ident == "short") & (iy % 50 == 7))).withColumn("dlon", F.when((ident == "bent") & (iy == 4), F.col("dlon") + 0.25).otherwise(F.col("dlon")))
+    again = F.when((ident == "twice") & (iy == 0), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return q.report(q.whole_grids(rows.withColumn("time", F.explode(again)).drop("time")), "grid", q.grid_sums())
 
 
 @query("""
