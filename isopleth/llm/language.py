@@ -170,7 +170,8 @@ def predict(docs: DataFrame, text: str, model: Model | None, name: str = "lang_p
     """Add the predicted language and its probability, from the whole text alone.
 
     A missing text, a text without any letter, and every text when there is no model get
-    ``und`` with score 0. Repeated rows are predicted alike.
+    ``und`` with score 0. Repeated rows are predicted alike. Columns named ``name`` or
+    ``score`` are replaced, also when ``text`` is one of them; all others pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
     kind = pa.struct([("name", pa.string()), ("score", pa.float64())])
@@ -194,4 +195,5 @@ def predict(docs: DataFrame, text: str, model: Model | None, name: str = "lang_p
     made = own(docs, "made")
     # Texts without a letter are not sent to the network.
     body = F.when(F.col(text).cast("string").rlike(r"\p{L}"), F.col(text).cast("string"))
-    return docs.drop(name, score).withColumn(made, run(body)).withColumns({name: F.col(f"{made}.name"), score: F.col(f"{made}.score")}).drop(made)
+    rest = [c for c in docs.columns if c.lower() not in (name.lower(), score.lower())]
+    return docs.withColumn(made, run(body)).select(*rest, F.col(f"{made}.name").alias(name), F.col(f"{made}.score").alias(score))

@@ -76,7 +76,8 @@ def encode(df: DataFrame, text: str, ids: str, model_path: str, table_words: int
     """Add ``ids`` (array of int): the whole text as the library encodes it.
 
     No begin or end ids, no sampling. Missing and empty texts have no ids. Rows are
-    independent, so repeated rows get equal ids; other columns pass through unread.
+    independent, so repeated rows get equal ids; a column named ``ids`` is replaced, others
+    pass through unread.
     """
 
     @F.arrow_udf("array<int>")
@@ -94,7 +95,8 @@ def encode(df: DataFrame, text: str, ids: str, model_path: str, table_words: int
 def decode(df: DataFrame, ids: str, text: str, model_path: str) -> DataFrame:
     """Add ``text``: what the library decodes the whole array of ids to.
 
-    A missing array decodes to the empty text. An id outside the vocabulary is an error.
+    A missing array decodes to the empty text. An id outside the vocabulary is an error. A
+    column named ``text`` is replaced, others pass through unread.
     """
 
     @F.arrow_udf("string")

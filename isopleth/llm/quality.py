@@ -299,7 +299,8 @@ def score(docs: DataFrame, text: str, source: str, lang: str, model: Model | flo
     """Add ``name``: the probability of label 1, from the whole text and the page's fields.
 
     Missing texts count as empty and missing fields as a value of their own. Repeated rows
-    score alike. With a share instead of a model every row gets the share.
+    score alike. With a share instead of a model every row gets the share. A column named
+    ``name`` is replaced, others pass through.
     """
     if isinstance(model, float):
         return docs.withColumn(name, F.lit(model))

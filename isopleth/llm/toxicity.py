@@ -328,7 +328,8 @@ def score(docs: DataFrame, text: str, model: Model, name: str = "toxicity") -> D
     """Add ``name`` (0 to 1) and ``<name>_passages``: start, end (code points) and score.
 
     The whole text is read. Missing and empty texts have no passages and the lowest
-    score. Scores depend on nothing but the text, so repeated rows score alike.
+    score. Scores depend on nothing but the text, so repeated rows score alike. Columns of
+    the two names are replaced, also when ``text`` is one of them; others pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     kind = pa.struct([("score", pa.float64()), ("passages", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))])
@@ -350,8 +351,9 @@ def score(docs: DataFrame, text: str, model: Model, name: str = "toxicity") -> D
             yield pa.concat_arrays(made)
 
     made = own(docs, "made")
-    out = docs.drop(name, f"{name}_passages").withColumn(made, run(F.col(text).cast("string")))
-    return out.withColumns({name: F.col(f"{made}.score"), f"{name}_passages": F.col(f"{made}.passages")}).drop(made)
+    rest = [c for c in docs.columns if c.lower() not in (name.lower(), f"{name}_passages".lower())]
+    out = docs.withColumn(made, run(F.col(text).cast("string")))
+    return out.select(*rest, F.col(f"{made}.score").alias(name), F.col(f"{made}.passages").alias(f"{name}_passages"))
 
 
 def _spans(body: str | None, found: list[tuple[int, int, float]]) -> list[dict]:
