@@ -318,7 +318,8 @@ def fit(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: st
                 weights = [evidence(segments(v), len(v), *law) for v in values]
                 yield pa.RecordBatch.from_arrays([part["y"], pa.array(weights, pa.float64())], ["y", "weight"])
 
-    seen = learnt.mapInArrow(weigh, "y int, weight double").orderBy("weight", "y").toArrow()
+    # At most as many rows as were sampled, in any order: equal evidence is put together below.
+    seen = learnt.mapInArrow(weigh, "y int, weight double").toArrow()
     dropped(learnt, learnt_path)
     model.at, model.chance = _calibrated(np.log1p(seen["weight"].to_numpy()), seen["y"].to_numpy().astype(float))
     return model
