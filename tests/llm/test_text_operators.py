@@ -41,6 +41,40 @@ def test_pieces_odd_rows(spark, docs):
     assert pieces.encode(docs([]), "text", "ids", MODEL).count() == 0
 
 
+def test_pieces_ask_the_library_for_many_words_at_once():
+    table, asked = pieces.ChunkTable(MODEL), []
+    library = table.processor
+
+    class Counting:
+        def encode(self, text):
+            asked.append(text)
+            return library.encode(text)
+
+    table.processor = Counting()
+    text = " ".join(f"{'  ' * (n % 5 == 0)}w{n}é▁{n}" for n in range(3000)) + "  "
+    assert np.frombuffer(table.ids(text), np.int32).tolist() == library.encode(text)
+    assert len(asked) < 30
+
+
+@pytest.mark.parametrize("limit", [3, 200_000])
+def test_pieces_of_slices_are_the_library_s(monkeypatch, limit):
+    """Also behind a batch's first slice, and where words, markers and missing texts meet at its ends."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    parts = ["a", "the", " ", " ", "  ", "▁", "\n", "é", "中", "😀", "\x00", "<s>"]
+    texts = [rng.choice([None, ""]) if rng.random() < 0.2 else "".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(3000)]
+    monkeypatch.setattr(pieces, "SLICE_BYTES", 500)
+    table = pieces.ChunkTable(MODEL, limit)
+    slices = list(pieces._slices(pa.array(texts)))
+    assert len(slices) > 50
+    got = pa.concat_arrays([table.lists(s) for s in slices]).to_pylist()
+    assert got == [table.processor.encode(t or "") for t in texts]
+    # Texts by the library alone: what a vocabulary across markers gets.
+    table.exact = False
+    assert table.lists(pa.array(texts[:500])).to_pylist() == got[:500]
+
+
 @pytest.mark.parametrize("shared", [b"", b"p" * 5000])
 def test_trie_against_a_dictionary_and_spills(shared):
     """Also texts that begin alike for long: one label holds that, and spills go by what lies behind it."""
