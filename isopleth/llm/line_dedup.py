@@ -178,7 +178,9 @@ def drop_repeated_lines(
             made.append(pa.array(rows, kind))
         return pa.concat_arrays(made) if made else pa.array([], kind)
 
-    joined = joined.withColumn(made, without(F.col(text).cast("string"), F.col(gone)))
+    # Else a filter on what is made here is put below it: lines are then cut twice, by two workers of one task.
+    once = without.asNondeterministic()
+    joined = joined.withColumn(made, once(F.col(text).cast("string"), F.col(gone)))
     return joined.select(
         *(c for c in out.columns if c != kept),
         *(F.col(f"{made}.{a}").alias(b) for a, b in (("kept", kept), ("n_lines", "n_lines"), ("n_dropped", "n_dropped"))),

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import sliced
+from .base import own, sliced
 
 MARK = "▁"
 TABLE_WORDS = 200_000
@@ -127,6 +127,12 @@ def _slices(texts: pa.Array) -> Iterator[pa.Array]:
     return (texts.slice(i, j - i) for i, j in zip(cuts, cuts[1:]))
 
 
+def _decoded(processor, ids: pa.ListArray) -> pa.Array:
+    # Through numpy: Arrow makes a scalar of each id first, which takes longer than decoding.
+    rows = (row.values.to_numpy().tolist() if row.is_valid else [] for row in ids)
+    return pa.array([processor.decode(row) for row in rows], pa.string())
+
+
 def encode(df: DataFrame, text: str, ids: str, model_path: str, table_words: int = TABLE_WORDS) -> DataFrame:
     """Add ``ids`` (array of int): the whole text as the library encodes it.
 
@@ -155,9 +161,25 @@ def decode(df: DataFrame, ids: str, text: str, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         processor = _processor(model_path)
         for batch in batches:
-            for part in sliced(batch):
-                # Through numpy: Arrow makes a scalar of each id first, which takes longer than decoding.
-                rows = (row.values.to_numpy().tolist() if row.is_valid else [] for row in part)
-                yield pa.array([processor.decode(row) for row in rows], pa.string())
+            yield from (_decoded(processor, part) for part in sliced(batch))
 
     return df.withColumn(text, run(F.col(ids)))
+
+
+def round_trip(df: DataFrame, text: str, ids: str, back: str, model_path: str, table_words: int = TABLE_WORDS) -> DataFrame:
+    """Add what ``encode`` and then ``decode`` add: ``ids``, and as ``back`` what they decode to.
+
+    A task needs one Python worker for it instead of one for each of the two, and ids aren't
+    sent to Python again. Columns of the two names are replaced, others pass through unread.
+    """
+
+    @F.arrow_udf("struct<ids: array<int>, back: string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = ChunkTable(model_path, table_words)
+        for batch in batches:
+            for found in map(table.lists, _slices(batch)):
+                yield pa.StructArray.from_arrays([found, _decoded(table.processor, found)], ["ids", "back"])
+
+    made = own(df, "made")
+    rest = [c for c in df.columns if c.lower() not in (ids.lower(), back.lower())]
+    return df.withColumn(made, run(F.col(text).cast("string"))).select(*rest, F.col(f"{made}.ids").alias(ids), F.col(f"{made}.back").alias(back))

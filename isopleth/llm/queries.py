@@ -32,8 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id with the digests of its ids and of the text they decode to."""
     model = model or public_tokenizers.path("piece_bpe_32k.model")
-    ids = pieces.encode(docs.select("doc_id", "text"), "text", "ids", model).drop("text")
-    both = pieces.decode(ids, "ids", "decoded", model)
+    both = pieces.round_trip(docs.select("doc_id", "text"), "text", "ids", "decoded", model)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -225,7 +225,9 @@ def fit(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: st
     if 0 in n_rows:
         return Model({}, 1.0, 0.0, [0.0], [n_rows[0] / max(1, len(told))])
     spark = docs.sparkSession
-    picked = spark.createDataFrame([(i, h, y) for (i, h), y in told.items()], "id long, same long, y int")
+    ids, same = zip(*told)
+    # From Arrow, as rows of a list would go through an RDD with Python workers of its own.
+    picked = spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "same": pa.array(same, pa.int64()), "y": pa.array([*told.values()], pa.int32())}))
     learnt = rows.withColumn("same", F.xxhash64("text")).join(F.broadcast(picked), ["id", "same"])
     part = F.pmod(F.hash("id", "same"), F.lit(PARTS)).cast("int").alias("part")
     # Only the sample's texts are dealt out by key, and a row repeated whole goes once.

@@ -41,6 +41,16 @@ def test_pieces_odd_rows(spark, docs):
     assert pieces.encode(docs([]), "text", "ids", MODEL).count() == 0
 
 
+def test_pieces_there_and_back_are_those_of_two_steps(docs):
+    table = docs(ODD * 3 + [(50, LONG)])
+    two = pieces.decode(pieces.encode(table, "text", "ids", MODEL), "ids", "back", MODEL).select("doc_id", "text", "ids", "back")
+    one = pieces.round_trip(table, "text", "ids", "back", MODEL).select("doc_id", "text", "ids", "back")
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    same = pieces.round_trip(table, "text", "Doc_id", "TEXT", MODEL)
+    assert same.columns == [*(c for c in table.columns if c not in ("doc_id", "text")), "Doc_id", "TEXT"]
+    assert sorted(r["TEXT"] for r in same.collect()) == sorted(t or "" for _, t in ODD * 3 + [(50, LONG)])
+
+
 def test_pieces_ask_the_library_for_many_words_at_once():
     table, asked = pieces.ChunkTable(MODEL), []
     library = table.processor
@@ -448,6 +458,24 @@ def test_documents_that_line_dedup_empties_go(spark, docs):
     assert {r.doc_id: r.n_chars for r in left if r.n_chars is not None} == {4: 1, 5: 18}
 
 
+def test_a_task_of_the_pipeline_has_one_python_worker(spark, docs):
+    import corpus_pipeline
+
+    table = docs([(i, "a line that is long enough\nx") for i in range(3)])
+    for stage in (corpus_pipeline.drop_shared_lines, corpus_pipeline.tokenize):
+        plan = stage(spark, table, "")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+
+
+def test_toxicity_learns_without_an_rdd(spark, docs, monkeypatch):
+    rows = [(i, f"some words of row {i}" + " awful" * (i % 5 == 0)) for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(40)], "doc_id long, toxic int")
+    table = docs(rows)
+    # The rows of a list would be read by Python workers apart from those of the functions.
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    assert toxicity.fit(table, "doc_id", "text", labels, "doc_id", "toxic").weights
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
